@@ -6,7 +6,7 @@ from importlib import import_module
 
 from civicflow.checks.registry import ORACLES, QUERIES
 
-_MODULES = ["relational"]
+_MODULES = ["relational", "columns"]
 
 
 def all_checks() -> tuple[dict, dict]:

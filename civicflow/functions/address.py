@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civicflow.functions.text import blank, col, empty_to_null
+from civicflow.functions.text import blank, col, empty_to_null, let
 
 HOUSE = r"^\s*(\d+[A-Za-z]?(?:-\d+[A-Za-z]?)*)(?:[\s,]+|$)"
 FRACTION = r"(\d+/\d+)"
@@ -40,30 +40,38 @@ def stretch(address) -> Column:
     names two avenues.
     """
     text = blank(address)
-    halves = F.split(text, r"\bBETWEEN\b")
-    sides = F.split(F.get(halves, F.lit(1)), r"\bAND\b")
-    complete = F.size(sides) >= 2
     last_word = F.substring_index(text, " ", -1)
 
-    def part(value: Column) -> Column:
-        return F.when(complete, F.trim(value)).otherwise("")
+    def parts(halves: Column, sides: Column) -> Column:
+        complete = F.size(sides) >= 2
 
-    return F.struct(
-        part(F.get(halves, F.lit(0))).alias("street_1"),
-        part(F.concat(F.get(sides, F.lit(0)), last_word)).alias("street_2"),
-        part(F.get(sides, F.lit(1))).alias("street_3"),
+        def part(value: Column) -> Column:
+            return F.when(complete, F.trim(value)).otherwise("")
+
+        return F.struct(
+            part(halves[0]).alias("street_1"),
+            part(F.concat(sides[0], last_word)).alias("street_2"),
+            part(F.get(sides, F.lit(1))).alias("street_3"),
+        )
+
+    return let(
+        F.split(text, r"\bBETWEEN\b"),
+        lambda halves: let(F.split(F.get(halves, F.lit(1)), r"\bAND\b"), lambda sides: parts(halves, sides)),
     )
 
 
 def crossing(address) -> Column:
     """'X AND Y' as (street_1, street_2), else blanks (D6, trap T4)."""
-    parts = F.split(blank(address), r"\bAND\b")
-    both = F.size(parts) >= 2
 
-    def part(i: int) -> Column:
-        return F.when(both, F.trim(F.get(parts, F.lit(i)))).otherwise("")
+    def streets(parts: Column) -> Column:
+        both = F.size(parts) >= 2
+
+        def part(i: int) -> Column:
+            return F.when(both, F.trim(F.get(parts, F.lit(i)))).otherwise("")
+
+        return F.struct(part(0).alias("street_1"), part(1).alias("street_2"))
 
-    return F.struct(part(0).alias("street_1"), part(1).alias("street_2"))
+    return let(F.split(blank(address), r"\bAND\b"), streets)
 
 
 def street_key(name) -> Column:

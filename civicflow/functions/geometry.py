@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from civicflow.functions.numbers import to_number
-from civicflow.functions.text import blank, col, empty_to_null
+from civicflow.functions.text import blank, col, empty_to_null, let
 
 
 def coordinate_text(c) -> Column:
@@ -83,9 +83,8 @@ def edges(ring) -> Column:
     )
 
 
-def _moments(polygons: Column) -> Column:
-    """(area, sum x*area, sum y*area) about the first vertex, holes negative."""
-    origin = polygons[0][0][0]
+def _moments(polygons: Column, origin: Column) -> Column:
+    """(area, sum x*area, sum y*area) about the origin, holes negative."""
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
 
     def add(total: Column, edge: Column) -> Column:
@@ -99,10 +98,14 @@ def _moments(polygons: Column) -> Column:
         )
 
     def ring(points: Column, index: Column) -> Column:
-        m = F.aggregate(edges(points), zero, add)
         # Whatever way a ring winds, the shell counts plus and a hole minus.
-        sign = F.when(index == 0, F.signum(m["a"])).otherwise(-F.signum(m["a"]))
-        return F.struct((m["a"] * sign).alias("a"), (m["mx"] * sign).alias("mx"), (m["my"] * sign).alias("my"))
+        side = F.when(index == 0, 1.0).otherwise(-1.0)
+
+        def signed(m: Column) -> Column:
+            sign = side * F.signum(m["a"])
+            return F.struct((m["a"] * sign).alias("a"), (m["mx"] * sign).alias("mx"), (m["my"] * sign).alias("my"))
+
+        return F.aggregate(edges(points), zero, add, signed)
 
     rings = F.flatten(F.transform(polygons, lambda p: F.transform(p, ring)))
     return F.aggregate(
@@ -119,23 +122,29 @@ def centroid(polygons) -> Column:
 
     A multipolygon without area gives the mean of its vertices.
     """
-    polygons = col(polygons)
-    vertices = F.flatten(F.flatten(polygons))
-    m = _moments(polygons)
-    n = F.size(vertices)
-
-    def mean(axis: str) -> Column:
-        return F.aggregate(vertices, F.lit(0.0), lambda t, v: t + v[axis]) / n
-
-    flat = m["a"] == 0
-    origin = polygons[0][0][0]
-    return F.when(
-        n > 0,
-        F.struct(
-            F.when(flat, mean("x")).otherwise(origin["x"] + F.try_divide(m["mx"], m["a"])).alias("lon"),
-            F.when(flat, mean("y")).otherwise(origin["y"] + F.try_divide(m["my"], m["a"])).alias("lat"),
-        ),
-    )
+
+    def mean(vertices: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        n = F.size(vertices)
+        return F.aggregate(
+            vertices,
+            zero,
+            lambda t, v: F.struct((t["x"] + v["x"]).alias("x"), (t["y"] + v["y"]).alias("y")),
+            lambda t: F.struct((t["x"] / n).alias("lon"), (t["y"] / n).alias("lat")),
+        )
+
+    def centre(p: Column, origin: Column, m: Column) -> Column:
+        return F.when(m["a"] == 0, mean(F.flatten(F.flatten(p)))).otherwise(
+            F.struct(
+                (origin["x"] + F.try_divide(m["mx"], m["a"])).alias("lon"),
+                (origin["y"] + F.try_divide(m["my"], m["a"])).alias("lat"),
+            )
+        )
+
+    def of(p: Column) -> Column:
+        return let(p[0][0][0], lambda origin: let(_moments(p, origin), lambda m: centre(p, origin, m)))
+
+    return let(col(polygons), lambda p: F.when(F.size(F.flatten(F.flatten(p))) > 0, of(p)))
 
 
 def point_wkt_of(point) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.functions.text import before, blank, col, empty_to_null
+from civicflow.functions.text import before, blank, col, empty_to_null, let
 
 _ANCHOR_START = r"(?i)<a\s"
 _HREF = r"(?is)^[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
@@ -22,14 +22,16 @@ def unescape(c) -> Column:
     return out
 
 
+def _after_first(parts: Column) -> Column:
+    return let(parts, lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))))
+
+
 def anchors(html) -> Column:
     """Array of (href, text), one for each anchor with a target (G-HTML).
 
     The page is cut at every anchor start, so the work is linear in its length.
     """
-    pieces = F.slice(
-        F.split(blank(html), _ANCHOR_START), F.lit(2), F.greatest(F.size(F.split(blank(html), _ANCHOR_START)) - 1, F.lit(0))
-    )
+    pieces = _after_first(F.split(blank(html), _ANCHOR_START))
 
     def read(piece: Column) -> Column:
         href = F.concat(*[F.regexp_extract(piece, _HREF, i) for i in (1, 2, 3)])
@@ -51,9 +53,7 @@ def explode_anchors(pages: DataFrame, html: str = "html", keep: list[str] | None
 
 def cell_anchor(html) -> Column:
     """Array of (href, text): the first anchor of each table cell (G-HTML)."""
-    text = blank(html)
-    cells = F.split(text, r"(?i)<td[\s>]")
-    cells = F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0)))
+    cells = _after_first(F.split(blank(html), r"(?i)<td[\s>]"))
     inside = F.transform(cells, lambda c: F.get(F.split(c, r"(?i)</td\s*>", 2), F.lit(0)))
     firsts = F.transform(inside, lambda c: F.get(anchors(c), F.lit(0)))
     return F.filter(firsts, lambda a: a.isNotNull())

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value computed once, however often it is used there.
+
+    Nothing inside a lambda is shared by the optimizer, so a costly value used
+    in one would be computed again for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def col(c) -> Column:
     """A column from a name or a column."""
     return F.col(c) if isinstance(c, str) else c

@@ -250,7 +250,8 @@ def geocode_with_stretch(
     found = lookup_spread(keyed, book, ["_house", "_street", "_area"])
     live = F.col("_live")
     open_row = ~_ok(live)
-    between = stretch(address)
+    found = found.withColumn("_between", stretch(address)).withColumn("_pair", crossing(address))
+    between = F.col("_between")
     found = (
         found.withColumn("_on", F.when(open_row, street_key(between["street_1"])))
         .withColumn("_from", F.when(open_row, street_key(between["street_2"])))
@@ -259,7 +260,7 @@ def geocode_with_stretch(
     )
     found = lookup_spread(found, stretch_book(segments, nodes), ["_on", "_from", "_to", "_borough"])
     ends = F.col("_stretch")
-    pair = crossing(address)
+    pair = F.col("_pair")
     a, b = street_key(pair["street_1"]), street_key(pair["street_2"])
     open_row = open_row & ends.isNull() & a.isNotNull() & b.isNotNull()
     found = found.withColumn("_first", F.when(open_row, F.least(a, b))).withColumn(

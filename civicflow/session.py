@@ -25,6 +25,7 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
         .appName("civicflow")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in SETTINGS.items():
