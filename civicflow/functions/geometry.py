@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from civicflow.functions.numbers import to_number
-from civicflow.functions.text import blank, col, empty_to_null, let
+from civicflow.functions.text import col, empty_to_null, let
 
 
 def coordinate_text(c) -> Column:
@@ -20,9 +20,19 @@ def coordinate_text(c) -> Column:
 
 def point_wkt(lon, lat) -> Column:
     """'POINT (x y)'; NULL unless both are numbers (G1)."""
-    x, y = to_number(lon), to_number(lat)
-    text = F.concat(F.lit("POINT ("), coordinate_text(x), F.lit(" "), coordinate_text(y), F.lit(")"))
-    return F.when(x.isNotNull() & y.isNotNull(), text)
+    return point_wkt_of(F.struct(to_number(lon).alias("lon"), to_number(lat).alias("lat")))
+
+
+def point_wkt_of(point) -> Column:
+    """'POINT (x y)' of a numeric (lon, lat) pair, NULL when either is missing (G1)."""
+
+    def text(p: Column) -> Column:
+        pair = F.concat(
+            F.lit("POINT ("), coordinate_text(p["lon"]), F.lit(" "), coordinate_text(p["lat"]), F.lit(")")
+        )
+        return F.when(p["lon"].isNotNull() & p["lat"].isNotNull(), pair)
+
+    return let(col(point), text)
 
 
 def ewkt(wkt, srid: int = 4326) -> Column:
@@ -145,14 +155,3 @@ def centroid(polygons) -> Column:
         return let(p[0][0][0], lambda origin: let(_moments(p, origin), lambda m: centre(p, origin, m)))
 
     return let(col(polygons), lambda p: F.when(F.size(F.flatten(F.flatten(p))) > 0, of(p)))
-
-
-def point_wkt_of(point) -> Column:
-    """'POINT (x y)' of a (lon, lat) pair, NULL when either is missing."""
-    point = col(point)
-    return point_wkt(point["lon"], point["lat"])
-
-
-def blank_geometry(wkt) -> Column:
-    """Missing geometry as '' (P6)."""
-    return blank(wkt)

@@ -23,7 +23,7 @@ from civicflow.functions.address import crossing, street_key, stretch
 from civicflow.functions.geometry import midpoint, packed_xy, point_wkt, point_wkt_of
 from civicflow.functions.numbers import to_number
 from civicflow.functions.projection import to_lon_lat
-from civicflow.functions.text import blank, col, empty_to_null, is_blank
+from civicflow.functions.text import blank, col, empty_to_null, is_blank, let
 from civicflow.operators.relate import differs, lookup_spread
 
 # The fields of a geocoding result, in order.
@@ -167,8 +167,9 @@ def _with_result(df: DataFrame, columns: list[str], record: Column, function: Co
 
 def _missed(record: Column) -> Column:
     """What the last lookup reports: its own code, or the general one."""
-    fallback = _result(geo_grc=F.lit(NOT_FOUND_CODE), geo_message=F.lit(NOT_FOUND_MESSAGE))
-    return F.coalesce(record, fallback)
+    return _result(
+        geo_grc=F.coalesce(record["geo_grc"], F.lit(NOT_FOUND_CODE)), geo_message=F.lit(NOT_FOUND_MESSAGE)
+    )
 
 
 def geocode(
@@ -215,6 +216,7 @@ def geocode(
         F.when(F.col("_step") == BY_ADDRESS, live)
         .when(F.col("_step") == BY_PENDING_ADDRESS, pending)
         .when(F.col("_step") == BY_PLACE, place)
+        .when(_ok(pair), pair)
         .when(is_blank(street_1), _missed(live))
         .otherwise(_missed(pair))
     )
@@ -272,6 +274,7 @@ def geocode_with_stretch(
     record = (
         F.when(_ok(live), live)
         .when(ends.isNotNull(), nothing)
+        .when(_ok(hit), hit)
         .when(a.isNull() | b.isNull(), _missed(live))
         .otherwise(_missed(hit))
     )
@@ -339,10 +342,12 @@ def place_result(df: DataFrame, empty_as_null: bool = True) -> DataFrame:
 def place_stretch_result(df: DataFrame) -> DataFrame:
     """Geometry of a crossing, a stretch's middle or a packed coordinate."""
     crossed = to_lon_lat(to_number("geo_x_coord"), to_number("geo_y_coord"))
-    start = to_lon_lat(F.col("geo_from_x_coord"), F.col("geo_from_y_coord"))
-    end = to_lon_lat(F.col("geo_to_x_coord"), F.col("geo_to_y_coord"))
-    middle = midpoint(start["lon"], start["lat"], end["lon"], end["lat"])
-    packed = packed_xy(empty_to_null("geo_xy_coord"))
+    ends = F.struct(
+        to_lon_lat("geo_from_x_coord", "geo_from_y_coord").alias("a"),
+        to_lon_lat("geo_to_x_coord", "geo_to_y_coord").alias("b"),
+    )
+    middle = let(ends, lambda e: midpoint(e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]))
+    packed = let(packed_xy(empty_to_null("geo_xy_coord")), lambda p: to_lon_lat(p["x"], p["y"]))
     direct = point_wkt("geo_longitude", "geo_latitude")
     use_packed = (
         (F.col("geo_function") == BY_ADDRESS) & direct.isNull() & empty_to_null("geo_xy_coord").isNotNull()
@@ -350,7 +355,7 @@ def place_stretch_result(df: DataFrame) -> DataFrame:
     geom = (
         F.when(F.col("geo_function") == BY_CROSSING, point_wkt_of(crossed))
         .when(F.col("geo_function") == BY_STRETCH, point_wkt_of(middle))
-        .when(use_packed, point_wkt_of(to_lon_lat(packed["x"], packed["y"])))
+        .when(use_packed, point_wkt_of(packed))
         .otherwise(direct)
     )
     return df.withColumns(
