@@ -213,18 +213,18 @@ def join_inner_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, n_name, r_name, s_suppkey FROM {customer}
 LEFT JOIN {nation} ON c_nationkey = n_nationkey
 LEFT JOIN (SELECT * FROM {region} WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey
-LEFT JOIN {supplier} ON c_nationkey = s_nationkey AND c_custkey % 100 = s_suppkey % 100
+LEFT JOIN {supplier} ON c_nationkey % 2 = s_nationkey % 2 AND c_custkey = s_suppkey
 """,
 )
 def join_left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
     regions = table(spark, sf_dir, "region").filter("r_name <> 'ASIA'").withColumnRenamed("r_regionkey", "n_regionkey")
     suppliers = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", F.col("s_nationkey").alias("c_nationkey"), (F.col("s_suppkey") % 100).alias("slot")
+        "s_suppkey", F.col("s_suppkey").alias("c_custkey"), (F.col("s_nationkey") % 2).alias("side")
     )
     out = lookup_left(table(spark, sf_dir, "customer"), nations, "c_nationkey")
-    out = lookup_left(out, regions, "n_regionkey").withColumn("slot", F.col("c_custkey") % 100)
-    out = lookup_left(out, suppliers, ["c_nationkey", "slot"])
+    out = lookup_left(out, regions, "n_regionkey").withColumn("side", F.col("c_nationkey") % 2)
+    out = lookup_left(out, suppliers, ["c_custkey", "side"])
     return out.select("c_custkey", "n_name", "r_name", "s_suppkey")
 
 
@@ -422,7 +422,12 @@ SELECT user_id, event_id, event_type, value FROM c WHERE rn = 1
 def adjacent_runs_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
     best = adjacent_runs_best(
-        events, ["user_id"], F.date_trunc("day", "ts"), ["ts", "event_id"], F.col("event_type"), F.col("value")
+        events,
+        ["user_id"],
+        [F.date_trunc("day", "ts"), F.date_trunc("minute", "ts")],
+        ["ts", "event_id"],
+        F.col("event_type"),
+        F.col("value"),
     )
     return best.drop("ts")
 

@@ -18,59 +18,65 @@ def latest_per_key(df: DataFrame, keys: list[Column], day: Column, tie_break: li
 
 
 def adjacent_runs_best(
-    df: DataFrame, keys: list[str], slice_by: Column, order: list[str], run_value: Column, weight: Column
+    df: DataFrame, keys: list[str], slices: list[Column], order: list[str], run_value: Column, weight: Column
 ) -> DataFrame:
     """From each run of neighbours with an equal value, the lightest row.
 
     Runs follow ``order`` within ``keys``; equal values that are not neighbours
     stay separate runs, and the first row wins between equal weights.
-    ``slice_by`` must grow with the order, such as a page or the hour of a
-    timestamp.  Runs are found slice by slice, and only slice summaries are
-    brought together to join the runs that cross a border, so no task has to
-    hold all rows of a key.
+    ``slices`` cut the order into ever finer pieces, such as the day and the
+    minute of a timestamp: each must grow with the order.  Runs are found in the
+    finest pieces, and only piece summaries are brought together, level by
+    level, to join the runs that cross a border.  No task has to hold all rows
+    of a key, nor all pieces.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    names = [f"_s{i}" for i in range(len(slices))]
     position = F.struct(*[F.col(c) for c in order])
     base = df.select(
         *[F.col(k) for k in keys],
-        slice_by.alias("_slice"),
+        *[s.alias(n) for s, n in zip(slices, names)],
         position.alias("_pos"),
         run_value.alias("_value"),
         F.struct(weight.alias("w"), position.alias("p")).alias("_cost"),
-        row.alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
     )
-    within = Window.partitionBy(*keys, "_slice").orderBy("_pos")
-    starts = (
-        F.lag("_pos").over(within).isNull() | ~F.lag("_value").over(within).eqNullSafe(F.col("_value"))
-    ).cast("long")
-    numbered = base.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(within))
-    runs = numbered.groupBy(*keys, "_slice", "_run").agg(
+    within = Window.partitionBy(*keys, *names).orderBy("_pos")
+    starts = F.lag("_pos").over(within).isNull() | ~F.lag("_value").over(within).eqNullSafe(F.col("_value"))
+    numbered = base.withColumn("_start", starts.cast("long")).withColumn("_run", F.sum("_start").over(within))
+    runs = numbered.groupBy(*keys, *names, "_run").agg(
         F.first("_value").alias("_value"),
         F.min_by("_row", "_cost").alias("_row"),
         F.min("_cost").alias("_cost"),
     )
 
-    slices = runs.groupBy(*keys, "_slice").agg(
+    # How far the runs of a piece are numbered on from those before it.
+    pieces = runs.groupBy(*keys, *names).agg(
         F.max("_run").alias("_count"),
         F.min_by("_value", "_run").alias("_head"),
         F.max_by("_value", "_run").alias("_tail"),
     )
-    in_order = Window.partitionBy(*keys).orderBy("_slice")
-    joined = F.lag("_count").over(in_order).isNotNull() & F.lag("_tail").over(in_order).eqNullSafe(F.col("_head"))
-    slices = slices.withColumn("_joined", joined.cast("long"))
-    running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offset = F.sum(F.col("_count") - F.col("_joined")).over(running) - F.col("_count")
-    slices = slices.select(*keys, "_slice", offset.alias("_offset"))
+    placed = runs
+    for level in range(len(names), 0, -1):
+        outer, own = [*keys, *names[: level - 1]], names[level - 1]
+        before = Window.partitionBy(*outer).orderBy(own)
+        follows = F.lag("_count").over(before).isNotNull() & F.lag("_tail").over(before).eqNullSafe(F.col("_head"))
+        so_far = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        pieces = pieces.withColumn("_new", F.col("_count") - follows.cast("long")).withColumn(
+            "_offset", F.sum("_new").over(so_far) - F.col("_count")
+        )
+        placed = _add_offset(placed, pieces, [*outer, own])
+        pieces = pieces.groupBy(*outer).agg(
+            F.sum("_new").alias("_count"), F.min_by("_head", own).alias("_head"), F.max_by("_tail", own).alias("_tail")
+        )
+    best = placed.groupBy(*keys, "_run").agg(F.min_by("_row", "_cost").alias("_row"))
+    return best.select("_row.*")
+
 
-    same = [F.col(f"runs.{k}").eqNullSafe(F.col(f"slices.{k}")) for k in [*keys, "_slice"]]
+def _add_offset(runs: DataFrame, pieces: DataFrame, on: list[str]) -> DataFrame:
+    right = pieces.select(*[F.col(c).alias(f"_r{c}") for c in on], "_offset")
+    same = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in on]
     condition = same[0]
     for c in same[1:]:
         condition = condition & c
-    placed = runs.alias("runs").join(slices.alias("slices"), condition).select(
-        *[F.col(f"runs.{k}").alias(k) for k in keys],
-        (F.col("_run") + F.col("_offset")).alias("_run"),
-        "_row",
-        "_cost",
-    )
-    best = placed.groupBy(*keys, "_run").agg(F.min_by("_row", "_cost").alias("_row"))
-    return best.select("_row.*")
+    joined = runs.join(right, condition).withColumn("_run", F.col("_run") + F.col("_offset"))
+    return joined.select(*runs.columns)

@@ -25,8 +25,8 @@ YEAR_POSITION = 11
 def meeting_urls(pages: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Meeting folders linked from stored pages, one for each run (R8 feeder).
 
-    ``pages`` holds page_id, source ('current' or 'archive') and html; pages and
-    links keep their order, current pages first.  ``resolved`` may hold (href,
+    ``pages`` holds a numeric page_id, source ('current' or 'archive') and html;
+    pages and links keep their order, current pages first.  ``resolved`` may hold (href,
     target) where a link leads elsewhere.  Links without a date are kept on
     archive pages only (G-BLANK); of neighbours with the same date and school
     year the shortest address stays (A7).
@@ -56,7 +56,12 @@ def meeting_urls(pages: DataFrame, resolved: DataFrame | None = None) -> DataFra
     best = adjacent_runs_best(
         links,
         [],
-        F.struct("_rank", "page_id"),
+        # Page numbers in thousands of thousands, in thousands, and one by one.
+        [
+            F.struct("_rank", F.floor(F.col("page_id") / 1_000_000)),
+            F.floor(F.col("page_id") / 1_000),
+            F.col("page_id"),
+        ],
         ["_rank", "page_id", "pos"],
         F.struct("date", "school_year"),
         F.length("readable_url"),

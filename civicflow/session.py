@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed partition even where that costs one more shuffle later.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Building an expression need not record where in the code it was built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
