@@ -225,25 +225,25 @@ def recipe_traffic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- R3, R4, R5: commuting ---------------------------------------------------
 
 TRACT = """
-SELECT 'T' || CAST({key} AS STRING) AS GEOID, x, y, w,
+SELECT '{mark}' || CAST({key} AS STRING) AS GEOID, x, y, w,
   'MULTIPOLYGON (((' || CAST(x AS STRING) || ' ' || CAST(y AS STRING) || ', ' || CAST(x + w AS STRING) || ' ' || CAST(y AS STRING) || ', '
   || CAST(x AS STRING) || ' ' || CAST(y + 3 AS STRING) || ', ' || CAST(x AS STRING) || ' ' || CAST(y AS STRING) || ')))' AS geom
 FROM (SELECT {key}, CAST({key} % 90 AS INT) AS x, CAST({key} % 80 AS INT) AS y, CAST(1 + {key} % 9 AS INT) AS w FROM {table})
 """
 
 
-def _tract(table: str, key: str, where: str) -> str:
-    return TRACT.replace("{key}", key).replace("{table}", f"{{{table}}} WHERE {where}")
+def _tract(table: str, key: str, mark: str) -> str:
+    return TRACT.replace("{key}", key).replace("{table}", f"{{{table}}}").replace("{mark}", mark)
 
 
 TRACTS = {
-    "tracts_a": _tract("customer", "c_custkey", "c_custkey % 3 = 0"),
-    "tracts_b": _tract("customer", "c_custkey", "c_custkey % 3 = 1"),
-    "tracts_c": _tract("part", "p_partkey", "p_partkey % 3 = 2"),
+    "tracts_a": _tract("customer", "c_custkey", "C"),
+    "tracts_b": _tract("supplier", "s_suppkey", "S"),
+    "tracts_c": _tract("part", "p_partkey", "P"),
 }
 FLOWS = """
-SELECT 'T' || CAST(o_custkey AS STRING) AS residential_geoid,
-       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'T' || CAST(o_orderkey AS STRING) END AS work_geoid FROM {orders}
+SELECT CASE WHEN o_custkey % 5 = 0 THEN 'S' ELSE 'C' END || CAST(o_custkey AS STRING) AS residential_geoid,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'P' || CAST(o_orderkey AS STRING) END AS work_geoid FROM {orders}
 """
 
 
@@ -264,10 +264,10 @@ def recipe_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODE_SPLIT = """
 SELECT 'C3100US' || CASE floor(o_orderkey / 19) % 6 WHEN 0 THEN '36061' WHEN 1 THEN '36047' WHEN 2 THEN '36005'
          WHEN 3 THEN '36081' WHEN 4 THEN '36085' ELSE '36119' END || lpad(CAST(CAST(floor(o_orderkey / 19) AS INT) % 1000000 AS STRING), 6, '0') AS geoid,
-       CAST(o_orderkey % 19 + 1 AS STRING) AS lineno,
+       CASE WHEN o_custkey % 17 = 0 THEN '99' ELSE CAST(o_orderkey % 19 + 1 AS STRING) END AS lineno,
        CASE WHEN o_custkey % 4 = 0 THEN '1,' || lpad(CAST(o_custkey % 1000 AS STRING), 3, '0') ELSE CAST(o_custkey % 700 AS STRING) END AS est,
        CASE o_custkey % 6 WHEN 0 THEN ' ' WHEN 1 THEN '.5' WHEN 2 THEN NULL ELSE '+/-' || CAST(o_custkey % 300 AS STRING) END AS moe
-FROM {orders} WHERE o_custkey % 17 <> 0
+FROM {orders}
 """
 
 
@@ -543,7 +543,7 @@ SELECT CASE o_orderkey % 4 WHEN 0 THEN 'Withdrawn' WHEN 1 THEN NULL ELSE 'Approv
        CASE o_orderkey % 3 WHEN 0 THEN '300-350' WHEN 1 THEN '500–' || CAST(o_custkey AS STRING) ELSE 'TBD' END AS at_scale_school_enrollment,
        CASE WHEN o_orderkey % 14 = 3 THEN 'tbd' ELSE CAST(month(o_orderdate) AS STRING) || '/' || CAST(day(o_orderdate) AS STRING) || '/'
             || CAST(year(o_orderdate) + 18 AS STRING) END AS pep_vote
-FROM {orders} WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)
+FROM {orders}
 """
 # One address for each meeting day, and blanks.
 URLS = """
@@ -559,7 +559,7 @@ GROUP BY sy, d
 @check(
     "recipe_utilization_changes",
     f"""
-WITH p AS (SELECT *, CASE WHEN pep_vote <> 'tbd' THEN CAST(strptime(pep_vote, '%m/%d/%Y') AS DATE) END AS d FROM ({PROPOSALS}) WHERE approved = 'Approved'),
+WITH p AS (SELECT *, CASE WHEN pep_vote <> 'tbd' THEN CAST(try_strptime(pep_vote, '%m/%d/%Y') AS DATE) END AS d FROM ({PROPOSALS}) WHERE approved = 'Approved'),
      a AS (SELECT *, coalesce(CASE WHEN month(d) < 9 THEN (year(d) - 1) || '-' || year(d) ELSE year(d) || '-' || (year(d) + 1) END, '')
              || ' ' || coalesce(CASE WHEN d >= DATE '2016-04-21' THEN strftime(d, '%Y-%m-%d') END, '') AS k FROM p),
      u AS (SELECT url, school_year || ' ' || date AS k FROM ({URLS}))

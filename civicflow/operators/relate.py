@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPREAD = 1024
 
@@ -22,14 +23,16 @@ def lookup_left(df: DataFrame, dim: DataFrame, on: str | list[str]) -> DataFrame
     return df.join(dim, on, "left")
 
 
-def lookup_spread(df: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
-    """``lookup_left`` for keys that are mostly NULL.
+def lookup_spread(df: DataFrame, dim: DataFrame, on: list[str], by: list[str] | None = None) -> DataFrame:
+    """``lookup_left`` for keys that are often NULL.
 
     Rows without a key find nothing, yet a plain join would send them all to
-    one task.  They are dealt out over ``SPREAD`` groups by their content.
+    one task.  They are dealt out over ``SPREAD`` groups by the content of the
+    columns ``by``, or of all plain columns.
     """
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SPREAD)).cast("int") + 1
+    by = by or [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in by]), F.lit(SPREAD)).cast("int") + 1
     left = df.withColumn("_deal", F.when(missing, deal).otherwise(F.lit(0)))
     right = dim.withColumn("_deal", F.lit(0))
     return left.join(right, [*on, "_deal"], "left").drop("_deal")
@@ -119,7 +122,7 @@ def override_by_key(
     )
     fixed = F.when(F.col("_has"), F.col("_new")).otherwise(F.col(target))
     columns = [F.col(f"`{c}`") for c in df.columns]
-    joined = df.join(last, key, "left").withColumn(target, fixed)
+    joined = lookup_spread(df, last, [key]).withColumn(target, fixed)
     return joined.select(*columns)
 
 

@@ -69,8 +69,9 @@ def _high(e: Column, axis: str) -> Column:
 def polygon_cells(areas: DataFrame, polygons: Column, size: float) -> DataFrame:
     """Cells an area covers: (cx, cy, ray, near).
 
-    ``ray`` holds the edges a ray from inside the cell may cross and ``near``
-    those that touch the cell.  Cells wholly outside are left out.
+    ``near`` holds the edges that touch the cell and ``ray`` those that a ray
+    from inside it may cross.  Both are empty in a cell wholly inside; cells
+    wholly outside are left out.
     """
     outline = F.flatten(F.transform(F.flatten(polygons), edges))
     band = areas.select(outline.alias("e")).filter(F.size("e") > 0)
@@ -99,7 +100,8 @@ def polygon_cells(areas: DataFrame, polygons: Column, size: float) -> DataFrame:
         F.filter("e", lambda e: (_high(e, "x") >= left) & (_low(e, "x") <= right)).alias("near"),
     )
     centre = inside(F.col("ray"), (F.col("cx") + 0.5) * F.lit(size), (F.col("cy") + 0.5) * F.lit(size))
-    return cells.filter((F.size("near") > 0) | centre)
+    cells = cells.filter((F.size("near") > 0) | centre)
+    return cells.withColumn("ray", F.when(F.size("near") > 0, F.col("ray")).otherwise(F.col("near")))
 
 
 def segment_cells(lines: DataFrame, id_column: str, parts: Column, size: float) -> DataFrame:
@@ -144,7 +146,7 @@ def meets_any(
     e = F.col("e")
     starts_here = F.col("first") & (_cell(e["x1"], size) == F.col("cx")) & (_cell(e["y1"], size) == F.col("cy"))
     hit = F.exists("near", lambda edge: segments_meet(edge, e)) | (
-        starts_here & inside(F.col("ray"), e["x1"], e["y1"])
+        starts_here & ((F.size("near") == 0) | inside(F.col("ray"), e["x1"], e["y1"]))
     )
     hits = near.join(cells, ["cx", "cy"]).filter(hit).select("_id").distinct()
     return lines.join(hits, lines[id_column] == hits["_id"], "left_semi")

@@ -12,7 +12,7 @@ from civicflow.functions.numbers import ratio, to_number, to_whole, truncated
 from civicflow.functions.text import blank, clean_house, clean_street, content_hash, sentinel_to_null
 from civicflow.operators.geocode import geocode_with_stretch, place_stretch_result
 from civicflow.operators.relate import differs, override_by_key, union_missing
-from civicflow.operators.reshape import share
+from civicflow.operators.reshape import share as share_of
 from civicflow.plans import schemas
 from civicflow.plans.fixed_values import (
     BOROUGH_BY_LETTER,
@@ -24,7 +24,7 @@ from civicflow.plans.fixed_values import (
     LEVEL_WORDS,
     PROJECT_SHARES,
 )
-from civicflow.plans.job import Frames, JobSpec
+from civicflow.plans.job import Frames, JobSpec, Share, as_is
 from civicflow.sources.publish import split_by
 
 
@@ -129,12 +129,12 @@ def located_projects(inputs: Frames) -> DataFrame:
 
 def placed_share(projects: DataFrame) -> DataFrame:
     """Part of the projects that could be placed."""
-    return share(projects, F.col("geom").isNotNull(), "share_geocoded")
+    return share_of(projects, F.col("geom").isNotNull(), "share_geocoded")
 
 
-def build_capacity_projects(inputs: Frames) -> Frames:
+def build_capacity_projects(inputs: Frames, share: Share = as_is) -> Frames:
     """All projects and those outside special education and early years."""
-    every = located_projects(inputs)
+    every = share(located_projects(inputs), "capacity_projects")
     kept = every.filter(
         differs(F.col("district"), "75") & differs(F.col("org_level"), "PK") & differs(F.col("org_level"), "3K")
     )
@@ -164,6 +164,7 @@ CAPACITY_PROJECTS = JobSpec(
         "all_capacity_projects_rejects": schemas.CAPACITY_PROJECTS_REJECTS,
     },
     build_capacity_projects,
+    shares=True,
 )
 
 

@@ -8,9 +8,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from civicflow.sources.publish import conform, publish
-from civicflow.sources.tables import DatasetRef, read_versioned
+from civicflow.sources.tables import DatasetRef, read_versioned, staged
 
 Frames = dict[str, DataFrame]
+Share = Callable[[DataFrame, str], DataFrame]
+
+
+def as_is(df: DataFrame, label: str) -> DataFrame:
+    """Leave a frame that several outputs are cut from as it is."""
+    return df
 
 
 @dataclass(frozen=True)
@@ -18,14 +24,17 @@ class JobSpec:
     """``build`` takes the inputs by name and gives the outputs by name.
 
     ``outputs`` maps an output to its schema.  Outputs in ``keep_empty`` publish
-    empty text as it is; all others publish it as NULL.
+    empty text as it is; all others publish it as NULL.  A build step that cuts
+    several outputs from one frame takes a second argument, ``share``, through
+    which it passes that frame; publishing writes the frame once there.
     """
 
     name: str
     inputs: list[str]
     outputs: dict[str, str]
-    build: Callable[[Frames], Frames]
+    build: Callable[..., Frames]
     keep_empty: frozenset[str] = field(default_factory=frozenset)
+    shares: bool = False
 
     def run(self, inputs: Frames) -> Frames:
         """Build and conform every output; nothing is computed yet."""
@@ -44,8 +53,12 @@ class JobSpec:
         ``latest``.
         """
         versions = versions or {}
-        ref = lambda name: DatasetRef(name, versions.get(name, "latest"))
-        built = self.build({name: read_versioned(spark, ref(name), base_in) for name in self.inputs})
+
+        def ref(name: str) -> DatasetRef:
+            return DatasetRef(name, versions.get(name, "latest"))
+
+        inputs = {name: read_versioned(spark, ref(name), base_in) for name in self.inputs}
+        built = self.build(inputs, share=staged) if self.shares else self.build(inputs)
         return {
             name: publish(built[name], ref(name), base_out, ddl, name not in self.keep_empty)
             for name, ddl in self.outputs.items()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.functions.address import house_number, street_name
+from civicflow.functions.dates import iso_date, us_date
 from civicflow.functions.links import cell_anchor
 from civicflow.functions.text import (
     AIRPORT_MARK,
@@ -29,8 +30,7 @@ from civicflow.operators.geocode import drop_outside_city, geocode, place_result
 from civicflow.operators.relate import known_or_blank, lookup_left, null_safe_left
 from civicflow.plans import schemas
 from civicflow.plans.fixed_values import PERMIT_URL_PREFIX, REGISTRATION_TYPES, REVIEW_REPORT
-from civicflow.plans.job import Frames, JobSpec
-from civicflow.functions.dates import iso_date, us_date
+from civicflow.plans.job import Frames, JobSpec, Share, as_is
 from civicflow.sources.publish import split_by
 
 NO_PARCEL = "0000000000"
@@ -74,7 +74,7 @@ def addressed_boiler_permits(permits: DataFrame) -> DataFrame:
     )
 
 
-def build_boiler_permits(inputs: Frames) -> Frames:
+def build_boiler_permits(inputs: Frames, share: Share = as_is) -> Frames:
     """Boiler permits placed on the map, and those that could not be."""
     permits = addressed_boiler_permits(wanted_boiler_permits(inputs["boiler_permits"]))
     placed = geocode(
@@ -82,7 +82,7 @@ def build_boiler_permits(inputs: Frames) -> Frames:
     )
     placed = place_result(drop_outside_city(placed), empty_as_null=False)
     placed = placed.withColumn("geo_bbl", empty_to_null(sentinel_to_null("geo_bbl", NO_PARCEL)))
-    accepted, rejected = split_by(placed, F.col("geom").isNotNull())
+    accepted, rejected = split_by(share(placed, "cats_permits"), F.col("geom").isNotNull())
     return {"cats_permits": accepted, "cats_permits_rejects": rejected}
 
 
@@ -92,6 +92,7 @@ BOILER_PERMITS = JobSpec(
     {"cats_permits": schemas.CATS_PERMITS, "cats_permits_rejects": schemas.CATS_PERMITS_REJECTS},
     build_boiler_permits,
     keep_empty=frozenset(["cats_permits", "cats_permits_rejects"]),
+    shares=True,
 )
 
 
@@ -154,8 +155,8 @@ def newest_permits(permits: DataFrame) -> DataFrame:
     return latest_per_key(permits, keys, issued, ties)
 
 
-def _accept(permits: DataFrame, name: str) -> Frames:
-    accepted, rejected = split_by(newest_permits(permits), F.col("geom").isNotNull())
+def _accept(permits: DataFrame, name: str, share: Share) -> Frames:
+    accepted, rejected = split_by(share(newest_permits(permits), name), F.col("geom").isNotNull())
     return {name: accepted, f"{name}_rejects": rejected}
 
 
@@ -165,11 +166,11 @@ STATE_SOURCE = "nysdec_state_facility_permits"
 TITLE_V_SOURCE = "nysdec_title_v_facility_permits"
 
 
-def build_state_permits(inputs: Frames) -> Frames:
+def build_state_permits(inputs: Frames, share: Share = as_is) -> Frames:
     """State facility permits, placed and newest only."""
     permits = inputs["state_permits"].withColumnsRenamed({"facility_zip": "zipcode", "expire_date": "expiration_date"})
     permits = _corrected(permits.withColumn("permit_id", F.trim("permit_id")), inputs, STATE_SOURCE)
-    return _accept(_located(permits, inputs, inputs["place_names"]), "state_facility_permits")
+    return _accept(_located(permits, inputs, inputs["place_names"]), "state_facility_permits", share)
 
 
 STATE_PERMITS = JobSpec(
@@ -180,6 +181,7 @@ STATE_PERMITS = JobSpec(
         "state_facility_permits_rejects": schemas.FACILITY_PERMITS_REJECTS,
     },
     build_state_permits,
+    shares=True,
 )
 
 
@@ -191,7 +193,7 @@ def permit_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def build_title_v_permits(inputs: Frames) -> Frames:
+def build_title_v_permits(inputs: Frames, share: Share = as_is) -> Frames:
     """Title V facility permits, with links to their text."""
     permits = inputs["title_v_permits"].withColumnsRenamed({"facility_zip": "zipcode"})
     number = F.trim(F.replace(F.col("permit_id"), F.lit(")"), F.lit("")))
@@ -199,7 +201,7 @@ def build_title_v_permits(inputs: Frames) -> Frames:
     located = _located(permits, inputs, None)
     linked = lookup_left(located, permit_links(inputs["permit_pages"]), "permit_id")
     linked = linked.withColumn("url_to_permit_text", replace_if_different("url_to_permit_text", "_url")).drop("_url")
-    return _accept(linked, "title_v_facility_permits")
+    return _accept(linked, "title_v_facility_permits", share)
 
 
 TITLE_V_PERMITS = JobSpec(
@@ -210,4 +212,5 @@ TITLE_V_PERMITS = JobSpec(
         "title_v_facility_permits_rejects": schemas.FACILITY_PERMITS_REJECTS,
     },
     build_title_v_permits,
+    shares=True,
 )

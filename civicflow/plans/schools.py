@@ -16,7 +16,7 @@ from civicflow.plans.fixed_values import (
     OTHER_SCHOOLS,
     RESTART_SCHOOLS,
 )
-from civicflow.plans.job import Frames, JobSpec
+from civicflow.plans.job import Frames, JobSpec, Share, as_is
 
 
 def _like(c: str, text: str) -> Column:
@@ -124,9 +124,10 @@ def unmatched_blue_book(inputs: Frames) -> DataFrame:
     return tagged.withColumn("match", F.when(absent, F.lit("not in lcgms"))).drop("_absent")
 
 
-def build_school_buildings(inputs: Frames) -> Frames:
+def build_school_buildings(inputs: Frames, share: Share = as_is) -> Frames:
     """Listed buildings with the blue book's enrolment and capacity (R2)."""
     book, schools = tagged_school_list(inputs)
+    schools = share(schools, "school_list")
     a = schools.filter(F.col("excluded").isNull() & F.col("match").isNull()).alias("a")
     b = book.filter(F.col("excluded").isNull()).alias("b")
     same = (F.col("a.location_code") == F.col("b.org_id")) & (F.col("a.building_code") == F.col("b.bldg_id"))
@@ -188,4 +189,5 @@ SCHOOL_BUILDINGS = JobSpec(
     ["blue_book", "school_list"],
     {"school_buildings": schemas.SCHOOL_BUILDINGS, "school_research": RESEARCH_SCHEMA},
     build_school_buildings,
+    shares=True,
 )
