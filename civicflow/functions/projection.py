@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from civicflow.functions.text import col, let
+from civicflow.functions.text import col
 
 # Fixed values of EPSG:2263 on the GRS80 ellipsoid.
 SEMI_MAJOR_AXIS = 6378137.0
@@ -45,26 +45,19 @@ SCALE = _m(_P1) / (CONE * _t(_P1) ** CONE)
 RHO_ORIGIN = SEMI_MAJOR_AXIS * SCALE * _t(_P0) ** CONE
 
 
-def _degrees(x: Column, y: Column) -> Column:
-    rho = F.sqrt(x * x + y * y)
-    lon = F.degrees(F.atan2(x, y) / CONE) + ORIGIN_LONGITUDE
-    # The iteration runs over a short constant array so that the expression
-    # stays small; nesting it would double the tree at every step.
-    t = F.pow(rho / (SEMI_MAJOR_AXIS * SCALE), F.lit(1 / CONE))
-
-    def step(state: Column, _: Column) -> Column:
-        s = F.sin(state["phi"]) * _E
-        phi = F.lit(math.pi / 2) - 2 * F.atan(state["t"] * F.pow((1 - s) / (1 + s), F.lit(_E / 2)))
-        return F.struct(state["t"].alias("t"), phi.alias("phi"))
-
-    start = F.struct(t.alias("t"), (F.lit(math.pi / 2) - 2 * F.atan(t)).alias("phi"))
-    steps = F.array(*[F.lit(i) for i in range(LATITUDE_STEPS)])
-    lat = F.aggregate(steps, start, step, lambda s: F.degrees(s["phi"]))
-    return F.when(x.isNotNull() & y.isNotNull(), F.struct(lon.alias("lon"), lat.alias("lat")))
-
-
 def to_lon_lat(x_feet, y_feet) -> Column:
-    """(lon, lat) in degrees of a point in state-plane feet."""
+    """(lon, lat) in degrees of a point in state-plane feet.
+
+    The inputs are used several times over, so they should be columns, not
+    costly expressions.  Each step of the latitude uses the one before it just
+    once, which keeps the expression short and inside generated code:
+    ((1 - s) / (1 + s)) ** (e / 2) is exp(-e * atanh(s)).
+    """
     x = (col(x_feet) - FALSE_EASTING_FEET) * FOOT
     y = F.lit(RHO_ORIGIN) - (col(y_feet) - FALSE_NORTHING_FEET) * FOOT
-    return let(F.struct(x.alias("x"), y.alias("y")), lambda p: _degrees(p["x"], p["y"]))
+    t = F.pow(F.hypot(x, y) / (SEMI_MAJOR_AXIS * SCALE), F.lit(1 / CONE))
+    lat = F.lit(math.pi / 2) - 2 * F.atan(t)
+    for _ in range(LATITUDE_STEPS):
+        lat = F.lit(math.pi / 2) - 2 * F.atan(t * F.exp(F.atanh(F.sin(lat) * _E) * -_E))
+    lon = F.degrees(F.atan2(x, y) / CONE) + ORIGIN_LONGITUDE
+    return F.struct(lon.alias("lon"), F.degrees(lat).alias("lat"))

@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.functions.address import crossing, street_key, stretch
-from civicflow.functions.geometry import midpoint, packed_xy, point_wkt, point_wkt_of
+from civicflow.functions.geometry import midpoint, packed_xy, point_wkt_of
 from civicflow.functions.numbers import to_number
 from civicflow.functions.projection import to_lon_lat
-from civicflow.functions.text import blank, col, empty_to_null, is_blank, let
-from civicflow.operators.relate import differs, lookup_spread
+from civicflow.functions.text import blank, col, empty_to_null, is_blank
+from civicflow.operators.relate import computed, differs, lookup_spread
 
 # The fields of a geocoding result, in order.
 RESULT_FIELDS = [
@@ -160,7 +160,7 @@ def stretch_book(segments: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _with_result(df: DataFrame, columns: list[str], record: Column, function: Column, extra: list[Column]) -> DataFrame:
-    placed = df.withColumn("_result", record).withColumn("geo_function", function)
+    placed = computed(df, {"_result": record, "geo_function": function})
     fields = [F.col(f"_result.{f}").alias(f) for f in RESULT_FIELDS]
     return placed.select(*[F.col(f"`{c}`") for c in columns], *fields, *extra, "geo_function")
 
@@ -193,10 +193,13 @@ def geocode(
     """
     columns = df.columns
     book = address_book(points, area, places)
-    keyed = (
-        df.withColumn("_house", empty_to_null(F.upper(F.trim(house))))
-        .withColumn("_street", street_key(street))
-        .withColumn("_area", empty_to_null(F.upper(F.trim(area))))
+    keyed = computed(
+        df,
+        {
+            "_house": empty_to_null(F.upper(F.trim(house))),
+            "_street": street_key(street),
+            "_area": empty_to_null(F.upper(F.trim(area))),
+        },
     )
     found = lookup_spread(keyed, book, ["_house", "_street", "_area"])
     live, pending, place = F.col("_live"), F.col("_pending"), F.col("_place")
@@ -204,10 +207,12 @@ def geocode(
     found = found.withColumn("_step", step)
 
     open_pair = F.col("_step").isNull() & ~is_blank(street_1)
-    a, b = street_key(street_1), street_key(street_2)
+    a, b = F.col("_a"), F.col("_b")
+    keys = {"_a": F.when(open_pair, street_key(street_1)), "_b": F.when(open_pair, street_key(street_2))}
     found = (
-        found.withColumn("_first", F.when(open_pair & b.isNotNull(), F.least(a, b)))
-        .withColumn("_second", F.when(open_pair & b.isNotNull(), F.greatest(a, b)))
+        computed(found, keys)
+        .withColumn("_first", F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)))
+        .withColumn("_second", F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)))
         .withColumn("_borough", F.when(open_pair, empty_to_null(F.upper(F.trim(borough)))))
     )
     found = lookup_spread(found, crossing_book(crossings), ["_first", "_second", "_borough"])
@@ -244,29 +249,38 @@ def geocode_with_stretch(
     columns = df.columns
     book = address_book(points, "borough")
     area = empty_to_null(F.upper(F.trim(borough)))
-    keyed = (
-        df.withColumn("_house", empty_to_null(F.upper(F.trim(house))))
-        .withColumn("_street", street_key(street))
-        .withColumn("_area", area)
+    keyed = computed(
+        df,
+        {
+            "_house": empty_to_null(F.upper(F.trim(house))),
+            "_street": street_key(street),
+            "_area": area,
+            "_between": stretch(address),
+            "_pair": crossing(address),
+        },
     )
     found = lookup_spread(keyed, book, ["_house", "_street", "_area"])
     live = F.col("_live")
     open_row = ~_ok(live)
-    found = found.withColumn("_between", stretch(address)).withColumn("_pair", crossing(address))
-    between = F.col("_between")
-    found = (
-        found.withColumn("_on", F.when(open_row, street_key(between["street_1"])))
-        .withColumn("_from", F.when(open_row, street_key(between["street_2"])))
-        .withColumn("_to", F.when(open_row, street_key(between["street_3"])))
-        .withColumn("_borough", area)
-    )
+    # Street keys are worked out once, ahead of the joins that use them.
+    between, pair = F.col("_between"), F.col("_pair")
+    found = computed(
+        found,
+        {
+            "_on": F.when(open_row, street_key(between["street_1"])),
+            "_from": F.when(open_row, street_key(between["street_2"])),
+            "_to": F.when(open_row, street_key(between["street_3"])),
+            "_borough": area,
+            "_a": F.when(open_row, street_key(pair["street_1"])),
+            "_b": F.when(open_row, street_key(pair["street_2"])),
+        },
+    ).drop("_between", "_pair")
     found = lookup_spread(found, stretch_book(segments, nodes), ["_on", "_from", "_to", "_borough"])
     ends = F.col("_stretch")
-    pair = F.col("_pair")
-    a, b = street_key(pair["street_1"]), street_key(pair["street_2"])
-    open_row = open_row & ends.isNull() & a.isNotNull() & b.isNotNull()
-    found = found.withColumn("_first", F.when(open_row, F.least(a, b))).withColumn(
-        "_second", F.when(open_row, F.greatest(a, b))
+    a, b = F.col("_a"), F.col("_b")
+    both = ends.isNull() & a.isNotNull() & b.isNotNull()
+    found = found.withColumn("_first", F.when(both, F.least(a, b))).withColumn(
+        "_second", F.when(both, F.greatest(a, b))
     )
     found = lookup_spread(found, crossing_book(crossings), ["_first", "_second", "_borough"])
     hit = F.col("_crossing")
@@ -318,51 +332,72 @@ def place_result(df: DataFrame, empty_as_null: bool = True) -> DataFrame:
     a part is missing; ``empty_as_null`` tells whether '' counts as missing.
     """
     part = empty_to_null if empty_as_null else col
-    crossed = to_lon_lat(to_number("geo_x_coord"), to_number("geo_y_coord"))
-    geom = F.when(F.col("geo_function") == BY_CROSSING, point_wkt_of(crossed)).otherwise(
-        point_wkt("geo_longitude", "geo_latitude")
+    by_crossing = F.col("geo_function") == BY_CROSSING
+    df = computed(df, {"_x": to_number("geo_x_coord"), "_y": to_number("geo_y_coord")})
+    crossed = to_lon_lat("_x", "_y")
+    df = computed(
+        df,
+        {
+            "_lon": F.when(by_crossing, crossed["lon"]).otherwise(to_number("geo_longitude")),
+            "_lat": F.when(by_crossing, crossed["lat"]).otherwise(to_number("geo_latitude")),
+        },
     )
     by_hand = F.col("geo_function") == BY_HAND
 
     def number(c: str) -> Column:
         return F.when(~by_hand, to_number(c))
 
-    return df.withColumns(
+    return computed(
+        df,
         {
-            "geom": geom,
+            "geom": point_wkt_of(F.struct(F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))),
             "geo_address": F.concat(part("geo_housenum"), F.lit(" "), part("geo_streetname")),
             "geo_longitude": number("geo_longitude"),
             "geo_latitude": number("geo_latitude"),
             "geo_x_coord": empty_to_null("geo_x_coord"),
             "geo_y_coord": empty_to_null("geo_y_coord"),
-        }
-    )
+        },
+    ).drop("_x", "_y", "_lon", "_lat")
 
 
 def place_stretch_result(df: DataFrame) -> DataFrame:
     """Geometry of a crossing, a stretch's middle or a packed coordinate."""
-    crossed = to_lon_lat(to_number("geo_x_coord"), to_number("geo_y_coord"))
-    ends = F.struct(
-        to_lon_lat("geo_from_x_coord", "geo_from_y_coord").alias("a"),
-        to_lon_lat("geo_to_x_coord", "geo_to_y_coord").alias("b"),
-    )
-    middle = let(ends, lambda e: midpoint(e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]))
-    packed = let(packed_xy(empty_to_null("geo_xy_coord")), lambda p: to_lon_lat(p["x"], p["y"]))
-    direct = point_wkt("geo_longitude", "geo_latitude")
-    use_packed = (
-        (F.col("geo_function") == BY_ADDRESS) & direct.isNull() & empty_to_null("geo_xy_coord").isNotNull()
-    )
-    geom = (
-        F.when(F.col("geo_function") == BY_CROSSING, point_wkt_of(crossed))
-        .when(F.col("geo_function") == BY_STRETCH, point_wkt_of(middle))
-        .when(use_packed, point_wkt_of(packed))
-        .otherwise(direct)
-    )
-    return df.withColumns(
+    packed = packed_xy(empty_to_null("geo_xy_coord"))
+    df = computed(
+        df,
         {
-            "geom": geom,
-            "geo_function": F.when(use_packed, F.lit(BY_PACKED)).otherwise(F.col("geo_function")),
             "geo_x_coord": to_number("geo_x_coord"),
             "geo_y_coord": to_number("geo_y_coord"),
-        }
+            "_lon": to_number("geo_longitude"),
+            "_lat": to_number("geo_latitude"),
+        },
+    )
+    direct = F.col("_lon").isNotNull() & F.col("_lat").isNotNull()
+    use_packed = (F.col("geo_function") == BY_ADDRESS) & ~direct & empty_to_null("geo_xy_coord").isNotNull()
+    df = df.withColumn("geo_function", F.when(use_packed, F.lit(BY_PACKED)).otherwise(F.col("geo_function")))
+    # One pair of coordinates to reproject, whichever the lookup gave, and the
+    # far end of a stretch.
+    function = F.col("geo_function")
+    df = computed(
+        df,
+        {
+            "_x": F.when(function == BY_CROSSING, F.col("geo_x_coord"))
+            .when(function == BY_STRETCH, F.col("geo_from_x_coord"))
+            .when(function == BY_PACKED, packed["x"]),
+            "_y": F.when(function == BY_CROSSING, F.col("geo_y_coord"))
+            .when(function == BY_STRETCH, F.col("geo_from_y_coord"))
+            .when(function == BY_PACKED, packed["y"]),
+        },
+    )
+    near, far = to_lon_lat("_x", "_y"), to_lon_lat("geo_to_x_coord", "geo_to_y_coord")
+    middle = midpoint(near["lon"], near["lat"], far["lon"], far["lat"])
+    placed = function.isin(BY_CROSSING, BY_PACKED)
+    df = computed(
+        df,
+        {
+            c: F.when(placed, near[n]).when(function == BY_STRETCH, middle[n]).otherwise(F.col(c))
+            for c, n in [("_lon", "lon"), ("_lat", "lat")]
+        },
     )
+    point = F.struct(F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
+    return computed(df, {"geom": point_wkt_of(point)}).drop("_x", "_y", "_lon", "_lat")

@@ -15,6 +15,18 @@ from pyspark.sql import types as T
 SPREAD = 1024
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that are worked out once and for all.
+
+    The optimizer writes a plain column's expression out wherever it is used,
+    filters included, and costly steps built on one another grow without bound.
+    It cannot look through an explode, here of a single element.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    entry = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_computed")
+    return df.select("*", entry).select(*kept, *[F.col(f"_computed.`{n}`").alias(n) for n in columns])
+
+
 def lookup_left(df: DataFrame, dim: DataFrame, on: str | list[str]) -> DataFrame:
     """Every row, with the columns of all matching lookup rows.
 

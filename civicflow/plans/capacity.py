@@ -11,7 +11,7 @@ from civicflow.functions.dates import BUDGET_DATE_SHAPES, PLAN_DATE_SHAPES, firs
 from civicflow.functions.numbers import ratio, to_number, to_whole, truncated
 from civicflow.functions.text import blank, clean_house, clean_street, content_hash, sentinel_to_null
 from civicflow.operators.geocode import geocode_with_stretch, place_stretch_result
-from civicflow.operators.relate import differs, override_by_key, union_missing
+from civicflow.operators.relate import computed, differs, override_by_key, union_missing
 from civicflow.operators.reshape import share as share_of
 from civicflow.plans import schemas
 from civicflow.plans.fixed_values import (
@@ -92,26 +92,28 @@ def described_projects(inputs: Frames) -> DataFrame:
     plans = override_by_key(
         plans, "name", "address", inputs["address_cor"], "school", F.upper("address"), position
     )
-    plans = plans.withColumns(
+    plans = computed(
+        plans,
         {
             "borough": label(F.trim("borough"), BOROUGH_BY_LETTER, ""),
             "hnum": clean_house(house_number("address")),
             "sname": clean_street(street_name("address"), fillers=["'"], airport=False),
             "org_level": project_level("name"),
-        }
+        },
     )
     plans = override_by_key(
         plans, "name", "org_level", inputs["level_cor"], "school", F.col("org_level"), position
     )
     level = F.col("org_level")
-    return plans.withColumns(
+    return computed(
+        plans,
         {
             "capacity": F.coalesce(truncated(to_number("forecastcapacity"), "bigint"), F.lit(0)),
             "start_date": first_readable_date("start_date", PLAN_DATE_SHAPES),
             **{name: weight(level, shares) for name, shares in PROJECT_SHARES.items()},
             "guessed_pct": F.coalesce(F.length(level), F.lit(0)) > 2,
             "org_level": sentinel_to_null("org_level", "SE"),
-        }
+        },
     )
 
 

@@ -27,7 +27,7 @@ from civicflow.functions.text import (
 )
 from civicflow.operators.dedup import latest_per_key
 from civicflow.operators.geocode import drop_outside_city, geocode, place_result, use_manual_position
-from civicflow.operators.relate import known_or_blank, lookup_left, null_safe_left
+from civicflow.operators.relate import computed, known_or_blank, lookup_left, null_safe_left
 from civicflow.plans import schemas
 from civicflow.plans.fixed_values import PERMIT_URL_PREFIX, REGISTRATION_TYPES, REVIEW_REPORT
 from civicflow.plans.job import Frames, JobSpec, Share, as_is
@@ -54,24 +54,19 @@ def addressed_boiler_permits(permits: DataFrame) -> DataFrame:
     )
     borough = clean_borough("borough")
     at_airport = F.coalesce(F.col("streetname").contains(AIRPORT_MARK), F.lit(False))
-    return (
-        renamed.withColumns(
-            {
-                # Permits at the airport without a borough are in Queens (trap T3).
-                "borough": F.when(at_airport & borough.isNull(), F.lit("Queens")).otherwise(borough),
-                "address": spaced(clean_house("housenum", blank_leading_zero=True), clean_street("streetname")),
-                "status": F.trim("status"),
-            }
-        )
-        .withColumns(
-            {
-                "hnum": house_number("address"),
-                "sname": street_name("address"),
-                "streetname_1": street_name(crossing_part("address", CROSSING_WIDE, first=True)),
-                "streetname_2": street_name(crossing_part("address", CROSSING_WIDE, first=False)),
-            }
-        )
-    )
+    cleaned = {
+        # Permits at the airport without a borough are in Queens (trap T3).
+        "borough": F.when(at_airport & borough.isNull(), F.lit("Queens")).otherwise(borough),
+        "address": spaced(clean_house("housenum", blank_leading_zero=True), clean_street("streetname")),
+        "status": F.trim("status"),
+    }
+    parts = {
+        "hnum": house_number("address"),
+        "sname": street_name("address"),
+        "streetname_1": street_name(crossing_part("address", CROSSING_WIDE, first=True)),
+        "streetname_2": street_name(crossing_part("address", CROSSING_WIDE, first=False)),
+    }
+    return computed(computed(renamed, cleaned), parts)
 
 
 def build_boiler_permits(inputs: Frames, share: Share = as_is) -> Frames:
@@ -119,14 +114,15 @@ def _corrected(permits: DataFrame, inputs: Frames, source: str) -> DataFrame:
     joined = null_safe_left(joined, corrections, ["permit_id", "facility_location", "facility_city"])
     joined = joined.withColumns({c: blank(c) for c in ["correction", "latitude", "longitude", "facility_city"]})
     kept = known_or_blank(joined, [("facility_city", cities, "city"), ("zipcode", cities, "zipcode")])
-    addressed = kept.withColumn("address", prefer("correction", cut_at_first("facility_location")))
-    return addressed.withColumns(
+    addressed = computed(kept, {"address": prefer("correction", cut_at_first("facility_location"))})
+    return computed(
+        addressed,
         {
             "housenum": before(house_number("address"), "/"),
             "streetname": street_name("address"),
             "streetname_1": street_name(crossing_part("facility_location", CROSSING_NARROW, first=True)),
             "streetname_2": street_name(crossing_part("facility_location", CROSSING_NARROW, first=False)),
-        }
+        },
     )
 
 
