@@ -29,25 +29,33 @@ class DatasetRef:
         return f"{base.rstrip('/')}/{self.name}/{self.version.replace('/', '__')}"
 
 
-def read_versioned(spark: SparkSession, ref: DatasetRef | str, base: str) -> DataFrame:
+def read_versioned(spark: SparkSession, ref: DatasetRef | str, base: str | None = None) -> DataFrame:
     """Scan one version of a dataset.
 
-    Filters and selections made on the result reach the Parquet scan (S2, S3).
+    Without a base folder the version is a table of the session's catalog, in
+    the schema named after the dataset.  Filters and selections made on the
+    result reach the Parquet scan (S2, S3).
     """
     ref = DatasetRef.parse(ref) if isinstance(ref, str) else ref
+    if base is None:
+        return spark.table(f"`{ref.name}`.`{ref.version.replace('/', '__')}`")
     return spark.read.parquet(ref.path(base))
 
 
-def read_csv_text(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_csv_text(
+    spark: SparkSession, path: str, columns: list[str] | None = None, line: str | None = None
+) -> DataFrame:
     """CSV with a header, every column as text.
 
     Giving the columns saves the pass that reads the header.  Quoted fields may
-    hold line breaks and doubled quotes.
+    hold line breaks and doubled quotes.  ``line`` names a column to add that
+    grows with the lines of a file, for corrections of which the last one wins.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return reader.csv(path)
+    rows = reader.csv(path)
+    return rows if line is None else rows.withColumn(line, F.monotonically_increasing_id())
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -73,6 +73,22 @@ def test_csv_is_text_with_quotes(spark, tmp_path):
     assert sorted(read_csv_text(spark, path, ["id", "t"]).collect()) == sorted(df.collect())
 
 
+def test_csv_lines_keep_their_order(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("school,address\nA,one\nB,x\nA,two\n")
+    rows = read_csv_text(spark, str(tmp_path / "c.csv"), line="line").orderBy("line").collect()
+    assert [r.address for r in rows] == ["one", "x", "two"]
+
+
+def test_version_of_a_catalog_table(spark):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS flows_test")
+    spark.sql("DROP TABLE IF EXISTS flows_test.`2019__09`")
+    spark.range(3).write.saveAsTable("flows_test.`2019__09`")
+    try:
+        assert read_versioned(spark, 'flows_test."2019/09"').count() == 3
+    finally:
+        spark.sql("DROP SCHEMA flows_test CASCADE")
+
+
 def test_renamed_selection_prunes_the_scan(spark, tmp_path):
     spark.sql("SELECT 1 AS `totwork_16+`, 2 AS b, 3 AS c").write.parquet(str(tmp_path / "p"))
     df = select_renamed(spark.read.parquet(str(tmp_path / "p")), {"totwork_16+": "count"})
