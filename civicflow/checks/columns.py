@@ -182,24 +182,26 @@ def string_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check(
     "intersection_split",
     r"""
-WITH t AS (SELECT doc_id, text FROM {documents})
+WITH t AS (SELECT doc_id, text, upper(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')) AS plain FROM {documents})
 SELECT doc_id,
        md5(CASE WHEN regexp_matches(text, '(?i)&| AND ') THEN string_split_regex(text, '(?i)&| AND ')[1] ELSE '' END) AS first_part,
        md5(CASE WHEN regexp_matches(text, '(?i)&| AND ') THEN string_split_regex(text, '(?i)&| AND ')[-1] ELSE '' END) AS last_part,
        md5(CASE WHEN regexp_matches(text, '(?i)&| AND |CROSS|CRS') THEN string_split_regex(text, '(?i)&| AND |CROSS|CRS')[1]
            ELSE '' END) AS wide_part,
-       md5(CASE WHEN len(string_split_regex(upper(text), '\bAND\b')) >= 2
-           THEN trim(string_split_regex(upper(text), '\bAND\b')[2], ' ') ELSE '' END) AS street_2
+       md5(CASE WHEN len(string_split_regex(plain, '\bAND\b')) >= 2
+           THEN trim(string_split_regex(plain, '\bAND\b')[2], ' ') ELSE '' END) AS street_2
 FROM t
 """,
 )
 def intersection_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The oracle's word boundary knows plain letters only.
+    plain = F.upper(F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.md5(crossing_part("text", CROSSING_NARROW, first=True)).alias("first_part"),
         F.md5(crossing_part("text", CROSSING_NARROW, first=False)).alias("last_part"),
         F.md5(crossing_part("text", CROSSING_WIDE, first=True)).alias("wide_part"),
-        F.md5(crossing(F.upper("text"))["street_2"]).alias("street_2"),
+        F.md5(crossing(plain)["street_2"]).alias("street_2"),
     )
 
 

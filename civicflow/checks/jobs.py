@@ -154,7 +154,7 @@ ROAD_LINES = """
 SELECT o_orderkey AS ogc_fid, CAST(o_custkey AS STRING) AS objectid, 'Muni ' || CAST(o_custkey % 60 AS STRING) AS municipality_desc,
        x, y, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN
          'MULTILINESTRING ((' || CAST(x AS STRING) || ' ' || CAST(y AS STRING) || ', ' || CAST(x + 0.0625 AS STRING) || ' ' || CAST(y AS STRING)
-           || '), (5 5, 6 6))'
+           || '), (5 5, 5.0625 5))'
        ELSE 'LINESTRING (' || CAST(x AS STRING) || ' ' || CAST(y AS STRING) || ',' || CAST(x AS STRING) || ' ' || CAST(y + 0.0625 AS STRING) || ')'
        END AS geom
 FROM (SELECT o_orderkey, o_custkey, CAST(o_orderkey % 96 AS DOUBLE) / 32 - 75 AS x, CAST(o_custkey % 96 AS DOUBLE) / 32 + 40 AS y FROM {orders})

@@ -104,8 +104,27 @@ def polygon_cells(areas: DataFrame, polygons: Column, size: float) -> DataFrame:
     return cells.withColumn("ray", F.when(F.size("near") > 0, F.col("ray")).otherwise(F.col("near")))
 
 
-def segment_cells(lines: DataFrame, id_column: str, parts: Column, size: float) -> DataFrame:
-    """Cells each segment of each line runs through, band by band."""
+def extent(areas: DataFrame, polygons: Column) -> Column:
+    """Bounding box of all areas as (x0, x1, y0, y1), worked out once."""
+    points = F.flatten(F.flatten(polygons))
+    sides = areas.select(
+        F.transform(points, lambda p: p["x"]).alias("x"), F.transform(points, lambda p: p["y"]).alias("y")
+    ).agg(
+        F.struct(
+            F.min(F.array_min("x")).alias("x0"),
+            F.max(F.array_max("x")).alias("x1"),
+            F.min(F.array_min("y")).alias("y0"),
+            F.max(F.array_max("y")).alias("y1"),
+        )
+    )
+    return sides.scalar()
+
+
+def segment_cells(lines: DataFrame, id_column: str, parts: Column, box: Column, size: float) -> DataFrame:
+    """Cells each segment of each line runs through, band by band.
+
+    Segments outside the box are dropped before they are laid on the grid.
+    """
 
     def numbered(part: Column) -> Column:
         alone = F.struct(
@@ -118,6 +137,12 @@ def segment_cells(lines: DataFrame, id_column: str, parts: Column, size: float)
     s = lines.select(F.col(id_column).alias("_id"), segments.alias("s"))
     s = s.select("_id", F.col("s.e").alias("e"), F.col("s.first").alias("first"))
     e = F.col("e")
+    s = s.filter(
+        (_high(e, "x") >= box["x0"])
+        & (_low(e, "x") <= box["x1"])
+        & (_high(e, "y") >= box["y0"])
+        & (_low(e, "y") <= box["y1"])
+    )
     s = s.select("_id", "e", "first", F.explode(_span(_low(e, "y"), _high(e, "y"), size)).alias("cy"))
     # x at the lower and upper border of the band, kept within the segment.
     bottom, top = F.col("cy") * F.lit(size), (F.col("cy") + 1) * F.lit(size)
@@ -141,7 +166,7 @@ def meets_any(
     ``parts`` gives an array of lines and ``polygons`` an array of polygons;
     ``size`` is the side of a grid cell in the units of the coordinates.
     """
-    near = segment_cells(lines, id_column, parts, size)
+    near = segment_cells(lines, id_column, parts, extent(areas, polygons), size)
     cells = polygon_cells(areas, polygons, size)
     e = F.col("e")
     starts_here = F.col("first") & (_cell(e["x1"], size) == F.col("cx")) & (_cell(e["y1"], size) == F.col("cy"))
