@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from civicflow.llm import byte_bpe, quality_classifier
 from civicflow.llm.minhash_dedup import Near, near_duplicates
+from civicflow.llm.order_minhash import fingerprints
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +19,43 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(doc_id: Column, by: int) -> Column:
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(by))
+
+
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label) of the rows that may be learned from."""
+    labels = _table(spark, sf_dir, "labels").where(_remainder(F.col("doc_id"), 4) != 2)
+    return labels.select("doc_id", F.col("quality").alias("label"))
+
+
+def op1_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, by a model of the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality_classifier.classify(docs, quality_labels(spark, sf_dir))
+    return scored.select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def byte_ranks() -> bytes:
+    """The rank file of the production tokenizer."""
+    return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document to ids and back, as digests."""
+    docs, ranks = _table(spark, sf_dir, "documents").select("doc_id", "text"), byte_ranks()
+    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    both = byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    return both.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, by sets of four-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), Near(width=4, percent=80))
@@ -23,6 +64,9 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_naive_bayes_svm,
+        op2_order_minhash,
+        op7_byte_bpe,
         op9_minhash_near_dedup,
     )
 }

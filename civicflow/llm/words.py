@@ -73,11 +73,13 @@ def slices(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Words:
-    """Words of documents first to last: hashes, byte spans in ``data``, and the first word of each document."""
+    """Words of documents first to last: their bytes and the cuts between documents, hashes and byte spans of the
+    words, and the first word of each document."""
 
     first: int
     last: int
     data: np.ndarray
+    cuts: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
@@ -125,7 +127,7 @@ def words(texts: pa.Array, lower: bool, most: int = PIECE) -> Iterator[Words]:
         hashes, starts, ends = (
             (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2)
         )
-        yield Words(first, last, held, hashes, starts, ends, np.searchsorted(starts, cuts))
+        yield Words(first, last, held, cuts, hashes, starts, ends, np.searchsorted(starts, cuts))
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
