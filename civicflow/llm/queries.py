@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm import byte_bpe, quality_classifier
+from civicflow.llm import backoff_lm, byte_bpe, quality_classifier, token_shards, url_filter
+from civicflow.llm.components import shared_folder
+from civicflow.llm.html_extraction import extract
 from civicflow.llm.minhash_dedup import Near, near_duplicates
 from civicflow.llm.order_minhash import fingerprints
+from civicflow.llm.repetition_rules import Limits, judged
+from civicflow.llm.source_mixing import Mix, mixed, n_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +47,38 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+#: The production mix: three domains, four languages, equal sources; as many tokens as there are, two epochs at most.
+MIX = Mix(
+    domains={"src0": "web"} | {f"src{k}": "reference" for k in range(1, 10)},
+    domain_weights={"web": 2, "reference": 5, "other": 3},
+    lang_weights={"en": 5, "de": 2, "fr": 2, "es": 1},
+)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the production mix, one row for each epoch of each."""
+    out = mixed(_table(spark, sf_dir, "documents"), MIX, epoch="epoch")
+    return out.select("doc_id", "lang", "source", n_tokens(F.col("text")).alias("n_tokens"), "epoch")
+
+
+def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the model of those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = backoff_lm.scores(docs, _remainder(F.col("doc_id"), 7) != 2)
+    return scored.withColumn("held_out", _remainder(F.col("doc_id"), 7) == 2)
+
+
+def op6_suffix_array_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document."""
+    out = judged(_table(spark, sf_dir, "documents"), Limits())
+    return out.drop("longest_repeat")
+
+
 def byte_ranks() -> bytes:
     """The rank file of the production tokenizer."""
     return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -56,24 +94,138 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's UTF-8 bytes as ids, written to shards and read back: a digest of each sequence."""
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    token_shards.write_shards(_table(spark, sf_dir, "documents"), F.col("text").cast("binary"), path)
+    rows = token_shards.read_slots(spark, path)
+    return rows.select("slot", "shard", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, by sets of four-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), Near(width=4, percent=80))
 
 
+#: Verdicts by host and path.
+URL_RULES = {
+    "org/": "allow",
+    "example.org/es/": "block",
+    "example.org/en/1": "block",
+    "com/fr/": "allow",
+    "com/de/": "block",
+}
+
+
+def op10_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url; the model is trained from urls that the rules decide."""
+    pages = _table(spark, sf_dir, "pages")
+    url = F.col("url")
+    rule = url_filter.rule_of(url_filter.host_of(url), url_filter.path_of(url), URL_RULES)
+    label = F.when(rule.isin([r for r, v in URL_RULES.items() if v == "block"]), 1).when(rule.isNotNull(), 0)
+    model = url_filter.fit(pages.select("url", label.alias("block")))
+    return url_filter.judge(pages, URL_RULES, model)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_naive_bayes_svm,
         op2_order_minhash,
+        op3_source_mixing,
+        op4_text_density,
+        op5_backoff_automaton,
+        op6_suffix_array_rules,
         op7_byte_bpe,
+        op8_feistel_shards,
         op9_minhash_near_dedup,
+        op10_url_logistic,
     )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _family(level: str, up: str | None, family: list[str], name: str, weight: str) -> str:
+    """SQL that shares out the budgets of one level of the tree, as tables {level}_a and {level}."""
+    keys = [*family, name]
+    of = f"PARTITION BY {', '.join(family)}" if family else ""
+    given = "u.budget" if up else f"(SELECT floor(sum(tokens) * {MIX.percent} / 100.0)::BIGINT FROM leaves)"
+    join = f"JOIN {up} u ON " + " AND ".join(f"u.{c} IS NOT DISTINCT FROM s.{c}" for c in family) if up else ""
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+        {level}_s AS (SELECT {', '.join(keys)}, sum(tokens) * {MIX.epochs} AS supply, sum(tokens) AS tokens,
+            ({weight})::BIGINT AS weight FROM leaves GROUP BY {', '.join(keys)}),
+        {level}_g AS (SELECT s.*, {given} AS given FROM {level}_s s {join}),
+        {level}_a AS (SELECT *, given - coalesce(sum(supply) OVER w, 0) AS still,
+            sum(weight) OVER ({of}) - coalesce(sum(weight) OVER w, 0) AS open_weight FROM {level}_g
+            WINDOW w AS ({of} ORDER BY supply::DOUBLE / nullif(weight, 0)::DOUBLE NULLS LAST, {name} NULLS FIRST {before})),
+        {level}_f AS (SELECT *, supply::HUGEINT * open_weight <= weight::HUGEINT * still AS filled FROM {level}_a),
+        {level}_r AS (SELECT *, given - coalesce(sum(supply) FILTER (filled) OVER ({of}), 0) AS rest,
+            sum(weight) OVER ({of}) - coalesce(sum(weight) FILTER (filled) OVER ({of}), 0) AS rest_weight FROM {level}_f),
+        {level} AS (SELECT {', '.join(keys)}, tokens, (CASE WHEN filled THEN supply
+            ELSE coalesce(weight * rest // nullif(rest_weight, 0), 0) END)::BIGINT AS budget FROM {level}_r),"""
+
+
+def _case(column: str, names: dict, other: str) -> str:
+    shown = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    whens = " ".join(f"WHEN {column} = '{k}' THEN {shown(v)}" for k, v in names.items())
+    return f"CASE {whens} ELSE {other} END" if names else other
+
+
+def _mixing_sql() -> str:
+    leaf = ["domain", "lang", "source"]
+    same = lambda a, b: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in leaf)
+    return rf"""
+        WITH docs AS (SELECT doc_id, lang, source, {_case('source', MIX.domains, "'other'")} AS domain,
+            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
+        {_family('one', None, [], 'domain', _case('domain', MIX.domain_weights, '1'))}
+        {_family('two', 'one', ['domain'], 'lang', _case('lang', MIX.lang_weights, '1'))}
+        {_family('three', 'two', ['domain', 'lang'], 'source', _case('source', MIX.source_weights, '1'))}
+        plan AS (SELECT *, coalesce(budget // nullif(tokens, 0), 0) AS epochs FROM three),
+        placed AS (SELECT d.*, p.epochs, p.budget - p.epochs * p.tokens AS rest,
+            md5('{MIX.seed}:' || p.epochs || ':' || d.doc_id) AS place FROM docs d JOIN plan p ON {same('d', 'p')}),
+        summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) AS through FROM placed),
+        copies AS (SELECT *, (epochs + (through <= rest)::INT)::BIGINT AS n FROM summed)
+        SELECT doc_id, lang, source, n_tokens, unnest(range(0, n))::INT AS epoch FROM copies"""
+
+
+def _rules_sql() -> str:
+    p = Limits()
+    runs = "".join(
+        f"""
+        all{k} AS (SELECT doc_id, i, ws[i:i + {k - 1}] AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM cut)),
+        runs{k} AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM all{k}) WHERE n > 1),
+        in{k} AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM runs{k}, range(0, {k}) t(j) GROUP BY doc_id),"""
+        for k in sorted({p.window, p.repeat, p.longest + 1})
+    )
+    return rf"""
+        WITH cut AS (SELECT doc_id, coalesce(text, '') AS text,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        {runs}
+        lines AS (SELECT doc_id, line, count(*) AS n
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM cut)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line),
+        again AS (SELECT doc_id, sum(n - 1) AS n FROM lines GROUP BY doc_id),
+        counts AS (SELECT c.doc_id, len(ws)::BIGINT AS n_words,
+                coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+                len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                coalesce(again.n, 0)::BIGINT AS n_dup_lines, coalesce(a.n, 0)::BIGINT AS n_repeat_words,
+                coalesce(b.n, 0)::BIGINT AS n_covered_words, coalesce(x.n, 0) > 0 AS too_long
+            FROM cut c LEFT JOIN again ON again.doc_id = c.doc_id LEFT JOIN in{p.window} a ON a.doc_id = c.doc_id
+            LEFT JOIN in{p.repeat} b ON b.doc_id = c.doc_id LEFT JOIN in{p.longest + 1} x ON x.doc_id = c.doc_id),
+        failed AS (SELECT *, n_words < {p.least_words} OR 100 * n_repeat_words > {p.window_percent} * n_words AS base_failed
+            FROM counts)
+        SELECT * EXCLUDE (too_long), NOT base_failed AND NOT too_long
+            AND 100 * n_covered_words <= {p.covered_percent} * n_words AS kept FROM failed"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_source_mixing": _mixing_sql(),
+    "op6_suffix_array_rules": _rules_sql(),
     "op9_minhash_near_dedup": rf"""
         WITH RECURSIVE cut AS (
             SELECT doc_id,

@@ -138,3 +138,45 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         total = mix(total) + hashes[k : len(hashes) - n + 1 + k]
     return mix(total)
+
+
+_ANY = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64)
+
+
+def lines(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, 64-bit hash and whether it holds a word, for each line of documents that start at the cuts.
+
+    A line of any length is summed up piece by piece.
+    """
+    breaks = np.flatnonzero(data == 10)
+    of_doc = np.searchsorted(cuts, breaks, "right") - 1
+    starts = np.concatenate([cuts[:-1], breaks + 1])
+    doc = np.concatenate([np.arange(len(cuts) - 1), of_doc])
+    order = np.lexsort((doc, starts))  # the line after a document's last break may start where the next one does
+    starts, doc = starts[order], doc[order]
+    mark, has_word = np.zeros(len(starts), np.uint64), np.zeros(len(starts), bool)
+    high = powers(PIECE + 1)[PIECE]
+    for a in range(0, len(data), PIECE):
+        part = data[a : a + PIECE]
+        first = int(np.searchsorted(starts, a, "right")) - 1
+        last = int(np.searchsorted(starts, a + len(part), "left"))
+        inside = np.maximum(starts[first:last] - a, 0)
+        keep = np.append(inside[1:] > inside[:-1], inside[-1] < len(part))
+        inside = inside[keep]
+        line = np.arange(first, last)[keep]
+        run = np.diff(np.append(inside, len(part)))
+        place = np.arange(a, a + len(part)) - np.repeat(starts[line], run)
+        factor = powers(PIECE)[place & (PIECE - 1)]
+        if place[0] >= PIECE or run.max() >= PIECE:
+            factor = factor * _high_power(high, place >> 20)
+        value = np.where(part == 10, np.uint64(0), _ANY[part] * factor)
+        mark[line] += np.add.reduceat(value, inside)
+        has_word[line] |= np.logical_or.reduceat(~SEPARATOR[part], inside)
+    return doc, mark, has_word
+
+
+def _high_power(base: np.uint64, exponent: np.ndarray) -> np.ndarray:
+    """base to each of these powers, of which a piece has at most two."""
+    value, at = np.unique(exponent, return_inverse=True)
+    modulus = 1 << 64
+    return np.array([pow(int(base), int(v), modulus) for v in value], np.uint64)[at]
