@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civicflow.llm.workers import map_batches
 
@@ -242,7 +243,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> D
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
     rest = [c for c in docs.columns if c not in (text, "n_tokens", "ids")]
-    schema = docs.select(*(f"`{c}`" for c in rest)).schema.add("n_tokens", "bigint").add("ids", "binary")
+    schema = docs.select(*(f"`{c}`" for c in rest)).schema
+    schema = schema.add("n_tokens", T.LongType()).add("ids", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value, pattern)
@@ -262,7 +264,7 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") ->
     """All columns of encoded and ``decoded``, the bytes of its ids; null ids give null."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
     rest = [c for c in encoded.columns if c != "decoded"]
-    schema = encoded.select(*(f"`{c}`" for c in rest)).schema.add("decoded", "binary")
+    schema = encoded.select(*(f"`{c}`" for c in rest)).schema.add("decoded", T.BinaryType())
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
