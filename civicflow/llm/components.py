@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def kept_frame(df: DataFrame) -> DataFrame:
-    """The frame, written once to the shared checkpoint folder, so that no lost executor takes it away.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``.  Only where none is set, as in tests, a folder in the
     warehouse is used.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(own or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        context.setCheckpointDir(own or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return context.getCheckpointDir()
+
+
+def kept_frame(df: DataFrame) -> DataFrame:
+    """The frame, checkpointed at once to the shared folder, so that no lost executor takes it away."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Written:
+    """A frame written as Parquet to the shared folder; unlike a checkpoint's, its size is known to later plans."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.frame = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        """Delete the files, once nothing reads them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """The frame of few, narrow columns, marked for broadcast if a count finds at most so many rows."""
     return F.broadcast(df) if df.count() <= most else df
@@ -34,20 +56,24 @@ def components(links: DataFrame) -> DataFrame:
     ids move; a node with very many links is summed up before the shuffle, and its join is split at run time.
     An empty table gives no rows.  Which node of a component is its root is not promised.
     """
-    links = kept_frame(links.where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    labels = nodes.select("node", F.col("node").alias("root"))
+    links = Written(links.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    nodes = links.frame.select(F.col("a").alias("node")).union(links.frame.select("b")).distinct()
+    labels = Written(nodes.select("node", F.col("node").alias("root")))
     turn = 0
-    while not links.isEmpty():
-        moves = kept_frame(_moves(links, turn))
-        there = moves.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
-        links = links.join(moves.withColumnRenamed("node", "a"), "a").join(there, "b")
-        links = links.where(F.col("to") != F.col("b_to")).select(F.col("to").alias("a"), F.col("b_to").alias("b"))
-        links = kept_frame(links.distinct())
-        labels = labels.join(moves.withColumnRenamed("node", "root"), "root", "left")
-        labels = kept_frame(labels.select("node", F.coalesce("to", "root").alias("root")))
+    while not links.frame.isEmpty():
+        moves = Written(_moves(links.frame, turn))
+        old = [links, labels, moves]
+        here = moves.frame.withColumnRenamed("node", "a")
+        there = moves.frame.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
+        ends = links.frame.join(here, "a").join(there, "b").where(F.col("to") != F.col("b_to"))
+        links = Written(ends.select(F.col("to").alias("a"), F.col("b_to").alias("b")).distinct())
+        moved = labels.frame.join(moves.frame.withColumnRenamed("node", "root"), "root", "left")
+        labels = Written(moved.select("node", F.coalesce("to", "root").alias("root")))
+        for table in old:
+            table.remove()
         turn += 1
-    return labels
+    links.remove()
+    return labels.frame
 
 
 def _moves(links: DataFrame, turn: int) -> DataFrame:
