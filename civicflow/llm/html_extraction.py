@@ -50,11 +50,11 @@ FEED = 1 << 16
 
 
 class _Page(HTMLParser):
-    """Lines of one page: text, tags, the boxes it stands in, and whether it may be content."""
+    """Lines of one page: text that may be content, tags, and the article and box it stands in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, article, box, may be content
+        self.lines: list[tuple[str, int, int, int]] = []
         self.stack: list[tuple[str, int, int, int, bool]] = []  # tag, article, box, where dropping began, remark
         self.places: dict[str, list[int]] = {}
         self.text: list[str] = []
@@ -65,8 +65,8 @@ class _Page(HTMLParser):
     def _line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            _, article, box, dropped, _ = self.stack[-1] if self.stack else ("", 0, 0, 0, False)
-            self.lines.append((text, self.tags, article, box, not dropped))
+            _, article, box, _, _ = self.stack[-1] if self.stack else ("", 0, 0, 0, False)
+            self.lines.append((text, self.tags, article, box))
         self.text, self.tags = [], 0
 
     def _pop(self, at: int) -> None:
@@ -122,7 +122,8 @@ class _Page(HTMLParser):
             self._pop(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not (self.stack and self.stack[-1][3]):
+            self.text.append(data)
 
     def inside(self, box: int, outer: int) -> bool:
         """Whether a box is another or lies in it."""
@@ -147,9 +148,9 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     page.close()
     page._line()
     lines = page.lines
-    if not any(x[0] and x[4] for x in lines):
+    if not any(x[0] for x in lines):
         return ""
-    chars = np.array([len(x[0]) if x[4] else 0 for x in lines], float)
+    chars = np.array([len(x[0]) for x in lines], float)
     ratio = chars / np.maximum([x[1] for x in lines], 1)
     smoothed = smooth(ratio, sigma)
     seed = (chars > 0) & (smoothed >= smoothed.std())
