@@ -161,7 +161,8 @@ def _family(level: str, up: str | None, family: list[str], name: str, weight: st
         {level}_a AS (SELECT *, given - coalesce(sum(supply) OVER w, 0) AS still,
             sum(weight) OVER ({of}) - coalesce(sum(weight) OVER w, 0) AS open_weight FROM {level}_g
             WINDOW w AS ({of} ORDER BY supply::DOUBLE / nullif(weight, 0)::DOUBLE NULLS LAST, {name} NULLS FIRST {before})),
-        {level}_f AS (SELECT *, supply::HUGEINT * open_weight <= weight::HUGEINT * still AS filled FROM {level}_a),
+        {level}_f AS (SELECT *, (weight > 0 OR supply = 0)
+            AND supply::HUGEINT * open_weight <= weight::HUGEINT * still AS filled FROM {level}_a),
         {level}_r AS (SELECT *, given - coalesce(sum(supply) FILTER (filled) OVER ({of}), 0) AS rest,
             sum(weight) OVER ({of}) - coalesce(sum(weight) FILTER (filled) OVER ({of}), 0) AS rest_weight FROM {level}_f),
         {level} AS (SELECT {', '.join(keys)}, tokens, (CASE WHEN filled THEN supply

@@ -73,7 +73,8 @@ def share_out(children: DataFrame, family: list[str], name: str) -> DataFrame:
     before = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = children.withColumn("left", big("given") - F.coalesce(F.sum("supply").over(before), F.lit(0)))
     out = out.withColumn("open", F.sum("weight").over(here) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    out = out.withColumn("full", big("supply") * big("open") <= big("weight") * big("left"))
+    some = (F.col("weight") > 0) | (F.col("supply") == 0)
+    out = out.withColumn("full", some & (big("supply") * big("open") <= big("weight") * big("left")))
     filled = lambda c: F.coalesce(F.sum(F.when(F.col("full"), F.col(c))).over(here), F.lit(0))
     out = out.withColumn("rest", big("given") - filled("supply"))
     out = out.withColumn("rest_weight", F.sum("weight").over(here) - filled("weight"))
