@@ -18,6 +18,7 @@ from civicflow.functions.numbers import (
     ratio,
     to_exact,
     to_number,
+    to_number_marked,
     to_whole,
     truncated,
 )
@@ -117,12 +118,12 @@ def first_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        CASE WHEN l_tax > 0.07 THEN 'tax' WHEN p_type = 'PROMO' OR p_type IS NULL THEN 'promo'
             WHEN regexp_matches(p_name, '(?i)BOLT') THEN 'bolt' WHEN l_quantity > 40 THEN 'bulk' END AS excluded
-FROM {lineitem} LEFT JOIN (SELECT * FROM {part} WHERE p_size > 5) ON l_partkey = p_partkey
+FROM {lineitem} LEFT JOIN (SELECT CASE WHEN p_size > 5 THEN p_partkey END AS k, p_type, p_name FROM {part}) ON l_partkey = k
 """,
 )
 def last_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").filter("p_size > 5")
-    lines = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+    parts = table(spark, sf_dir, "part").withColumn("k", F.expr("CASE WHEN p_size > 5 THEN p_partkey END"))
+    lines = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("k"), "left")
     tag = last_match(
         [
             (F.col("l_quantity") > 40, "bulk"),
@@ -292,7 +293,7 @@ SELECT event_id,
          WHEN 0 THEN CAST(user_id AS STRING) || '-' || CAST(user_id + 50 AS STRING)
          WHEN 1 THEN CAST(user_id AS STRING) || '–' || CAST(user_id + 7 AS STRING)
          WHEN 2 THEN CAST(user_id AS STRING)
-         WHEN 3 THEN 'about ' || CAST(user_id AS STRING)
+         WHEN 3 THEN CAST(user_id AS STRING) || '-9999999999'
          ELSE NULL END AS span
 FROM {events}
 """
@@ -302,7 +303,8 @@ FROM {events}
     "number_tolerant",
     f"""
 WITH s AS ({SPELLED_NUMBERS})
-SELECT event_id, number, TRY_CAST(replace(replace(number, ',', ''), '+/-', '') AS DOUBLE) AS parsed,
+SELECT event_id, number, TRY_CAST(number AS DOUBLE) AS parsed,
+       TRY_CAST(replace(replace(number, ',', ''), '+/-', '') AS DOUBLE) AS marked,
        CASE WHEN regexp_matches(number, '^[0-9]+$') THEN TRY_CAST(number AS BIGINT) END AS whole,
        CAST(trunc(TRY_CAST(replace(replace(number, ',', ''), '+/-', '') AS DOUBLE)) AS BIGINT) AS cut,
        coalesce(TRY_CAST(string_split(replace(span, '–', '-'), '-')[-1] AS INTEGER), 0) AS upper_end
@@ -314,8 +316,9 @@ def number_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         "number",
         to_number("number").alias("parsed"),
+        to_number_marked("number").alias("marked"),
         to_whole("number").alias("whole"),
-        truncated(to_number("number"), "bigint").alias("cut"),
+        truncated(to_number_marked("number"), "bigint").alias("cut"),
         range_end("span").alias("upper_end"),
     )
 
@@ -323,11 +326,11 @@ def number_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check(
     "decimal_ceil_floor",
     """
-WITH t AS (SELECT p_partkey, CAST(p_size AS VARCHAR) || '00' AS total,
+WITH t AS (SELECT p_partkey, CAST(p_size AS VARCHAR) || '00.0000001' AS total,
                   CAST(p_partkey % 100 AS VARCHAR) || '.5%' AS pct, p_size * 100.0::DOUBLE AS total_d,
                   (p_partkey % 100) / 100.0::DOUBLE AS share_d, CAST(p_retailprice AS VARCHAR) AS price FROM {part})
 SELECT p_partkey,
-       CAST(ceil(CAST(total AS DECIMAL(20,8)) * round(CAST(replace(pct, '%', '') AS DECIMAL(10,4)) / 100, 5)::DECIMAL(17,5))
+       CAST(ceil(CAST(total AS DECIMAL(28,10)) * round(CAST(replace(pct, '%', '') AS DECIMAL(10,4)) / 100, 5)::DECIMAL(9,5))
             AS INTEGER) AS exact_up,
        CAST(ceil(total_d * share_d) AS BIGINT) AS double_up, CAST(floor(CAST(price AS DECIMAL(20,8))) AS INTEGER) AS down,
        CAST(qty AS BIGINT) AS qty, CAST(ceil(qty * share_d) AS BIGINT) AS allocated
@@ -338,7 +341,7 @@ def decimal_ceil_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     parts = table(spark, sf_dir, "part").select(
         "p_partkey",
-        F.concat(F.col("p_size").cast("string"), F.lit("00")).alias("total"),
+        F.concat(F.col("p_size").cast("string"), F.lit("00.0000001")).alias("total"),
         F.concat((key % 100).cast("string"), F.lit(".5%")).alias("pct"),
         (F.col("p_size") * 100.0).alias("total_d"),
         (key % 100 / 100.0).alias("share_d"),
@@ -402,7 +405,8 @@ def content_hash_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check(
     "html_links",
     r"""
-WITH p AS (SELECT page_id, string_split_regex(html, '(?i)<a\s')[2:] AS pieces FROM {pages}),
+WITH p AS (SELECT page_id, string_split_regex(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'),
+                                             '(?i)<a\s')[2:] AS pieces FROM {pages}),
      e AS (SELECT page_id, unnest(range(len(pieces))) AS pos, unnest(pieces) AS piece FROM p),
      f AS (SELECT page_id, pos, piece,
              regexp_extract(piece, '^[^>]*?href\s*=\s*"([^"]*)"', 1) AS href,

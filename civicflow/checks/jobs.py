@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civicflow.checks.geocoding import rounded_point
 from civicflow.checks.registry import check, shaped
-from civicflow.plans import JOBS
+from civicflow.plans import JOBS, schemas
 from civicflow.plans.commuting import travel_variables
 from civicflow.plans.enrolment import unmatched_districts
 from civicflow.plans.fixed_values import (
@@ -21,6 +21,7 @@ from civicflow.plans.fixed_values import (
 )
 from civicflow.plans.schools import unmatched_blue_book
 from civicflow.plans.utilization import meeting_urls
+from civicflow.sources.publish import GEOMETRY, parse_ddl
 
 
 def _list(values) -> str:
@@ -32,6 +33,16 @@ def _case(c: str, mapping: dict, default: str = "NULL") -> str:
     return f"CASE {c} {whens} ELSE {default} END"
 
 
+_SQL_TYPES = {"text": "VARCHAR", "integer": "INTEGER", "bigint": "BIGINT", "double precision": "DOUBLE", "date": "DATE"}
+_SQL_TYPES |= {"boolean": "BOOLEAN"}
+
+
+def _rest(ddl: str, *shown: str) -> str:
+    """The declared columns that a check's input leaves NULL, for its oracle."""
+    left = {c: kind for c, kind in parse_ddl(ddl).items() if c not in shown}
+    return "".join(f', CAST(NULL AS {_SQL_TYPES.get(kind, "VARCHAR")}) AS "{c}"' for c, kind in left.items())
+
+
 # --- R19, R20: enrolment -----------------------------------------------------
 
 PROJECTIONS = """
@@ -171,7 +182,8 @@ FROM (SELECT CAST(n_nationkey % 5 AS DOUBLE) / 2 - 74.75 AS bx, CAST(floor(n_nat
     "recipe_functional_class",
     f"""
 WITH l AS ({ROAD_LINES}), b AS ({BOUNDARIES})
-SELECT CAST(objectid AS INTEGER) AS objectid, municipality_desc AS borough, 'SRID=4326;' || geom AS geom FROM l
+SELECT CAST(objectid AS INTEGER) AS objectid, municipality_desc AS borough, 'SRID=4326;' || geom AS geom
+  {_rest(schemas.FUNCTIONAL_CLASS, "objectid", "borough", "geom")} FROM l
 WHERE geom IS NOT NULL AND EXISTS (SELECT 1 FROM b WHERE
   x <= bx + 0.25 AND x + CASE WHEN ogc_fid % 2 = 0 THEN 0.0625 ELSE 0 END >= bx
   AND y <= b0 + 0.25 AND y + CASE WHEN ogc_fid % 2 = 0 THEN 0 ELSE 0.0625 END >= b0)
@@ -181,25 +193,24 @@ def recipe_functional_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = JOBS["functional_class"]
     lines = _with_declared(shaped(spark, sf_dir, ROAD_LINES), job.outputs["functional_class"])
     inputs = {"road_lines": lines.drop("borough"), "boundaries": shaped(spark, sf_dir, BOUNDARIES)}
-    return job.run(inputs)["functional_class"].select("objectid", "borough", "geom")
+    return job.run(inputs)["functional_class"]
 
 
 def _with_declared(df: DataFrame, ddl: str) -> DataFrame:
     """Give the frame the declared columns it does not have, as NULL text."""
-    from civicflow.sources.publish import parse_ddl
-
     missing = [c for c in parse_ddl(ddl) if c.lower() not in {h.lower() for h in df.columns}]
     return df.select("*", *[F.lit(None).cast("string").alias(c) for c in missing])
 
 
 TRAFFIC = """
 SELECT CASE o_custkey % 7 WHEN 0 THEN '005' WHEN 1 THEN '047' WHEN 2 THEN '061' WHEN 3 THEN '081' WHEN 4 THEN '085'
-       WHEN 5 THEN '001' ELSE NULL END AS cou, ' ' || CAST(o_custkey AS STRING) || ' ' AS rc_station,
+       WHEN 5 THEN '001' ELSE NULL END AS cou, ' ' || CAST(o_custkey AS STRING) || chr(9) || ' ' AS rc_station,
        CAST(o_orderkey AS STRING) AS count_stats_id, o_orderpriority AS aadt
 FROM {orders}
 """
 STATIONS = """
-SELECT CAST(c_custkey AS STRING) AS rc_id, 'MULTILINESTRING ((0 0, 1 1))' AS geom FROM {customer} WHERE c_nationkey < 20
+SELECT CASE WHEN c_nationkey < 20 THEN CAST(c_custkey AS STRING) ELSE 'none ' || CAST(c_custkey AS STRING) END AS rc_id,
+  'MULTILINESTRING ((0 0, 1 1))' AS geom FROM {customer}
 UNION ALL SELECT CAST(s_suppkey AS STRING), 'MULTILINESTRING ((0 0, 2 2))' FROM {supplier}
 """
 
@@ -207,10 +218,11 @@ UNION ALL SELECT CAST(s_suppkey AS STRING), 'MULTILINESTRING ((0 0, 2 2))' FROM
 @check(
     "recipe_traffic_counts",
     f"""
-SELECT trim(rc_station, ' ') AS rc_station, count_stats_id, cou, aadt,
+SELECT trim(rc_station, ' ' || chr(9)) AS rc_station, count_stats_id, cou, aadt,
        CAST(CASE cou WHEN '061' THEN 1 WHEN '005' THEN 2 WHEN '047' THEN 3 WHEN '081' THEN 4 WHEN '085' THEN 5 END AS INTEGER) AS borocode,
        'SRID=4326;' || geom AS geom
-FROM ({TRAFFIC}) LEFT JOIN ({STATIONS}) ON trim(rc_station, ' ') = rc_id
+       {_rest(schemas.TRAFFIC_COUNTS, "rc_station", "count_stats_id", "cou", "aadt", "borocode", "geom")}
+FROM ({TRAFFIC}) LEFT JOIN ({STATIONS}) ON trim(rc_station, ' ' || chr(9)) = rc_id
 WHERE cou IN ('005', '047', '061', '081', '085')
 """,
 )
@@ -218,8 +230,7 @@ def recipe_traffic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = JOBS["traffic_counts"]
     counts = _with_declared(shaped(spark, sf_dir, TRAFFIC), job.outputs["traffic_counts"])
     inputs = {"traffic_counts": counts.drop("geom"), "traffic_lines": shaped(spark, sf_dir, STATIONS)}
-    out = job.run(inputs)["traffic_counts"]
-    return out.select("rc_station", "count_stats_id", "cou", "aadt", "borocode", "geom")
+    return job.run(inputs)["traffic_counts"]
 
 
 # --- R3, R4, R5: commuting ---------------------------------------------------
@@ -282,7 +293,7 @@ WITH r AS (SELECT geoid[-11:] AS geoid, {_case("lineno", TRAVEL_VARIABLES)} AS m
                   TRY_CAST(replace(moe, '+/-', '') AS DOUBLE) AS moe FROM ({MODE_SPLIT})
            WHERE geoid[8:12] IN ({_list(CITY_COUNTIES)})),
      g(mode, variable) AS (VALUES {rows}),
-     k AS (SELECT DISTINCT geoid, variable FROM (SELECT DISTINCT geoid FROM r WHERE mode IS NOT NULL) CROSS JOIN g),
+     k AS (SELECT DISTINCT geoid, variable FROM (SELECT DISTINCT geoid FROM r) CROSS JOIN g),
      s AS (SELECT geoid, variable, sum(value) AS value, sqrt(sum(moe * moe)) AS moe FROM r JOIN g USING (mode) GROUP BY 1, 2),
      c AS (SELECT geoid, moe AS carpool FROM s WHERE variable = 'trans_auto_carpool_total')
 SELECT geoid, variable, CAST(coalesce(value, 0) AS INTEGER) AS value,
@@ -344,6 +355,40 @@ def recipe_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JOBS["traffic_cameras"].run({"traffic_cameras": shaped(spark, sf_dir, CAMERAS)})["traffic_cameras"]
 
 
+def _any_rows(ddl: str) -> tuple[str, str, dict[str, str]]:
+    """(input SQL, oracle SELECT list, names) that fill every declared column of a table from the orders."""
+    made, shown, names = [], [], {}
+    for i, (name, kind) in enumerate(parse_ddl(ddl).items()):
+        c = f"c{i}"
+        names[c] = name
+        if kind == GEOMETRY:
+            made.append(f"CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'POINT (' || CAST(o_custkey AS STRING) || ' 2)' END AS {c}")
+            shown.append(f"""'SRID=4326;' || {c} AS "{name}\"""")
+        elif kind == "text":
+            made.append(f"CASE WHEN o_orderkey % 7 = {i % 7} THEN '' ELSE '{c} ' || CAST(o_custkey AS STRING) END AS {c}")
+            shown.append(f"""nullif({c}, '') AS "{name}\"""")
+        else:
+            number = f"CAST(o_custkey + {i} AS DOUBLE) / 4" if kind == "double precision" else f"o_custkey + {i}"
+            made.append(f"CASE WHEN o_orderkey % 5 = {i % 5} THEN ' ' ELSE CAST({number} AS STRING) END AS {c}")
+            shown.append(f"""TRY_CAST({c} AS {_SQL_TYPES[kind]}) AS "{name}\"""")
+    return f"SELECT {', '.join(made)}, 'x' AS undeclared FROM {{orders}}", ", ".join(shown), names
+
+
+def _pass_on(check_name: str, job: str) -> None:
+    """Register the check of a job that publishes a table's declared columns as they are."""
+    made, shown, names = _any_rows(next(iter(JOBS[job].outputs.values())))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return JOBS[job].run({job: shaped(spark, sf_dir, made).withColumnsRenamed(names)})[job]
+
+    check(check_name, f"SELECT {shown} FROM ({made})")(query)
+
+
+_pass_on("recipe_areas_of_concern", "areas_of_concern")
+_pass_on("recipe_aadt", "aadt")
+_pass_on("recipe_ventilation_towers", "tunnel_ventilation_towers")
+
+
 # --- R10, R11: facilities ----------------------------------------------------
 
 FACILITIES = """
@@ -359,6 +404,10 @@ FROM {customer}
 """
 
 
+_GARAGE_COLUMNS = """facname facdomain facsubgrp geo_housenum geo_address borough geo_bbl geo_latitude geo_longitude geo_xcoord
+geo_ycoord geom geo_streetname geo_bin geo_commboard geo_nta geo_council geo_schooldist geo_policeprct geo_censtract"""
+
+
 @check(
     "recipe_garages",
     f"""
@@ -366,7 +415,10 @@ SELECT facname, facdomain, facsubgrp, addressnum AS geo_housenum, address AS geo
        CAST(bbl AS BIGINT) AS geo_bbl, TRY_CAST(latitude AS DOUBLE) AS geo_latitude, CAST(longitude AS DOUBLE) AS geo_longitude,
        CAST(xcoord AS DOUBLE) AS geo_xcoord, CAST(NULL AS DOUBLE) AS geo_ycoord,
        'SRID=4326;POINT (' || regexp_replace(longitude, '\\.0$', '') || ' '
-         || regexp_replace(CAST(TRY_CAST(latitude AS DOUBLE) AS VARCHAR), '\\.0$', '') || ')' AS geom
+         || regexp_replace(CAST(TRY_CAST(latitude AS DOUBLE) AS VARCHAR), '\\.0$', '') || ')' AS geom,
+       streetname AS geo_streetname, bin AS geo_bin, commboard AS geo_commboard, nta AS geo_nta, council AS geo_council,
+       schooldist AS geo_schooldist, policeprct AS geo_policeprct, censtract AS geo_censtract
+       {_rest(schemas.FACILITIES_GARAGES, *_GARAGE_COLUMNS.split())}
 FROM ({FACILITIES})
 WHERE facdomain = 'Core Infrastructure and Transportation'
    OR (facdomain = 'Administration of Government' AND facsubgrp = 'Maintenance and Garages')
@@ -378,9 +430,7 @@ def recipe_garages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = "city zipcode borocode factype facgroup servarea opname opabbrev optype overagency overabbrev overlevel capacity"
     rest += " captype proptype datasource uid"
     facilities = facilities.select("*", *[F.lit(None).cast("string").alias(c) for c in rest.split()])
-    columns = "facname facdomain facsubgrp geo_housenum geo_address borough geo_bbl geo_latitude geo_longitude geo_xcoord"
-    out = job.run({"facilities": facilities})["facilities_garages"]
-    return out.select(*columns.split(), "geo_ycoord", "geom")
+    return job.run({"facilities": facilities})["facilities_garages"]
 
 
 AIR_STATIONS = """
@@ -398,6 +448,7 @@ SELECT 'c' || CAST(c_custkey AS STRING), '2', 'Kings', CAST(c_acctbal AS STRING)
     f"""
 SELECT site_id, county, CAST({_case("county", {"New York": 1, "Bronx": 2, "Kings": 3, "Queens": 4, "Richmond": 5})} AS INTEGER) AS borocode,
        CAST(latitude AS DOUBLE) AS latitude, nullif(pm25, '') AS "pm_2.5", 'SRID=4326;' || geom AS geom
+       {_rest(schemas.AIR_MONITORING_STATIONS, "site_id", "county", "borocode", "latitude", "pm_2.5", "geom")}
 FROM ({AIR_STATIONS}) WHERE region = '2'
 """,
 )
@@ -405,8 +456,7 @@ def recipe_air_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = JOBS["air_monitoring_stations"]
     stations = shaped(spark, sf_dir, AIR_STATIONS).withColumnRenamed("pm25", "pm_2.5")
     stations = _with_declared(stations, job.outputs["air_monitoring_stations"])
-    out = job.run({"air_stations": stations.drop("borocode")})["air_monitoring_stations"]
-    return out.select("site_id", "county", "borocode", "latitude", "`pm_2.5`", "geom")
+    return job.run({"air_stations": stations.drop("borocode")})["air_monitoring_stations"]
 
 
 # --- R2: school buildings ----------------------------------------------------

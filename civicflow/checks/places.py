@@ -45,7 +45,7 @@ SEGMENTS = f"""
 SELECT 'ON ' || CAST(p_partkey AS STRING) AS on_street, CAST(p_size AS STRING) || ' AVES' AS from_street,
        CAST(p_partkey % 50 AS STRING) || ' AVES' AS to_street, {borough("p_partkey")} AS borough,
        CAST(p_partkey AS STRING) AS from_node,
-       CASE WHEN p_partkey % 6 = 0 THEN 'none' ELSE CAST(p_partkey % 100 AS STRING) END AS to_node
+       CASE WHEN p_partkey % 6 = 0 THEN 'none' ELSE CAST(CAST(floor((p_partkey + 1) / 2) AS BIGINT) AS STRING) END AS to_node
 FROM {{part}}
 """
 

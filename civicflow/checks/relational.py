@@ -144,13 +144,13 @@ def filter_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     "filter_null_tolerant",
     """
 SELECT o_orderkey, c_mktsegment FROM {orders}
-LEFT JOIN (SELECT * FROM {customer} WHERE c_acctbal > 0) ON o_custkey = c_custkey
+LEFT JOIN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey END AS k, c_mktsegment FROM {customer}) ON o_custkey = k
 WHERE c_mktsegment IS DISTINCT FROM 'BUILDING' AND o_orderstatus IS NOT NULL
 """,
 )
 def filter_null_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owing = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(
-        F.col("c_custkey").alias("o_custkey"), "c_mktsegment"
+    owing = table(spark, sf_dir, "customer").select(
+        F.expr("CASE WHEN c_acctbal > 0 THEN c_custkey END").alias("o_custkey"), "c_mktsegment"
     )
     joined = lookup_left(table(spark, sf_dir, "orders"), owing, "o_custkey")
     kept = joined.filter(differs(F.col("c_mktsegment"), "BUILDING") & F.col("o_orderstatus").isNotNull())
@@ -172,15 +172,17 @@ FROM {customer}
     f"""
 WITH c AS ({PLACED_CUSTOMERS})
 SELECT c_custkey, city, zip FROM c
-WHERE city IN (SELECT n_name FROM {{nation}} WHERE n_regionkey = 1)
-   OR zip IN (SELECT CAST(s_suppkey AS VARCHAR) FROM {{supplier}} WHERE s_acctbal > 5000)
+WHERE city IN (SELECT CASE WHEN n_regionkey = 1 THEN n_name ELSE 'not ' || n_name END FROM {{nation}})
+   OR zip IN (SELECT CAST(CASE WHEN s_acctbal > 5000 THEN s_suppkey ELSE -s_suppkey END AS VARCHAR) FROM {{supplier}})
    OR city = '' OR zip = ''
 """,
 )
 def existence_or_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cities = table(spark, sf_dir, "nation").filter("n_regionkey = 1")
-    zips = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(
-        F.col("s_suppkey").cast("string").alias("zip")
+    cities = table(spark, sf_dir, "nation").select(
+        F.expr("CASE WHEN n_regionkey = 1 THEN n_name ELSE 'not ' || n_name END").alias("n_name")
+    )
+    zips = table(spark, sf_dir, "supplier").select(
+        F.expr("CAST(CASE WHEN s_acctbal > 5000 THEN s_suppkey ELSE -s_suppkey END AS STRING)").alias("zip")
     )
     customers = shaped(spark, sf_dir, PLACED_CUSTOMERS)
     return known_or_blank(customers, [("city", cities, "n_name"), ("zip", zips, "zip")])
@@ -212,15 +214,18 @@ def join_inner_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 SELECT c_custkey, n_name, r_name, s_suppkey FROM {customer}
 LEFT JOIN {nation} ON c_nationkey = n_nationkey
-LEFT JOIN (SELECT * FROM {region} WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey
-LEFT JOIN {supplier} ON c_nationkey % 2 = s_nationkey % 2 AND c_custkey = s_suppkey
+LEFT JOIN (SELECT CASE WHEN r_name <> 'ASIA' THEN r_regionkey END AS k, r_name FROM {region}) ON n_regionkey = k
+LEFT JOIN {supplier} ON c_nationkey % 2 = s_nationkey % 2 AND c_custkey = s_suppkey // 3
 """,
 )
 def join_left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
-    regions = table(spark, sf_dir, "region").filter("r_name <> 'ASIA'").withColumnRenamed("r_regionkey", "n_regionkey")
+    regions = table(spark, sf_dir, "region").select(
+        F.expr("CASE WHEN r_name <> 'ASIA' THEN r_regionkey END").alias("n_regionkey"), "r_name"
+    )
+    # Up to three suppliers share a key, so some customers come several times.
     suppliers = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", F.col("s_suppkey").alias("c_custkey"), (F.col("s_nationkey") % 2).alias("side")
+        "s_suppkey", F.expr("s_suppkey div 3").alias("c_custkey"), (F.col("s_nationkey") % 2).alias("side")
     )
     out = lookup_left(table(spark, sf_dir, "customer"), nations, "c_nationkey")
     out = lookup_left(out, regions, "n_regionkey").withColumn("side", F.col("c_nationkey") % 2)
@@ -240,8 +245,8 @@ FROM {orders}
     "join_null_safe",
     f"""
 WITH o AS ({NULLED_ORDERS}),
-     s AS (SELECT status, grp, priority, count(*) AS n FROM o GROUP BY 1, 2, 3
-           HAVING count(*) % 2 = 0)
+     s AS (SELECT status, grp, CASE WHEN n % 2 = 0 THEN priority ELSE 'odd' END AS priority, n
+           FROM (SELECT status, grp, priority, count(*) AS n FROM o GROUP BY 1, 2, 3))
 SELECT o.o_orderkey, s.n FROM o LEFT JOIN s
   ON o.status IS NOT DISTINCT FROM s.status AND o.grp IS NOT DISTINCT FROM s.grp
  AND o.priority IS NOT DISTINCT FROM s.priority
@@ -250,24 +255,26 @@ SELECT o.o_orderkey, s.n FROM o LEFT JOIN s
 def join_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["status", "grp", "priority"]
     orders = shaped(spark, sf_dir, NULLED_ORDERS)
-    sums = orders.groupBy(*keys).agg(F.count("*").alias("n")).filter("n % 2 = 0")
+    sums = orders.groupBy(*keys).agg(F.count("*").alias("n"))
+    sums = sums.withColumn("priority", F.when(F.col("n") % 2 == 0, F.col("priority")).otherwise("odd"))
     return null_safe_left(orders, sums, keys).select("o_orderkey", "n")
 
 
 @check(
     "join_full_outer",
     """
-WITH c AS (SELECT c_custkey AS custkey, c_name FROM {customer} WHERE c_acctbal > 2000),
-     o AS (SELECT o_custkey AS custkey, count(*) AS n_orders FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1)
+WITH c AS (SELECT CASE WHEN c_acctbal > 2000 THEN c_custkey ELSE -c_custkey END AS custkey, c_name FROM {customer}),
+     o AS (SELECT CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE 1000000000000 + o_custkey END AS custkey,
+                  count(*) AS n_orders FROM {orders} GROUP BY 1)
 SELECT custkey, c_name, n_orders FROM c FULL JOIN o USING (custkey)
 """,
 )
 def join_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").filter("c_acctbal > 2000").select(
-        F.col("c_custkey").alias("custkey"), "c_name"
+    customers = table(spark, sf_dir, "customer").select(
+        F.expr("CASE WHEN c_acctbal > 2000 THEN c_custkey ELSE -c_custkey END").alias("custkey"), "c_name"
     )
-    orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    counts = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("n_orders"))
+    key = F.expr("CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE 1000000000000 + o_custkey END")
+    counts = table(spark, sf_dir, "orders").groupBy(key.alias("custkey")).agg(F.count("*").alias("n_orders"))
     return full_outer(customers, counts, ["custkey"])
 
 
@@ -275,7 +282,7 @@ def join_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     "not_in_null_aware",
     """
 WITH c AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS k, c_custkey FROM {customer})
-SELECT c_custkey, 'no null' AS right_side, k NOT IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'F') AS absent FROM c
+SELECT c_custkey, 'no null' AS right_side, k NOT IN (SELECT CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE -o_custkey END FROM {orders}) AS absent FROM c
 UNION ALL
 SELECT c_custkey, 'with null', k NOT IN (SELECT nullif(o_custkey, 1) FROM {orders}) FROM c
 UNION ALL
@@ -288,7 +295,7 @@ def not_in_null_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders")
     sides = {
-        "no null": (orders.filter("o_orderstatus = 'F'"), F.col("o_custkey")),
+        "no null": (orders, F.expr("CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE -o_custkey END")),
         "with null": (orders, F.nullif(F.col("o_custkey"), F.lit(1))),
         "empty": (orders.filter("o_orderstatus = 'none'"), F.col("o_custkey")),
     }
@@ -323,9 +330,8 @@ def semi_concat_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check(
     "override_by_key",
     """
-WITH fix AS (SELECT o_custkey, arg_max(nullif(o_orderpriority, '1-URGENT'), o_orderkey) FILTER (TRUE) AS x,
-                    max(o_orderkey) AS last_key
-             FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1),
+WITH fix AS (SELECT CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE -o_custkey END AS o_custkey,
+                    max(o_orderkey) AS last_key FROM {orders} GROUP BY 1),
      last AS (SELECT f.o_custkey, nullif(o.o_orderpriority, '1-URGENT') AS priority
               FROM fix f JOIN {orders} o ON o.o_orderkey = f.last_key)
 SELECT c_custkey, CASE WHEN o_custkey IS NOT NULL THEN priority ELSE c_mktsegment END AS c_mktsegment
@@ -333,7 +339,8 @@ FROM {customer} LEFT JOIN last ON c_custkey = o_custkey
 """,
 )
 def override_by_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corrections = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    key = F.expr("CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE -o_custkey END")
+    corrections = table(spark, sf_dir, "orders").withColumn("o_custkey", key)
     value = F.nullif(F.col("o_orderpriority"), F.lit("1-URGENT"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return override_by_key(
@@ -519,7 +526,7 @@ def rollup_sum_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
     "reconcile_tables",
     """
 WITH a AS (SELECT l_orderkey AS k, nullif(l_returnflag, 'N') AS flag FROM {lineitem}),
-     b AS (SELECT o_orderkey AS k, o_orderstatus FROM {orders} WHERE o_orderstatus <> 'P')
+     b AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderkey ELSE -o_orderkey END AS k FROM {orders})
 SELECT a.k, flag, CASE WHEN a.k IN (SELECT k FROM b) THEN '' ELSE 'not in orders' END AS match
 FROM a WHERE flag IS NOT NULL
 """,
@@ -528,6 +535,7 @@ def reconcile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("k"), sentinel_to_null("l_returnflag", "N").alias("flag")
     )
-    orders = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
-    tagged = not_in(lines.dropna(subset=["flag"]), F.col("k"), orders, F.col("o_orderkey"), "absent")
+    orders = table(spark, sf_dir, "orders")
+    key = F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_orderkey ELSE -o_orderkey END")
+    tagged = not_in(lines.dropna(subset=["flag"]), F.col("k"), orders, key, "absent")
     return tagged.select("k", "flag", blank(F.when(F.col("absent"), F.lit("not in orders"))).alias("match"))

@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.functions.text import before, blank, col, empty_to_null, let
+from civicflow.functions.text import before, blank, col, empty_to_null, let, stripped
 
 _ANCHOR_START = r"(?i)<a\s"
 _HREF = r"(?is)^[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
 _ANCHOR_END = r"(?i)</a\s*>"
-# The character entities that occur in links.
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# What a browser neither shows nor follows.
+_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)"
+_REST = r"(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+
+
+def _named(name: Column) -> Column:
+    """Character of an entity name, by the public HTML table; NULL if unknown."""
+    table = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+    pairs = [F.lit(x) for n in sorted(table) for x in (n, table[n])]
+    return F.try_element_at(F.create_map(*pairs), name)
+
+
+def _character(code: Column) -> Column:
+    """Character of a code point, NULL beyond Unicode: its UTF-32 bytes, read as text."""
+    legal = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(legal, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def unescape(c) -> Column:
-    """Plain text of the common character entities."""
-    out = col(c)
-    for entity, char in _ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Plain text of numeric and named character entities; unknown ones stay.
+
+    Text without an ampersand is left alone, which is nearly all of it.
+    """
+
+    def read(part: Column) -> Column:
+        found = F.regexp_extract(part, "^(" + _REST + ")", 1)
+        name = F.regexp_replace(found, "^#|;$", "")
+        hexadecimal = F.conv(F.substring(name, 2, 8), 16, 10).try_cast("int")
+        number = F.when(F.lower(F.left(name, F.lit(1))) == "x", hexadecimal).otherwise(name.try_cast("int"))
+        char = F.when(found.startswith("#"), _character(number)).otherwise(_named(name))
+        tail = F.substr(part, F.length(found) + 1)
+        return F.when((found != "") & char.isNotNull(), F.concat(char, tail)).otherwise(F.concat(F.lit("&"), part))
+
+    def decoded(text: Column) -> Column:
+        parts = F.split(text, "&")
+        rest = F.array_join(F.transform(_after_first(parts), read), "")
+        return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), rest)).otherwise(text)
+
+    return let(col(c), decoded)
+
+
+def visible(html) -> Column:
+    """A page without its comments, scripts and styles."""
+    return F.regexp_replace(blank(html), _HIDDEN, "")
 
 
 def _after_first(parts: Column) -> Column:
@@ -31,14 +67,14 @@ def anchors(html) -> Column:
 
     The page is cut at every anchor start, so the work is linear in its length.
     """
-    pieces = _after_first(F.split(blank(html), _ANCHOR_START))
+    pieces = _after_first(F.split(visible(html), _ANCHOR_START))
 
     def read(piece: Column) -> Column:
         href = F.concat(*[F.regexp_extract(piece, _HREF, i) for i in (1, 2, 3)])
         body = F.get(F.split(piece, _ANCHOR_END, 2), F.lit(0))
         body = F.regexp_replace(F.regexp_replace(body, r"^[^>]*>", ""), r"<[^>]*>", "")
         return F.struct(
-            F.when(piece.rlike(_HREF), unescape(href)).alias("href"), F.trim(unescape(body)).alias("text")
+            F.when(piece.rlike(_HREF), unescape(href)).alias("href"), stripped(unescape(body)).alias("text")
         )
 
     return F.filter(F.transform(pieces, read), lambda a: a["href"].isNotNull())
@@ -52,13 +88,22 @@ def explode_anchors(pages: DataFrame, html: str = "html", keep: list[str] | None
 
 
 def cell_anchor(html) -> Column:
-    """Array of (href, text): the first anchor of each table cell (G-HTML)."""
-    cells = _after_first(F.split(blank(html), r"(?i)<td[\s>]"))
+    """Array of (href, text): the first anchor of each cell of the listing (G-HTML).
+
+    The listing is the page's first table of class ``dataTable``; links of other
+    tables, such as menus, do not count.
+    """
+    listing = F.get(F.split(visible(html), _LISTING, 2), F.lit(1))
+    listing = F.get(F.split(blank(listing), r"(?i)</table\s*>", 2), F.lit(0))
+    cells = _after_first(F.split(listing, r"(?i)<td[\s>]"))
     inside = F.transform(cells, lambda c: F.get(F.split(c, r"(?i)</td\s*>", 2), F.lit(0)))
     firsts = F.transform(inside, lambda c: F.get(anchors(c), F.lit(0)))
     return F.filter(firsts, lambda a: a.isNotNull())
 
 
+_LISTING = r"(?is)<table\b(?=[^>]*\bclass\s*=\s*(?:\"[^\"]*\bdataTable\b[^\"]*\"|'[^']*\bdataTable\b[^']*'|dataTable\b))[^>]*>"
+
+
 def readable(url) -> Column:
     """Percent-decoded address; the input when it cannot be decoded (G-URL).
 

@@ -32,6 +32,14 @@ def empty_to_null(c) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
+def stripped(c) -> Column:
+    """Text without white space of any kind at either end.
+
+    ``F.trim`` takes spaces only and stands where SQL's TRIM is meant.
+    """
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def blank_to_null(c) -> Column:
     """Text without anything but white space becomes NULL."""
     return F.when(F.trim(col(c)) != "", col(c))

@@ -55,7 +55,7 @@ def adjacent_runs_best(
         F.min_by("_value", "_run").alias("_head"),
         F.max_by("_value", "_run").alias("_tail"),
     )
-    placed = runs
+    offsets = []
     for level in range(len(names), 0, -1):
         outer, own = [*keys, *names[: level - 1]], names[level - 1]
         before = Window.partitionBy(*outer).orderBy(own)
@@ -64,10 +64,16 @@ def adjacent_runs_best(
         pieces = pieces.withColumn("_new", F.col("_count") - follows.cast("long")).withColumn(
             "_offset", F.sum("_new").over(so_far) - F.col("_count")
         )
-        placed = _add_offset(placed, pieces, [*outer, own])
+        offsets.append(pieces.select(*outer, own, "_offset"))
         pieces = pieces.groupBy(*outer).agg(
             F.sum("_new").alias("_count"), F.min_by("_head", own).alias("_head"), F.max_by("_tail", own).alias("_tail")
         )
+    # Only the pieces are joined level by level; the runs are joined once.
+    total = offsets.pop()
+    for level in range(2, len(names) + 1):
+        finer = offsets.pop().withColumnRenamed("_offset", "_run")
+        total = _add_offset(finer, total, [*keys, *names[: level - 1]]).withColumnRenamed("_run", "_offset")
+    placed = _add_offset(runs, total, [*keys, *names])
     best = placed.groupBy(*keys, "_run").agg(F.min_by("_row", "_cost").alias("_row"))
     return best.select("_row.*")
 

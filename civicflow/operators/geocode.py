@@ -299,10 +299,10 @@ def geocode_with_stretch(
         .otherwise("")
     )
     extra = [
-        F.col("_stretch.fx").cast("double").alias("geo_from_x_coord"),
-        F.col("_stretch.fy").cast("double").alias("geo_from_y_coord"),
-        F.col("_stretch.tx").cast("double").alias("geo_to_x_coord"),
-        F.col("_stretch.ty").cast("double").alias("geo_to_y_coord"),
+        F.col("_stretch.fx").try_cast("double").alias("geo_from_x_coord"),
+        F.col("_stretch.fy").try_cast("double").alias("geo_from_y_coord"),
+        F.col("_stretch.tx").try_cast("double").alias("geo_to_x_coord"),
+        F.col("_stretch.ty").try_cast("double").alias("geo_to_y_coord"),
     ]
     return _with_result(found, columns, record, function, extra)
 

@@ -79,8 +79,9 @@ def not_in(df: DataFrame, key: Column, other: DataFrame, other_key: Column, flag
     """
     right = other.select(other_key.alias("_key"))
     keys = right.filter(F.col("_key").isNotNull()).distinct().withColumn("_hit", F.lit(True))
-    rows = right.agg(F.count(F.lit(1))).scalar()
-    nulls = right.agg(F.count_if(F.col("_key").isNull())).scalar()
+    both = F.struct(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_key").isNull()).alias("nulls"))
+    counts = right.agg(both).scalar()
+    rows, nulls = counts["rows"], counts["nulls"]
     found = lookup_spread(df.withColumn("_key", key), keys, ["_key"])
     answer = (
         F.when(rows == 0, F.lit(True))

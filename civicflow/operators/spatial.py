@@ -25,6 +25,12 @@ def _span(low: Column, high: Column, size: float) -> Column:
     return F.sequence(_cell(low - size * _SLACK, size), _cell(high + size * _SLACK, size))
 
 
+def _clipped(low: Column, high: Column, least: Column, most: Column, size: float) -> Column:
+    """The cells of a span that lie in the box; none where it lies beside it."""
+    low, high = F.greatest(low, least), F.least(high, most)
+    return F.when(low <= high + 2 * size * _SLACK, _span(low, F.greatest(low, high), size))
+
+
 def _straddles(e: Column, x: Column, y: Column) -> Column:
     """Whether a ray from (x, y) to the right crosses the edge."""
     rising = (e["y1"] > y) != (e["y2"] > y)
@@ -123,7 +129,9 @@ def extent(areas: DataFrame, polygons: Column) -> Column:
 def segment_cells(lines: DataFrame, id_column: str, parts: Column, box: Column, size: float) -> DataFrame:
     """Cells each segment of each line runs through, band by band.
 
-    Segments outside the box are dropped before they are laid on the grid.
+    Segments outside the box are dropped, and what sticks out of it is left
+    off, before they are laid on the grid: one stray vertex far away makes no
+    more cells than the box has.
     """
 
     def numbered(part: Column) -> Column:
@@ -143,7 +151,7 @@ def segment_cells(lines: DataFrame, id_column: str, parts: Column, box: Column,
         & (_high(e, "y") >= box["y0"])
         & (_low(e, "y") <= box["y1"])
     )
-    s = s.select("_id", "e", "first", F.explode(_span(_low(e, "y"), _high(e, "y"), size)).alias("cy"))
+    s = s.select("_id", "e", "first", F.explode(_clipped(_low(e, "y"), _high(e, "y"), box["y0"], box["y1"], size)).alias("cy"))
     # x at the lower and upper border of the band, kept within the segment.
     bottom, top = F.col("cy") * F.lit(size), (F.col("cy") + 1) * F.lit(size)
 
@@ -155,7 +163,7 @@ def segment_cells(lines: DataFrame, id_column: str, parts: Column, box: Column,
     high = F.coalesce(F.greatest(at(bottom), at(top)), _high(e, "x"))
     flat = e["y1"] == e["y2"]
     low, high = F.when(flat, _low(e, "x")).otherwise(low), F.when(flat, _high(e, "x")).otherwise(high)
-    return s.select("_id", "e", "first", "cy", F.explode(_span(low, high, size)).alias("cx"))
+    return s.select("_id", "e", "first", "cy", F.explode(_clipped(low, high, box["x0"], box["x1"], size)).alias("cx"))
 
 
 def meets_any(

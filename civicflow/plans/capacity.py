@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civicflow.functions.address import house_number, street_name
 from civicflow.functions.codes import first_match, label, weight
 from civicflow.functions.dates import BUDGET_DATE_SHAPES, PLAN_DATE_SHAPES, first_readable_date
 from civicflow.functions.numbers import ratio, to_number, to_whole, truncated
-from civicflow.functions.text import blank, clean_house, clean_street, content_hash, sentinel_to_null
+from civicflow.functions.text import blank, clean_house, clean_street, content_hash, sentinel_to_null, stripped
 from civicflow.operators.geocode import geocode_with_stretch, place_stretch_result
 from civicflow.operators.relate import computed, differs, override_by_key, union_missing
 from civicflow.operators.reshape import share as share_of
@@ -85,24 +86,29 @@ def all_plans(inputs: Frames) -> DataFrame:
     )
 
 
+def _line(fixes: DataFrame) -> Column:
+    """The order of corrections: a line in text is a number, one of a CSV file is in order as it is."""
+    text = isinstance(fixes.schema["line"].dataType, T.StringType)
+    return F.col("line").cast("bigint") if text else F.col("line")
+
+
 def described_projects(inputs: Frames) -> DataFrame:
     """Projects with corrected address, level, seats and opening date."""
     plans = all_plans(inputs)
-    position = F.col("line").cast("bigint")
     plans = override_by_key(
-        plans, "name", "address", inputs["address_cor"], "school", F.upper("address"), position
+        plans, "name", "address", inputs["address_cor"], "school", F.upper("address"), _line(inputs["address_cor"])
     )
     plans = computed(
         plans,
         {
-            "borough": label(F.trim("borough"), BOROUGH_BY_LETTER, ""),
+            "borough": label(stripped("borough"), BOROUGH_BY_LETTER, ""),
             "hnum": clean_house(house_number("address")),
             "sname": clean_street(street_name("address"), fillers=["'"], airport=False),
             "org_level": project_level("name"),
         },
     )
     plans = override_by_key(
-        plans, "name", "org_level", inputs["level_cor"], "school", F.col("org_level"), position
+        plans, "name", "org_level", inputs["level_cor"], "school", F.col("org_level"), _line(inputs["level_cor"])
     )
     level = F.col("org_level")
     return computed(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from civicflow.functions.codes import label
 from civicflow.functions.geometry import centroid, parse_polygons, point_wkt_of
-from civicflow.functions.numbers import to_number, truncated
+from civicflow.functions.numbers import to_count, to_number, to_number_marked, truncated
 from civicflow.functions.text import nth_part
 from civicflow.operators.relate import distinct_ids, union_missing
 from civicflow.operators.reshape import pivot_single, root_sum_squares, total, unpivot_structs
@@ -53,13 +53,13 @@ def travel_variables(mode_split, compat: bool = False):
     rows = mode_split.select(
         F.right(tail, F.lit(12)).alias("geoid"),
         label("lineno", TRAVEL_VARIABLES, "").alias("variable"),
-        truncated(to_number("est"), "bigint").alias("value"),
-        to_number("moe").alias("moe"),
+        to_count("est").alias("value"),
+        to_number_marked("moe").alias("moe"),
     ).filter(
-        # A tract id is the county followed by six digits; unknown modes are
-        # left out (trap T2).
+        # A tract id is the county followed by six digits.  Unknown modes are in
+        # no column of the pivot, but a tract with no others stays, with zeros
+        # (trap T2).
         F.left("geoid", F.greatest(F.length("geoid") - 6, F.lit(0))).isin(*CITY_COUNTIES)
-        & (F.col("variable") != "")
     )
     values = {"value": F.col("value").cast("double"), "moe": F.col("moe")}
     wide = pivot_single(rows, ["geoid"], "variable", modes, values)

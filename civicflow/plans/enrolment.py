@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.functions.codes import range_label
-from civicflow.functions.numbers import allocate, to_number, to_whole
+from civicflow.functions.numbers import allocate, to_count, to_number, to_whole
 from civicflow.operators.reshape import group_sum, pivot_sum, unpivot, unpivot_structs
 from civicflow.plans import schemas
 from civicflow.plans.fixed_values import (
@@ -27,7 +27,7 @@ def year_columns(projections: DataFrame) -> list[str]:
 
 def _pupils(year: str) -> Column:
     """Whole number with thousands commas (trap T22)."""
-    return to_number(f"`{year}`").cast("bigint")
+    return to_count(f"`{year}`")
 
 
 def build_by_boro(inputs: Frames) -> Frames:
@@ -99,7 +99,7 @@ def build_by_sd(inputs: Frames) -> Frames:
         allocate(F.col("ps").cast("double"), "ps_multiplier").alias("ps"),
         allocate(F.col("is").cast("double"), "is_multiplier").alias("is"),
     )
-    return {"projections_by_sd": out}
+    return {"projections_by_sd": out, "projections_by_sd_unmatched": unmatched_districts(inputs)}
 
 
 def unmatched_districts(inputs: Frames) -> DataFrame:
@@ -116,6 +116,9 @@ def unmatched_districts(inputs: Frames) -> DataFrame:
 PROJECTIONS_BY_SD = JobSpec(
     "projections_by_sd",
     ["split_pct", "projections"],
-    {"projections_by_sd": schemas.PROJECTIONS_BY_SD},
+    {
+        "projections_by_sd": schemas.PROJECTIONS_BY_SD,
+        "projections_by_sd_unmatched": "district text\nmissing text",
+    },
     build_by_sd,
 )

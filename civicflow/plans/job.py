@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from civicflow.session import applied
 from civicflow.sources.publish import conform, publish
-from civicflow.sources.tables import DatasetRef, read_versioned, staged
+from civicflow.sources.tables import DatasetRef, Staging, read_csv_text, read_versioned
 
 Frames = dict[str, DataFrame]
 Share = Callable[[DataFrame, str], DataFrame]
@@ -45,21 +46,39 @@ class JobSpec:
         return {name: conform(built[name], ddl, name not in self.keep_empty) for name, ddl in self.outputs.items()}
 
     def publish(
-        self, spark: SparkSession, base_in: str, base_out: str, versions: dict[str, str] | None = None
+        self,
+        spark: SparkSession,
+        base_in: str,
+        base_out: str,
+        versions: dict[str, str] | None = None,
+        csv: dict[str, str] | None = None,
+        unreadable: dict[str, dict[str, int]] | None = None,
     ) -> dict[str, str]:
         """Read the inputs, run, and write every output under the base folder.
 
         ``versions`` names the version of an input or output where it is not
-        ``latest``.
+        ``latest``.  Inputs named in ``csv``, such as corrections, are read from
+        a CSV file, with a ``line`` that grows with its lines.  ``unreadable``
+        is filled with the number of values of each output's columns that their
+        type could not hold.  The library's session settings hold meanwhile.
         """
-        versions = versions or {}
+        versions, csv = versions or {}, csv or {}
 
         def ref(name: str) -> DatasetRef:
             return DatasetRef(name, versions.get(name, "latest"))
 
-        inputs = {name: read_versioned(spark, ref(name), base_in) for name in self.inputs}
-        built = self.build(inputs, share=staged) if self.shares else self.build(inputs)
-        return {
-            name: publish(built[name], ref(name), base_out, ddl, name not in self.keep_empty)
-            for name, ddl in self.outputs.items()
-        }
+        with applied(spark), Staging(spark, base_out) as staging:
+            inputs = {
+                name: read_csv_text(spark, csv[name], line="line", multi_line=True)
+                if name in csv
+                else read_versioned(spark, ref(name), base_in)
+                for name in self.inputs
+            }
+            built = self.build(inputs, share=staging.keep) if self.shares else self.build(inputs)
+            paths = {}
+            for name, ddl in self.outputs.items():
+                counts: dict[str, int] = {}
+                paths[name] = publish(built[name], ref(name), base_out, ddl, name not in self.keep_empty, counts)
+                if unreadable is not None:
+                    unreadable[name] = counts
+            return paths

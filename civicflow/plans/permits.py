@@ -24,6 +24,7 @@ from civicflow.functions.text import (
     replace_if_different,
     sentinel_to_null,
     spaced,
+    stripped,
 )
 from civicflow.operators.dedup import latest_per_key
 from civicflow.operators.geocode import drop_outside_city, geocode, place_result, use_manual_position
@@ -58,7 +59,7 @@ def addressed_boiler_permits(permits: DataFrame) -> DataFrame:
         # Permits at the airport without a borough are in Queens (trap T3).
         "borough": F.when(at_airport & borough.isNull(), F.lit("Queens")).otherwise(borough),
         "address": spaced(clean_house("housenum", blank_leading_zero=True), clean_street("streetname")),
-        "status": F.trim("status"),
+        "status": stripped("status"),
     }
     parts = {
         "hnum": house_number("address"),
@@ -146,9 +147,10 @@ def newest_permits(permits: DataFrame) -> DataFrame:
     """
     issued = F.coalesce(iso_date("issue_date"), us_date("issue_date"))
     keys = [empty_to_null("facility_name"), empty_to_null("address")]
-    # Ids are not unique, so the remaining columns settle what is left.
-    ties = [F.col(c) for c in ["permit_id", "facility_location", "zipcode", "borough", "expiration_date"]]
-    return latest_per_key(permits, keys, issued, ties)
+    # Ids are not unique and lookups may double a row, so every other column settles what is left.
+    first = ["permit_id", "facility_location", "zipcode", "borough", "expiration_date"]
+    rest = [c for c in sorted(permits.columns) if c not in first]
+    return latest_per_key(permits, keys, issued, [F.col(f"`{c}`") for c in [*first, *rest]])
 
 
 def _accept(permits: DataFrame, name: str, share: Share) -> Frames:
@@ -165,7 +167,7 @@ TITLE_V_SOURCE = "nysdec_title_v_facility_permits"
 def build_state_permits(inputs: Frames, share: Share = as_is) -> Frames:
     """State facility permits, placed and newest only."""
     permits = inputs["state_permits"].withColumnsRenamed({"facility_zip": "zipcode", "expire_date": "expiration_date"})
-    permits = _corrected(permits.withColumn("permit_id", F.trim("permit_id")), inputs, STATE_SOURCE)
+    permits = _corrected(permits.withColumn("permit_id", stripped("permit_id")), inputs, STATE_SOURCE)
     return _accept(_located(permits, inputs, inputs["place_names"]), "state_facility_permits", share)
 
 
@@ -192,7 +194,7 @@ def permit_links(pages: DataFrame) -> DataFrame:
 def build_title_v_permits(inputs: Frames, share: Share = as_is) -> Frames:
     """Title V facility permits, with links to their text."""
     permits = inputs["title_v_permits"].withColumnsRenamed({"facility_zip": "zipcode"})
-    number = F.trim(F.replace(F.col("permit_id"), F.lit(")"), F.lit("")))
+    number = stripped(F.replace(F.col("permit_id"), F.lit(")"), F.lit("")))
     permits = _corrected(permits.withColumn("permit_id", number), inputs, TITLE_V_SOURCE)
     located = _located(permits, inputs, None)
     linked = lookup_left(located, permit_links(inputs["permit_pages"]), "permit_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from civicflow.functions.codes import label
 from civicflow.functions.geometry import parse_lines, parse_polygons
-from civicflow.functions.text import blank, blank_to_null
+from civicflow.functions.text import blank, blank_to_null, stripped
 from civicflow.operators.relate import lookup_left
 from civicflow.operators.spatial import meets_any
 from civicflow.plans import schemas
@@ -86,7 +86,7 @@ def build_traffic_counts(inputs: Frames) -> Frames:
     """Counts of the five counties with the geometry of their station."""
     counts = inputs["traffic_counts"].filter(F.col("cou").isin(*BOROCODE_BY_COUNTY_CODE))
     counts = counts.withColumn("borocode", label("cou", BOROCODE_BY_COUNTY_CODE)).withColumn(
-        "rc_station", F.trim("rc_station")
+        "rc_station", stripped("rc_station")
     )
     lines = inputs["traffic_lines"].select(F.col("rc_id").alias("rc_station"), "geom")
     return {"traffic_counts": lookup_left(counts, lines, "rc_station").withColumn("geom", blank("geom"))}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from civicflow.functions.codes import last_match
 from civicflow.functions.geometry import point_wkt
 from civicflow.functions.numbers import allocate, percent_share, to_exact, truncated
+from civicflow.functions.text import stripped
 from civicflow.operators.relate import exists_flag, not_in
 from civicflow.plans import schemas
 from civicflow.plans.fixed_values import (
@@ -28,17 +29,17 @@ def blue_book_exclusion() -> Column:
     level, school, name = F.col("org_level"), F.col("org_id"), "organization_name"
     return last_match(
         [
-            (school.isNull(), "org_id IS NULL"),
-            (level.isNull() | level.isin("SPED", "OTHER"), "org_level IS NULL, SPED, or OTHER"),
-            (F.col("charter").isNotNull(), "charter IS NOT NULL"),
+            (school.isNull(), "no school id"),
+            (level.isNull() | level.isin("SPED", "OTHER"), "level not served"),
+            (F.col("charter").isNotNull(), "charter"),
             (
                 _like(name, "ALC") | _like(name, "ALTERNATIVE LEARNING") | school.isin(*RESTART_SCHOOLS),
-                "organization_name like ALC or ALTERNATIVE LEARNING or Restart org_id",
+                "alternative or restart",
             ),
-            (_like(name, "Adult") | _like(name, "pre-k"), "organization_name contains Adult OR PREK"),
-            (school.isin(*COMPETITIVE_HIGH_SCHOOLS), "competitive high schools"),
-            (school.isin(*GIFTED_SCHOOLS), "citywide gifted and talented schools"),
-            (school.isin(*OTHER_SCHOOLS), "Orgid X695 OR M645"),
+            (_like(name, "Adult") | _like(name, "pre-k"), "adult or pre-k"),
+            (school.isin(*COMPETITIVE_HIGH_SCHOOLS), "competitive"),
+            (school.isin(*GIFTED_SCHOOLS), "gifted"),
+            (school.isin(*OTHER_SCHOOLS), "other school"),
         ]
     )
 
@@ -49,19 +50,19 @@ def school_list_exclusion() -> Column:
     school, building = F.col("location_code"), "building_name"
     return last_match(
         [
-            (category.isNull() | (category == "Ungraded"), "location_category_description is NULL or Ungraded"),
-            (F.col("managed_by_name") != "DOE", "managed_by_name <> DOE (exclude charter)"),
+            (category.isNull() | (category == "Ungraded"), "ungraded"),
+            (F.col("managed_by_name") != "DOE", "managed by others"),
             (
                 kind.isin("Special Education", "Home School"),
-                "location_type_description = Special Education or Home School",
+                "special or home school",
             ),
-            (school.isin(*COMPETITIVE_HIGH_SCHOOLS), "competitive high schools"),
-            (school.isin(*GIFTED_SCHOOLS), "citywide gifted and talented schools"),
+            (school.isin(*COMPETITIVE_HIGH_SCHOOLS), "competitive"),
+            (school.isin(*GIFTED_SCHOOLS), "gifted"),
             (
                 _like(building, " AF") | _like(building, "GYM") | _like(building, " FARM "),
-                "building_name contains AF or GYM or FARM",
+                "not a classroom building",
             ),
-            (school.isin(*OTHER_SCHOOLS), "Orgid X695 OR M645"),
+            (school.isin(*OTHER_SCHOOLS), "other school"),
         ]
     )
 
@@ -80,7 +81,7 @@ def tagged_school_list(inputs: Frames) -> tuple[DataFrame, DataFrame]:
     schools = schools.withColumn("match", F.when(absent, F.lit("not in blue book"))).drop("_absent")
 
     # Minis and portables beside another structure of the school on the lot.
-    solid = schools.filter(~_like("building_name", "PORTABLE") & ~_like("building_name", "MINI"))
+    solid = inputs["school_list"].filter(~_like("building_name", "PORTABLE") & ~_like("building_name", "MINI"))
     lot = F.concat("location_code", "borough_block_lot")
     schools = exists_flag(schools, lot, solid, lot, "_beside")
     mini = (
@@ -89,7 +90,7 @@ def tagged_school_list(inputs: Frames) -> tuple[DataFrame, DataFrame]:
         & F.col("excluded").isNull()
         & F.col("match").isNotNull()
     )
-    tag = F.when(mini, F.lit("Not Solo Mini or Portable")).otherwise(F.col("excluded"))
+    tag = F.when(mini, F.lit("annex of another building")).otherwise(F.col("excluded"))
     return book, schools.withColumn("excluded", tag).drop("_beside")
 
 
@@ -139,7 +140,7 @@ def build_school_buildings(inputs: Frames, share: Share = as_is) -> Frames:
         return F.coalesce(truncated(allocate(to_exact("b.org_e"), percent_share(share))), F.lit(0))
 
     def coordinate(c: str) -> Column:
-        return to_exact(F.replace(F.col(c), F.lit("NULL"), F.lit("0"))).cast("double")
+        return stripped(F.replace(F.col(c), F.lit("NULL"), F.lit("0"))).try_cast("double")
 
     out = a.join(b, same, "left").select(
         "b.district",

@@ -56,10 +56,12 @@ def meeting_urls(pages: DataFrame, resolved: DataFrame | None = None) -> DataFra
     best = adjacent_runs_best(
         links,
         [],
-        # Page numbers in thousands of thousands, in thousands, and one by one.
+        # Page numbers by their first 16 bits, 32, 48, and one by one: whatever
+        # the numbers, no piece has more than 2 * 65,536 pieces of the next level.
         [
-            F.struct("_rank", F.floor(F.col("page_id") / 1_000_000)),
-            F.floor(F.col("page_id") / 1_000),
+            F.struct("_rank", F.shiftright(F.col("page_id").cast("bigint"), 48)),
+            F.shiftright(F.col("page_id").cast("bigint"), 32),
+            F.shiftright(F.col("page_id").cast("bigint"), 16),
             F.col("page_id"),
         ],
         ["_rank", "page_id", "pos"],

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # Settings every job relies on, on a laptop and on a cluster alike.  Joins are
@@ -20,6 +23,19 @@ SETTINGS = {
 }
 
 
+@contextmanager
+def applied(spark: SparkSession) -> Iterator[None]:
+    """Run with the settings of the library, and set back what they were."""
+    before = {key: spark.conf.get(key, None) for key in SETTINGS if spark.conf.isModifiable(key)}
+    try:
+        for key in before:
+            spark.conf.set(key, SETTINGS[key])
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSession:
     """A small local session for tests and the bench."""
     builder = (

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow.functions.dates import iso_date, us_date
 from civicflow.functions.geometry import ewkt
-from civicflow.functions.text import empty_to_null
+from civicflow.functions.text import empty_to_null, stripped
 from civicflow.sources.tables import DatasetRef
 
 GEOMETRY = "geometry"
@@ -75,15 +75,42 @@ def conform(df: DataFrame, ddl: str | dict[str, str], empty_as_null: bool = True
 
 
 def publish(
-    df: DataFrame, ref: DatasetRef | str, base: str, ddl: str | dict[str, str], empty_as_null: bool = True
+    df: DataFrame,
+    ref: DatasetRef | str,
+    base: str,
+    ddl: str | dict[str, str],
+    empty_as_null: bool = True,
+    unreadable: dict[str, int] | None = None,
 ) -> str:
-    """Rebuild one published version from the frame."""
+    """Rebuild one published version from the frame.
+
+    ``unreadable`` is filled, while writing, with the number of values of each
+    column that became NULL because the declared type cannot hold them (T19).
+    """
     ref = DatasetRef.parse(ref) if isinstance(ref, str) else ref
+    ddl = parse_ddl(ddl) if isinstance(ddl, str) else ddl
     path = ref.path(base)
-    conform(df, ddl, empty_as_null).write.mode("overwrite").parquet(path)
+    lost = _lost(df, ddl)
+    seen = Observation()
+    counted = df.observe(seen, *[F.count_if(c).alias(f"c{i}") for i, c in enumerate(lost.values())]) if lost else df
+    conform(counted, ddl, empty_as_null).write.mode("overwrite").parquet(path)
+    if unreadable is not None and lost:
+        counts = seen.get
+        unreadable.update({name: counts[f"c{i}"] for i, name in enumerate(lost)})
     return path
 
 
+def _lost(df: DataFrame, ddl: dict[str, str]) -> dict[str, Column]:
+    """For each typed column that is read from text: whether a value is lost."""
+    out = {}
+    for field in df.schema.fields:
+        kind = ddl.get(field.name, "text")
+        if isinstance(field.dataType, T.StringType) and kind not in ("text", "character varying", GEOMETRY):
+            c = F.col(f"`{field.name}`")
+            out[field.name] = (stripped(c) != "") & _as_type(c, field.dataType, kind, True).isNull()
+    return out
+
+
 def publish_after(
     df: DataFrame,
     ref: DatasetRef | str,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -43,19 +42,25 @@ def read_versioned(spark: SparkSession, ref: DatasetRef | str, base: str | None
 
 
 def read_csv_text(
-    spark: SparkSession, path: str, columns: list[str] | None = None, line: str | None = None
+    spark: SparkSession, path: str, columns: list[str] | None = None, line: str | None = None, multi_line: bool = False
 ) -> DataFrame:
     """CSV with a header, every column as text.
 
     Giving the columns saves the pass that reads the header.  Quoted fields may
-    hold line breaks and doubled quotes.  ``line`` names a column to add that
-    grows with the lines of a file, for corrections of which the last one wins.
+    hold doubled quotes, and with ``multi_line`` line breaks; each file is then
+    one task, while otherwise files are split.  ``line`` names a column to add
+    that grows with the files by name and with the lines of each, for
+    corrections of which the last one wins.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     rows = reader.csv(path)
-    return rows if line is None else rows.withColumn(line, F.monotonically_increasing_id())
+    if line is None:
+        return rows
+    # Ids grow within a piece of a file; pieces are ordered by their place.
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    return rows.select("*", F.struct(*[c.alias(f"p{i}") for i, c in enumerate(place)]).alias(line))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -68,20 +73,25 @@ def select_renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in columns.items()])
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write an intermediate result and read it back.
+class Staging:
+    """A folder for intermediate results, removed as a whole at the end.
 
-    The table goes to the shared folder the cluster names in
-    ``spark.checkpoint.dir``, so a lost executor costs no recomputation and the
-    readers still prune columns.  A folder of its own is made only for a local
-    session that names none.
+    It lies under a folder that every executor can reach, such as that of the
+    outputs, so a lost executor costs no recomputation.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="civicflow-")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark = spark
+        self.path = f"{base.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """Write a frame and read it back; the readers still prune columns."""
+        df.write.parquet(f"{self.path}/{label}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{label}")
+
+    def __enter__(self) -> "Staging":
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -74,7 +74,8 @@ def test_content_hash_ignores_column_order(spark):
 
 def test_numbers(values):
     given = ["1,234", "+/-56", ".5", " ", "1.2e+07", "n/a", None, "12.", "1d"]
-    assert values(numbers.to_number("c"), given) == [1234.0, 56.0, 0.5, None, 1.2e7, None, None, 12.0, None]
+    assert values(numbers.to_number_marked("c"), given) == [1234.0, 56.0, 0.5, None, 1.2e7, None, None, 12.0, None]
+    assert values(numbers.to_number("c"), given) == [None, None, 0.5, None, 1.2e7, None, None, 12.0, None]
     assert values(numbers.to_whole("c"), [" 12 ", "12.5", "", None, "-3"]) == [12, None, None, None, -3]
     assert values(numbers.range_end("c"), ["300-350", "300–350", "n/a", None, "7"]) == [350, 350, 0, 0, 7]
     assert values(numbers.truncated("c"), [1.9, -1.9, 1e12, None], "double") == [1, -1, None, None]
@@ -205,7 +206,7 @@ def test_long_page_is_read_whole(values):
 
 
 def test_cell_anchor_takes_the_first_of_a_cell(values):
-    html = '<table><tr><td class="a"><a href="1">A</a><a href="2">B</a></td><td>none</td></tr></table><a href="3">C</a>'
+    html = '<table class="dataTable"><tr><td class="a"><a href="1">A</a><a href="2">B</a></td><td>none</td></tr></table><a href="3">C</a>'
     assert [(a.href, a.text) for a in values(links.cell_anchor("c"), [html])[0]] == [("1", "A")]
 
 

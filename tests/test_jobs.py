@@ -65,8 +65,8 @@ def test_school_buildings(spark):
     # A mini beside another structure is left out, a mini alone stays.
     assert {(r.location_code, r.building_code) for r in out["school_research"].collect()} == {("K3", "B4"), ("K5", "B5")}
     tags = {r.building_code: r.excluded for r in tagged_school_list(inputs)[1].collect()}
-    assert tags["B3"] == "Not Solo Mini or Portable"
-    assert tags["B6"] == "managed_by_name <> DOE (exclude charter)"
+    assert tags["B3"] == "annex of another building"
+    assert tags["B6"] == "managed by others"
 
 
 def test_null_key_in_the_sister_table_tags_nothing(spark):

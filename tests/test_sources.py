@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civicflow.sources.publish import conform, parse_ddl, publish, publish_after, split_by
-from civicflow.sources.tables import DatasetRef, read_csv_text, read_versioned, select_renamed, staged, write_csv
+from civicflow.sources.tables import DatasetRef, Staging, read_csv_text, read_versioned, select_renamed, write_csv
 
 
 def test_version_names(tmp_path):
@@ -69,8 +69,8 @@ def test_csv_is_text_with_quotes(spark, tmp_path):
     df = spark.createDataFrame([("1", 'say "hi", you'), ("2", "two\nlines")], "id string, t string")
     path = str(tmp_path / "c")
     write_csv(df, path)
-    assert sorted(read_csv_text(spark, path).collect()) == sorted(df.collect())
-    assert sorted(read_csv_text(spark, path, ["id", "t"]).collect()) == sorted(df.collect())
+    assert sorted(read_csv_text(spark, path, multi_line=True).collect()) == sorted(df.collect())
+    assert sorted(read_csv_text(spark, path, ["id", "t"], multi_line=True).collect()) == sorted(df.collect())
 
 
 def test_csv_lines_keep_their_order(spark, tmp_path):
@@ -79,6 +79,26 @@ def test_csv_lines_keep_their_order(spark, tmp_path):
     assert [r.address for r in rows] == ["one", "x", "two"]
 
 
+def test_csv_lines_go_by_file_then_place(spark, tmp_path):
+    for name, lines in (("b", 3), ("a", 4000)):
+        (tmp_path / f"{name}.csv").write_text("n\n" + "".join(f"{name}{k:05}\n" for k in range(lines)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        df = read_csv_text(spark, str(tmp_path / "*.csv"), ["n"], line="line")
+        assert df.rdd.getNumPartitions() > 3
+        names = [r.n for r in df.orderBy("line").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert names == sorted(names)
+
+
+def test_values_their_type_cannot_hold_are_counted(spark, tmp_path):
+    df = spark.createDataFrame([("1", "x", " "), ("12345678901", "y", "no date"), ("n/a", None, "9/1/2018")], "a string, b string, c string")
+    lost: dict[str, int] = {}
+    publish(df, "t.latest", str(tmp_path), "a integer\nb text\nc date", unreadable=lost)
+    assert lost == {"a": 2, "c": 1}
+
+
 def test_version_of_a_catalog_table(spark):
     spark.sql("CREATE SCHEMA IF NOT EXISTS flows_test")
     spark.sql("DROP TABLE IF EXISTS flows_test.`2019__09`")
@@ -97,7 +117,9 @@ def test_renamed_selection_prunes_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<totwork_16+:int>" in plan
 
 
-def test_staged_frame_is_written_and_read_back(spark):
-    out = staged(spark.range(5).select(F.col("id"), F.lit(None).cast("string").alias("s")), "x")
-    assert out.count() == 5 and out.columns == ["id", "s"]
-    assert "FileScan parquet" in out._jdf.queryExecution().executedPlan().toString()
+def test_staged_frame_is_written_read_back_and_removed(spark, tmp_path):
+    with Staging(spark, str(tmp_path)) as staging:
+        out = staging.keep(spark.range(5).select(F.col("id"), F.lit(None).cast("string").alias("s")), "x")
+        assert out.count() == 5 and out.columns == ["id", "s"]
+        assert "FileScan parquet" in out._jdf.queryExecution().executedPlan().toString()
+    assert list(tmp_path.iterdir()) == []
