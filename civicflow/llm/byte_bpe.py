@@ -31,9 +31,9 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _BREAK = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
 #: Characters worked on at once, and the most chunks kept with their ids.
-PIECE, KEPT = 1 << 20, 300_000
+PIECE, KEPT = 1 << 19, 200_000
 #: Leaves of all trees that are merged side by side.
-LANES = 1 << 16
+LANES = 1 << 15
 NONE = np.int64(2**62)
 
 
