@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from civicflow.session import applied
-from civicflow.sources.publish import conform, publish
+from civicflow.sources.publish import conform, publish, publish_after
 from civicflow.sources.tables import DatasetRef, Staging, read_csv_text, read_versioned
 
 Frames = dict[str, DataFrame]
@@ -78,7 +78,10 @@ class JobSpec:
             paths = {}
             for name, ddl in self.outputs.items():
                 counts: dict[str, int] = {}
-                paths[name] = publish(built[name], ref(name), base_out, ddl, name not in self.keep_empty, counts)
+                if name in self.keep_empty:
+                    paths[name] = publish_after(built[name], ref(name), base_out, ddl, lambda df: df, counts)
+                else:
+                    paths[name] = publish(built[name], ref(name), base_out, ddl, unreadable=counts)
                 if unreadable is not None:
                     unreadable[name] = counts
             return paths

@@ -117,13 +117,14 @@ def publish_after(
     base: str,
     ddl: str | dict[str, str],
     post: Callable[[DataFrame], DataFrame],
+    unreadable: dict[str, int] | None = None,
 ) -> str:
     """Run the post step on the untyped columns, then cast and publish.
 
     Empty text stays empty here; only typed columns read it as NULL.
     """
     ddl = parse_ddl(ddl) if isinstance(ddl, str) else ddl
-    return publish(post(df.select(*[F.col(f"`{c}`") for c in ddl])), ref, base, ddl, empty_as_null=False)
+    return publish(post(df.select(*[F.col(f"`{c}`") for c in ddl])), ref, base, ddl, False, unreadable)
 
 
 def split_by(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:

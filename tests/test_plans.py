@@ -36,6 +36,12 @@ def test_no_python_and_no_pairwise_join(spark, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for bad in ["Python", "Pandas", "CartesianProduct", "NestedLoopJoin", "BroadcastHashJoin"]:
         assert bad not in text, f"{name} plans {bad}"
+    # One task may only gather sums of one row each, and the first level of the
+    # pages' pieces, of which there are 2 * 65,536 at most.
+    lines = text.splitlines()
+    for above, line in zip(lines, lines[1:]):
+        if "SinglePartition" in line and name != "recipe_meeting_urls":
+            assert "Aggregate(keys=[]" in above, f"{name} gathers rows in one task: {above}"
 
 
 def test_latest_per_key_thins_out_before_the_shuffle(spark):
