@@ -34,7 +34,7 @@ DROPPED = frozenset(
 )
 #: Words of a class, id or role that say the same of any element.
 HINTS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising alert breadcrumb breadcrumbs comment comments commentlist "
+    "ad ads adsbygoogle adsense advert adverts advertisement advertising alert breadcrumb breadcrumbs comment comments commentlist "
     "complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus footer footers form gdpr "
     "login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager "
     "pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar "
@@ -43,7 +43,11 @@ HINTS = frozenset(
 #: The same, but not inside an article, whose own heading they may hold.
 OUTER_HINTS = frozenset(["banner", "header", "headers", "topbar"])
 REMARKS = frozenset(["comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"])
+#: What may make an article of its own a thing beside the main one; other hints do not drop an article.
+BESIDE = REMARKS | frozenset("ad ads advert advertisement promo promoted recommended related sponsored".split())
 _WORD = re.compile(r"[a-z]+")
+#: A box that says so only tells of another one in it.
+_TELLS = re.compile(r"\b(?:has|no|with)[-_]\w+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Characters fed to the parser at once.
 FEED = 1 << 16
@@ -83,17 +87,18 @@ class _Page(HTMLParser):
         if tag in VOID:
             return
         said = dict(attrs)
-        words = set(_WORD.findall(" ".join(said.get(k) or "" for k in ("class", "id", "role")).lower()))
+        names = " ".join(said.get(k) or "" for k in ("class", "id", "role")).lower()
+        words = set(_WORD.findall(_TELLS.sub("", names)))
         if tag in BLOCKS:
             self._close_implied(tag)
-        if tag in ("article", "main") and self.stack and self.stack[-1][3] and not words & (HINTS | OUTER_HINTS):
+        if tag in ("article", "main") and self.stack and self.stack[-1][3] and not words & BESIDE:
             if not self.stack[-1][4]:  # an advert or menu that was never closed ends where an article begins
                 self._pop(self.stack[-1][3] - 1)
         _, article, box, dropped, remark = self.stack[-1] if self.stack else ("", 0, 0, 0, False)
         if not dropped:
             outer = not article and (tag == "header" or words & OUTER_HINTS)
             hidden = "hidden" in said or _HIDDEN.search(said.get("style") or "")
-            hinted = words & HINTS and tag not in ("html", "body")
+            hinted = words & (BESIDE if tag == "article" else HINTS) and tag not in ("html", "body", "main")
             if tag in DROPPED or outer or hidden or hinted:
                 dropped, remark = len(self.stack) + 1, bool(words & REMARKS)
         if tag in BLOCKS and tag != "p" and not re.match(r"h\d$", tag):

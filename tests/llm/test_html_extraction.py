@@ -44,6 +44,9 @@ LONG = "Enough words to make a paragraph that stands out from what is around it.
         (f"<article><p>{LONG}<script>var a='<p>no</p>'</script><style>p{{}}</style><!-- no --></p></article>", LONG),
         (f"<article><ul><li>one<li>two</ul><table><tr><td>c<td>d</table>{LONG}</article>", f"one\ntwo\nc\nd\n{LONG}"),
         (f"<article><p>{LONG}", LONG),
+        (f"<div class='layout with-sidebar'><p>{LONG}</p><p>{LONG}</p><div class='sidebar'>no</div></div>", f"{LONG}\n{LONG}"),
+        (f"<main class='sidebar-left'><p>{LONG}</p></main><article class='related'>{LONG} {LONG}</article>", LONG),
+        (f"<p>{LONG} <span class='ad'>buy</span> on</p><div role='navigation'>x</div>", f"{LONG} on"),
     ],
 )
 def test_shapes(page, text):
