@@ -268,15 +268,15 @@ def without_near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:
     """The rows of docs, all columns, with one row left of each component: its smallest doc_id.
 
     Rows without words all stay.  Rows equal in doc_id and text count as one document, of which one stays.  If
-    no row of a component has a doc_id, the row whose text has the least hash stays.
+    no row of a component has a doc_id, the row whose text has the least hash stays.  Names of docs that start
+    with ``_near_`` are not for use.
     """
     sketches, groups = near_groups(docs, p)
     empty = sketches.where("n_shingles = 0").select("_row", "_text_key", F.col("doc_id").isNull().alias("no_id"))
     stay = groups.select("first._row", "first._text_key", "first.no_id").union(empty)
-    stay = stay.select(F.col("_row").alias("_r"), F.col("_text_key").alias("_t"), F.col("no_id").alias("_n"))
-    mark = [F.col("doc_id").isNull(), _row_key(F.col("doc_id"), F.col("text")), F.xxhash64("text")]
+    stay = stay.toDF("_near_0", "_near_1", "_near_2").distinct()
+    mark = [_row_key(F.col("doc_id"), F.col("text")), F.xxhash64("text"), F.col("doc_id").isNull()]
     held = docs.select(*(f"`{c}`" for c in docs.columns), *(m.alias(f"_near_{k}") for k, m in enumerate(mark)))
-    same = (F.col("_near_1") == F.col("_r")) & (F.col("_near_2") == F.col("_t")) & (F.col("_near_0") == F.col("_n"))
-    held = held.join(stay.distinct(), same, "left_semi")
+    held = held.join(stay, [f"_near_{k}" for k in range(3)], "left_semi")
     once = held.dropDuplicates([f"_near_{k}" for k in range(3)])
     return once.select(*(f"`{c}`" for c in docs.columns))

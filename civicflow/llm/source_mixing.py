@@ -144,10 +144,11 @@ def _cuts(docs: DataFrame, m: Mix) -> DataFrame:
 def mixed(docs: DataFrame, m: Mix, epoch: str | None = None) -> DataFrame:
     """The rows of docs that make up the mix, all columns; a row comes once for each of its epochs.
 
-    ``epoch`` names a column to add with the number of the epoch, in place of one of docs of that name.  docs has doc_id, text, lang and source.  A null language or source is a name of its own, and a null text has
-    no tokens.  Documents without tokens cost nothing and go with the prefix they stand in.  Rows of a leaf that
-    share a doc_id are taken together.  The budgets of a family are rounded down, and a prefix never goes beyond
-    its budget.  Names of docs that start with ``_mix`` or ``_own`` are not for use.  An empty table gives no rows.
+    docs has doc_id, text, lang and source.  ``epoch`` names a column to add with the number of the epoch, in place
+    of one of docs of that name.  A null language or source is a name of its own, and a null text has no tokens.
+    Documents without tokens cost nothing and go with the prefix they stand in.  Rows of a leaf that share a doc_id
+    are taken together.  The budgets of a family are rounded down, and a prefix never goes beyond its budget.  Names
+    of docs that start with ``_mix`` or ``_own`` are not for use.  An empty table gives no rows.
     """
     cuts = kept_frame(_cuts(docs.select("doc_id", "text", "lang", "source"), m))
     cuts = cuts.select(*(F.col(c).alias(f"_mix{c}") for c in cuts.columns))
