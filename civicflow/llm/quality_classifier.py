@@ -172,7 +172,7 @@ def _weigh(sets: list[np.ndarray], y: np.ndarray, s: Settings) -> tuple[np.ndarr
     rows = []
     for at in sets:
         value = ratios[at]
-        rows.append((at, value / (np.sqrt(np.square(value).sum()) or 1.0)))
+        rows.append((at, (value / (np.sqrt(np.square(value).sum()) or 1.0)).astype(np.float32)))
     share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
     w, bias = _descend(rows, y, s.cost * 0.5 / share, size, s.sweeps)
     return ratios, w * ratios, bias
@@ -207,8 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """
     rows = sample(docs, labels, s).collect()
     rows.sort(key=lambda r: (r.label, bytes(r.bits)))  # the order of the rows must not depend on the partitions
-    sets = [np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8))) for r in rows]
+    sets = [np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8))).astype(np.int32) for r in rows]
     y = np.array([1.0 if r.label else -1.0 for r in rows])
+    del rows
     size = 1 << s.bits
     if min((y > 0).sum(), (y < 0).sum()) < 2:
         share = (y > 0).mean() if len(y) else 0.5
