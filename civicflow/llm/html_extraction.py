@@ -4,8 +4,8 @@ The standard library's parser streams a page's events.  A line is what stands be
 the tags met in it.  Menus, adverts, comments and the like are known by their element or by words of their
 class, id and role; their lines stay in the row of ratios with a ratio of zero.  The ratios of characters to tags
 are smoothed with a Gaussian kernel, and lines above a threshold, the spread of the smoothed ratios, are the
-seeds of content.  Seeds are clustered by the article (or, without one, the block) they stand in; the cluster of
-the most characters is the content region, and the region's lines, short ones too, are the text.
+seeds of content.  Every article with a seed is a content region; if none has one, the lowest block that holds all
+seeds and articles is.  A region's lines, short ones too, are the text.
 """
 
 from __future__ import annotations
@@ -45,6 +45,10 @@ OUTER_HINTS = frozenset(["banner", "header", "headers", "topbar"])
 REMARKS = frozenset(["comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"])
 #: What may make an article of its own a thing beside the main one; other hints do not drop an article.
 BESIDE = REMARKS | frozenset("ad ads advert advertisement promo promoted recommended related sponsored".split())
+#: Blocks that are one of several, so that what stands beside them belongs to them.
+PARTS = frozenset("blockquote dd dt figcaption li section summary tbody tfoot thead tr".split())
+#: Blocks that do not say whether they hold text or what is around it.
+LOOSE = frozenset("address center dir div table".split())
 _WORD = re.compile(r"[a-z]+")
 #: A box that says so only tells of another one in it.
 _TELLS = re.compile(r"\b(?:has|no|with)[-_]\w+")
@@ -65,6 +69,7 @@ class _Page(HTMLParser):
         self.tags = 0
         self.boxes = 0
         self.parent = [0]
+        self.kinds = [""]
 
     def _line(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -104,6 +109,7 @@ class _Page(HTMLParser):
         if tag in BLOCKS and tag != "p" and not re.match(r"h\d$", tag):
             self.boxes += 1
             self.parent.append(box)
+            self.kinds.append(tag)
             box = self.boxes
         if tag in ("article", "main") and not article and not dropped:
             article = self.boxes
@@ -130,12 +136,6 @@ class _Page(HTMLParser):
         if not (self.stack and self.stack[-1][3]):
             self.text.append(data)
 
-    def inside(self, box: int, outer: int) -> bool:
-        """Whether a box is another or lies in it."""
-        while box > outer:
-            box = self.parent[box]
-        return box == outer
-
 
 def smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
     """The ratios under a Gaussian kernel that ends after three sigmas; at the borders it is cut off."""
@@ -163,24 +163,47 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         seed = chars > 0
     articles = np.array([x[2] for x in lines])
     boxes = np.array([x[3] for x in lines])
-    in_article = (articles > 0) & (chars > 0)
-    if in_article.any():
-        return "\n".join(lines[k][0] for k in _region(articles, in_article, chars, seed))
-    box = boxes[_region(boxes, chars > 0, chars, seed)[0]]
-    held = np.array([page.inside(b, box) for b in boxes]) & (chars > 0)
-    if page.parent[box] <= 1:  # the body itself: from the first seed to the last
-        at = np.flatnonzero(seed & held)
-        held[: at[0]] = False
-        held[at[-1] + 1 :] = False
+    within = (articles > 0) & (chars > 0)
+    if (within & seed).any():
+        held = within & np.isin(articles, articles[within & seed])
+    else:
+        held = _spanned(page, boxes, chars > 0, seed | within)
     return "\n".join(lines[k][0] for k in np.flatnonzero(held))
 
 
-def _region(cluster: np.ndarray, among: np.ndarray, chars: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Lines of the cluster whose seeds hold the most characters; without seeds, whose lines do."""
-    mass = np.bincount(cluster[among & seed], chars[among & seed], minlength=cluster.max() + 1)
-    if not mass.any():
-        mass = np.bincount(cluster[among], chars[among], minlength=cluster.max() + 1)
-    return np.flatnonzero(among & (cluster == mass.argmax()))
+def _spanned(page: _Page, boxes: np.ndarray, said: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Which lines of text stand in the lowest box that holds all seeds.
+
+    Of the body these are the lines from its first child with a seed to its last one, and what goes on before and
+    after them in no box of its own, or in one that is made for text.
+    """
+    parent = page.parent
+    count = np.bincount(boxes[seed], minlength=len(parent)).tolist()
+    for b in range(len(parent) - 1, 0, -1):  # a box has a greater number than the one it stands in
+        count[parent[b]] += count[b]
+    box = max(b for b, n in enumerate(count) if n == count[0])
+    while page.kinds[box] in PARTS:
+        box = parent[box]
+    child = [-1] * len(parent)
+    child[box] = box
+    for b in range(box + 1, len(parent)):
+        child[b] = b if child[parent[b]] == box else child[parent[b]]
+    part = np.array(child)[boxes]
+    held = said & (part >= 0)
+    if page.kinds[box] not in ("", "html", "body"):
+        return held
+    at = np.flatnonzero(held)
+    own = part[at] == box
+    goes_on = own | np.array([page.kinds[b] not in LOOSE for b in part[at]])
+    core = np.flatnonzero(seed[at] | ~own & np.isin(part[at], part[at][seed[at]]))
+    first, last = core[0], core[-1]
+    while first > 0 and goes_on[first - 1]:
+        first -= 1
+    while last + 1 < len(at) and goes_on[last + 1]:
+        last += 1
+    held[at[:first]] = False
+    held[at[last + 1 :]] = False
+    return held
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -53,6 +53,36 @@ def test_shapes(page, text):
     assert main_text(page) == text
 
 
+SECTIONS = "".join(f"<section><h2>Part {k}</h2><p>{LONG}</p><p>Short.</p></section>" for k in range(3))
+ITEMS = "".join(f"<li>{k} {LONG}</li>" for k in range(4))
+CELLS = "".join(f"<tr><td>{k}</td><td>{LONG}</td></tr>" for k in range(3))
+IN_SECTIONS = "\n".join(f"Part {k}\n{LONG}\nShort." for k in range(3))
+IN_ITEMS = "\n".join(f"{k} {LONG}" for k in range(4))
+IN_CELLS = "\n".join(f"{k}\n{LONG}" for k in range(3))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><body><div>Site</div><div id=content>{SECTIONS}</div><div>end</div></body></html>", IN_SECTIONS),
+        (f"<body><div>Site</div>{SECTIONS}<div>end</div></body>", IN_SECTIONS),
+        (f"<body><ul>{ITEMS}<li>last</li></ul></body>", f"{IN_ITEMS}\nlast"),
+        (f"<body><div>Site</div><div><table>{CELLS}</table></div></body>", IN_CELLS),
+        (f"<body><h1>Title</h1><p>{LONG}</p><section><p>{LONG} {LONG}</p></section><p>The end.</p></body>", f"Title\n{LONG}\n{LONG} {LONG}\nThe end."),
+        (f"<body><blockquote>{LONG * 9}</blockquote><blockquote>{LONG}</blockquote></body>", f"{LONG * 9}\n{LONG}"),
+        (f"<body><section><p>{LONG * 9}</p></section><section><p>Two.</p></section></body>", f"{LONG * 9}\nTwo."),
+        (f"<article><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG} {LONG}</p></article>", f"{LONG}\nTwo\n{LONG} {LONG}"),
+        (f"<body><div><p>{LONG * 5}</p><p>{LONG * 5}</p></div><article>Teaser</article></body>", f"{LONG * 5}\n{LONG * 5}\nTeaser"),
+    ],
+)
+def test_text_across_boxes(page, text):
+    assert main_text(page) == text
+
+
+def test_deep_boxes():
+    assert main_text("<div>" * 20000 + LONG + "<div>x" * 20000) == "\n".join([LONG] + ["x"] * 20000)
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (1, "u", "<p>a"), (None, "", ""), (3, "u", "<" * 3000), (4, "u", "<b>" * 20000 + "x")]
     rows += [(5, "u", "<article>" + f"<p>{LONG}" * 20000)]
