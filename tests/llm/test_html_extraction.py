@@ -79,6 +79,33 @@ def test_text_across_boxes(page, text):
     assert main_text(page) == text
 
 
+LINKS = "".join(f"<li><a href=/{k}>Another story {k}</a></li>" for k in range(6))
+LINKED = "\n".join(f"Another story {k}" for k in range(6))
+ROWS = "".join(f"<tr><td><a href=/{k}>Land {k}</a><td><a href=/t{k}>Town {k}</a><td>{k}</tr>" for k in range(3))
+IN_ROWS = "\n".join(f"Land {k}\nTown {k}\n{k}" for k in range(3))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{LONG * 3}</p><ul>{LINKS}</ul><p>{LONG * 3}</p><p>End.</p></article>", f"{LONG * 3}\n{LONG * 3}\nEnd."),
+        (f"<main><div><a href=/>Home</a> | <a href=/a>About</a> | <a href=/b>Mail</a></div><h1>T</h1><p>{LONG * 3}</p></main>", f"T\n{LONG * 3}"),
+        (f"<body><div><p>{LONG * 3}</p><div>{LINKS}</div><p>{LONG * 3}</p></div></body>", f"{LONG * 3}\n{LONG * 3}"),
+        (f"<article><p>{LONG * 3} <a href=/>here</a></p><h2><a href=/x>Part</a></h2><p><a href=/y>All of a line</a></p></article>", f"{LONG * 3} here\nPart\nAll of a line"),
+        (f"<article><p>{LONG}</p><table>{ROWS}</table></article>", f"{LONG}\n{IN_ROWS}"),
+        (f"<main><h1>Links</h1><ul>{LINKS}</ul></main><div>{LONG}</div>", f"Links\n{LINKED}\n{LONG}"),
+        (f"<article><p><a href=/>{LONG * 3}<p>{LONG * 3}<p>{LONG * 3}</article>", f"{LONG * 3}\n{LONG * 3}\n{LONG * 3}"),
+    ],
+)
+def test_ratios_decide_on_lists_of_links(page, text):
+    assert main_text(page) == text
+
+
+def test_the_threshold_takes_part_within_an_article():
+    page = f"<article><p>{LONG * 3}</p><ul>{LINKS}</ul><p>{LONG * 3}</p></article>"
+    assert main_text(page, 1.0) == f"{LONG * 3}\n{LONG * 3}" != main_text(page, 40.0)
+
+
 def test_deep_boxes():
     assert main_text("<div>" * 20000 + LONG + "<div>x" * 20000) == "\n".join([LONG] + ["x"] * 20000)
 
