@@ -2,7 +2,9 @@
 
 The standard library's parser streams a page's events.  A line is what stands between two block borders, with
 the tags met in it.  Menus, adverts, comments and the like are known by their element or by words of their
-class, id and role; their lines stay in the row of ratios with a ratio of zero.  The ratios of characters to tags
+class, id and role; their lines stay in the row of ratios with a ratio of zero.  Within an article only whole names
+of adverts and comments say enough; any other such name of a block counts if its lines are low or mostly links, and
+no word of a heading's or a slug's does.  The ratios of characters to tags
 are smoothed with a Gaussian kernel, and lines above a threshold, the spread of the smoothed ratios, are the
 seeds of content.  Every article with a seed is a content region; if none has one, the lowest block that holds all
 seeds and articles is.  A run of lines that are nearly all links, with smoothed ratios below the threshold, is no
@@ -31,7 +33,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never content.
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog embed fieldset footer form head iframe input label map math menu nav "
+    "annotation annotation-xml aside audio button canvas datalist dialog embed fieldset footer form head iframe input map menu nav "
     "noframes noscript object option script select style svg template textarea title video".split()
 )
 #: Words of a class, id or role that say the same of any element.
@@ -47,6 +49,20 @@ OUTER_HINTS = frozenset(["banner", "header", "headers", "topbar"])
 REMARKS = frozenset(["comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"])
 #: What may make an article of its own a thing beside the main one; other hints do not drop an article.
 BESIDE = REMARKS | frozenset("ad ads advert advertisement promo promoted recommended related sponsored".split())
+#: What says enough within an article: whole names of a class, roles, and whole ids.
+CERTAIN = frozenset(
+    "ad ads adsbygoogle advert advertisement advertising adverts comment commentlist comments disqus outbrain promo promoted "
+    "replies sponsor sponsored taboola".split()
+)
+ROLES = frozenset("complementary contentinfo dialog menu menubar navigation search".split())
+IDS = frozenset("comment commentlist comments disqus replies respond".split())
+#: Words that may stand beside such a word in a name and say nothing of their own.
+FRAME = frozenset(
+    "area bar block body box button buttons container content form group icon icons inner item items link links list module "
+    "outer panel post posts section slot stories text thread title tools unit wrap wrapper".split()
+)
+#: Share of characters in links from which such a name counts within an article.
+MOSTLY_LINKED = 0.5
 #: Blocks that are one of several, so that what stands beside them belongs to them.
 PARTS = frozenset("blockquote dd dt figcaption li section summary tbody tfoot thead tr".split())
 #: Blocks that do not say whether they hold text or what is around it.
@@ -62,13 +78,24 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 FEED = 1 << 16
 
 
+def _named(names: str | None, words: frozenset[str]) -> bool:
+    """Whether one of the names has one of the words, and no other that says something."""
+    for name in _TELLS.sub("", (names or "").lower()).split():
+        found = set(_WORD.findall(name))
+        if found & words and found <= words | FRAME:
+            return True
+    return False
+
+
 class _Page(HTMLParser):
-    """Lines of one page: text that may be content, tags, the article and box it stands in, links and linked share."""
+    """Lines of one page: text that may be content, tags, the article and box it stands in, links and linked share,
+    and the innermost block of a doubtful name."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int, float]] = []
-        self.stack: list[tuple[str, int, int, int, bool]] = []  # tag, article, box, where dropping began, remark
+        self.lines: list[tuple[str, int, int, int, int, float, int]] = []
+        #: Tag, article, box, where dropping began, remark, doubt.
+        self.stack: list[tuple[str, int, int, int, bool, int]] = []
         self.places: dict[str, list[int]] = {}
         self.text: list[str] = []
         self.tags = 0
@@ -77,15 +104,16 @@ class _Page(HTMLParser):
         self.boxes = 0
         self.parent = [0]
         self.kinds = [""]
+        self.doubts = [0]  # of each, the one it stands in
 
     def _line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            _, article, box, _, _ = self.stack[-1] if self.stack else ("", 0, 0, 0, False)
+            _, article, box, _, _, doubt = self.stack[-1] if self.stack else ("", 0, 0, 0, False, 0)
             share = 0.0  # of a heading, a link or not, too
             if self.linked and text and not any(self.places.get(h) for h in HEADS):
                 share = sum(len(x) for x in "".join(self.linked).split()) / sum(len(x) for x in text.split())
-            self.lines.append((text, self.tags, article, box, self.links, share))
+            self.lines.append((text, self.tags, article, box, self.links, share, doubt))
         self.text, self.tags, self.links, self.linked = [], 0, 0, []
 
     def _pop(self, at: int) -> None:
@@ -102,24 +130,36 @@ class _Page(HTMLParser):
         if tag in VOID:
             return
         said = dict(attrs)
-        names = " ".join(said.get(k) or "" for k in ("class", "id", "role")).lower()
-        words = set(_WORD.findall(_TELLS.sub("", names)))
+        names = [said.get(k) or "" for k in ("class", "role", "id")]
+        if tag in HEADS or tag in ("article", "section"):
+            names.pop()  # a slug of what stands in it
+        words = set(_WORD.findall(_TELLS.sub("", " ".join(names).lower())))
+        remarks = tag not in HEADS and _named(said.get("id"), IDS)
         if tag in BLOCKS:
             self._close_implied(tag)
-        if tag in ("article", "main") and self.stack and self.stack[-1][3] and not words & BESIDE:
+        if tag in ("article", "main") and self.stack and self.stack[-1][3] and not (words & BESIDE or remarks):
             if not self.stack[-1][4]:  # an advert or menu that was never closed ends where an article begins
                 self._pop(self.stack[-1][3] - 1)
         if tag == "a" and self.places.get("a"):  # a link ends the link before it
             self._pop(self.places["a"][-1])
-        _, article, box, dropped, remark = self.stack[-1] if self.stack else ("", 0, 0, 0, False)
+        _, article, box, dropped, remark, doubt = self.stack[-1] if self.stack else ("", 0, 0, 0, False, 0)
         if tag == "a" and not dropped:
             self.links += 1
         if not dropped:
             outer = not article and (tag == "header" or words & OUTER_HINTS)
             hidden = "hidden" in said or _HIDDEN.search(said.get("style") or "")
-            hinted = words & (BESIDE if tag == "article" else HINTS) and tag not in ("html", "body", "main")
+            if tag in ("html", "body", "main") or article and tag in HEADS:
+                hinted = False
+            elif article:
+                role = (said.get("role") or "").lower()
+                hinted = remarks or role in ROLES or _named(said.get("class"), CERTAIN)
+                if not hinted and tag in BLOCKS and any(_named(x, HINTS) for x in names):
+                    self.doubts.append(doubt)
+                    doubt = len(self.doubts) - 1
+            else:
+                hinted = remarks or words & (BESIDE if tag == "article" else HINTS)
             if tag in DROPPED or outer or hidden or hinted:
-                dropped, remark = len(self.stack) + 1, bool(words & REMARKS)
+                dropped, remark = len(self.stack) + 1, remarks or bool(words & REMARKS)
         if tag in BLOCKS and tag != "p" and not re.match(r"h\d$", tag):
             self.boxes += 1
             self.parent.append(box)
@@ -128,7 +168,7 @@ class _Page(HTMLParser):
         if tag in ("article", "main") and not article and not dropped:
             article = self.boxes
         self.places.setdefault(tag, []).append(len(self.stack))
-        self.stack.append((tag, article, box, dropped, remark))
+        self.stack.append((tag, article, box, dropped, remark, doubt))
 
     def _close_implied(self, tag: str) -> None:
         """A block ends the paragraph it starts in, and an item the item before it."""
@@ -176,7 +216,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     smoothed = smooth(ratio, sigma)
     articles = np.array([x[2] for x in lines])
     boxes = np.array([x[3] for x in lines])
-    said = (chars > 0) & ~_link_lists(page, articles, chars, smoothed)
+    said = (chars > 0) & ~_doubtful(page, chars, ratio, smoothed.std())
+    if not said.any():
+        said = chars > 0
+    said &= ~_link_lists(page, articles, chars * said, smoothed)
     seed = said & (smoothed >= smoothed.std())
     if not seed.any():
         seed = said
@@ -188,6 +231,27 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     return "\n".join(lines[k][0] for k in np.flatnonzero(held))
 
 
+def _doubtful(page: _Page, chars: np.ndarray, ratio: np.ndarray, least: float) -> np.ndarray:
+    """Which lines stand in blocks of a doubtful name that are mostly links or, by character, of a low ratio.
+
+    The ratios are the lines' own: smoothed, a short block would take over those of the paragraphs around it.
+    """
+    n = len(page.doubts)
+    if n == 1:
+        return np.zeros(len(chars), bool)
+    of = np.array([x[6] for x in page.lines])
+    share = np.array([x[5] for x in page.lines])
+    text, linked, mass = (np.bincount(of, x, minlength=n).tolist() for x in (chars, chars * share, chars * ratio))
+    for k in range(n - 1, 0, -1):  # a block has a greater number than the one it stands in
+        if page.doubts[k]:
+            for sums in (text, linked, mass):
+                sums[page.doubts[k]] += sums[k]
+    out = [False] * n
+    for k in range(1, n):
+        out[k] = out[page.doubts[k]] or linked[k] >= MOSTLY_LINKED * text[k] or mass[k] < least * text[k]
+    return np.array(out)[of]
+
+
 def _link_lists(page: _Page, articles: np.ndarray, chars: np.ndarray, smoothed: np.ndarray) -> np.ndarray:
     """Which lines stand in runs that are nearly all links and whose smoothed ratios are below the threshold.
 
@@ -199,7 +263,7 @@ def _link_lists(page: _Page, articles: np.ndarray, chars: np.ndarray, smoothed:
     run: list[int] = []
     for k in [*np.flatnonzero(chars).tolist(), None]:
         if k is not None:
-            _, _, _, box, links, share = page.lines[k]
+            _, _, _, box, links, share, _ = page.lines[k]
             if share >= LINKED and (links >= LINKS or page.kinds[box] not in ("td", "th")):
                 run.append(k)
                 continue

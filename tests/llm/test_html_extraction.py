@@ -106,6 +106,53 @@ def test_the_threshold_takes_part_within_an_article():
     assert main_text(page, 1.0) == f"{LONG * 3}\n{LONG * 3}" != main_text(page, 40.0)
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id=discussion><p>{}</p></section>",
+        "<h2 id=related-work>{}</h2>",
+        "<h2 class=notice>{}</h2>",
+        "<p class=notice>{}</p>",
+        "<div id=search-results-explained><p>{}</p></div>",
+        "<h2 id=social-impact>{}</h2>",
+        "<h2 id=copyright-law>{}</h2>",
+        "<div class=subscription-economics>{}</div>",
+        "<div class=widget><div class=notice>{}</div></div>",
+        "<p>{} <math><mi>x</mi><annotation encoding=tex>no</annotation></math></p>",
+        "<p><label>{}</label></p>",
+        "<article id=comment-on-the-law><p>{}</p></article>",
+    ],
+)
+def test_names_do_not_drop_content_of_an_article(part):
+    within = LONG + (" x" if "math" in part else "")
+    page = f"<article><p>{LONG}</p>{part.format(LONG)}<p>{LONG}</p></article>"
+    assert main_text(page) == f"{LONG}\n{within}\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<div class='related posts'><a href=/>{0}</a></div>",
+        "<div class=share-buttons>Tell others</div>",
+        "<div id=newsletter>Mail</div>",
+        "<div class=widget><p>Tags</p><div class=social-links><a href=/>{0}</a></div></div>",
+        "<div class=sponsored>{0}</div>",
+        "<div class=comment-list>{0}</div>",
+        "<section id=comments>{0}</section>",
+        "<div role=navigation>{0}</div>",
+        "<article id=comment-12>{0}</article>",
+    ],
+)
+def test_names_with_a_low_ratio_or_links_drop(part):
+    assert main_text(f"<main><p>{LONG * 3}</p>{part.format(LONG)}<p>{LONG * 3}</p></main>") == f"{LONG * 3}\n{LONG * 3}"
+
+
+def test_slugs_of_pages_without_an_article():
+    page = f"<body><div><section id=discussion><h2 id=related-work>{LONG}</h2><p>{LONG}</p></section></div></body>"
+    assert main_text(page) == f"{LONG}\n{LONG}"
+    assert main_text(f"<main><div class=notice>{LONG}</div></main>") == LONG
+
+
 def test_deep_boxes():
     assert main_text("<div>" * 20000 + LONG + "<div>x" * 20000) == "\n".join([LONG] + ["x"] * 20000)
 
