@@ -7,7 +7,7 @@
    table of a permutation is kept.  ``rows`` coordinates form a band.
 3. Classes that share a band are joined by candidate links in a star around the smallest node of the band's
    bucket, never as all pairs, and the stars' components are candidate groups.
-4. The texts of a candidate group meet in one task, which intersects full sets.  A group too heavy for one task
+4. The texts of a candidate group, one for each class, meet in one task, which intersects full sets.  A group too heavy for one task
    is dealt in blocks, and each two blocks meet in a task of their own, so nothing is capped or left out.
 5. Verified links give components again; each takes the smallest doc_id in it.
 
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.components import components, if_small, kept_frame
+from civicflow.llm.components import components, kept_frame
 from civicflow.llm.words import mix, windows, words
 from civicflow.llm.workers import map_batches
 
+#: Nodes of candidate groups up to which they are broadcast.
+FEW_NODES = 200_000
 #: Shingles worked on at once for the coordinates.
 STRETCH = 1024
 _SIGMA, _PI = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -231,18 +233,26 @@ def near_groups(docs: DataFrame, p: Near = Near()) -> tuple[DataFrame, DataFrame
 
 
 def _verified(source: DataFrame, plain: DataFrame, groups: DataFrame, p: Near) -> DataFrame:
-    """Links (a, b) between nodes of one candidate group whose full sets are similar enough."""
-    members = plain.join(groups, "node").select(
-        "node", F.col("root").alias("group"), F.col("first._row").alias("_row"), "n_shingles"
-    )
+    """Links (a, b) between nodes of one candidate group whose full sets are similar enough.
+
+    A node's text is that of one row: rows equal in id and text are folded before the shuffle.
+    """
+    keys = ["_row", "_text_key"]
+    marks = [F.col(f"first.{k}").alias(k) for k in keys]
+    members = plain.join(groups, "node").select("node", F.col("root").alias("group"), *marks, "n_shingles")
     weight = members.groupBy("group").agg(F.ceil(F.sum("n_shingles") / p.block).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    members = if_small(kept_frame(members.join(weight, "group").select("group", "node", "_row", "blocks", block)))
+    members = kept_frame(members.join(weight, "group").select("group", "node", *keys, "blocks", block))
+    texts = source.select(*keys, "_text")
+    if members.count() <= FEW_NODES:
+        members = F.broadcast(members)
+        texts = texts.join(members.select(*keys), keys, "left_semi")
+    texts = texts.groupBy(*keys).agg(F.first("_text").alias("_text"))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")),
     )
-    rows = source.select("_row", "_text").join(members, "_row").withColumn("meet", F.explode(meets))
+    rows = texts.join(members, keys).withColumn("meet", F.explode(meets))
     rows = rows.select("group", "meet.i", "meet.j", "node", "block", "_text")
     rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     return map_batches(rows, _verify(p), "a bigint, b bigint")

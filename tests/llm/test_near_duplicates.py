@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
+from civicflow.llm import minhash_dedup
 from civicflow.llm.components import components
 from civicflow.llm.minhash_dedup import Near, near_duplicates, without_near_duplicates
+from civicflow.llm.workers import map_batches
 from tests.llm.conftest import LOWER, WORD
 
 
@@ -34,6 +36,25 @@ def brute(rows: list[tuple], width: int, percent: int = 80) -> dict:
     return {k: (len(sets[k]), find(k)) for k in sets}
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_one_text_of_each_class_is_verified(spark, monkeypatch, few):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long)] * 50 + [(None, f"{long} null")] * 50 + [(1, f"{long} {k}") for k in range(20)] + [(2, f"{long} x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    met = []
+
+    def spy(df, run, schema):
+        if schema == "a bigint, b bigint":
+            met.append(df.count())
+        return map_batches(df, run, schema)
+
+    monkeypatch.setattr(minhash_dedup, "map_batches", spy)
+    monkeypatch.setattr(minhash_dedup, "FEW_NODES", few, raising=False)
+    out = near_duplicates(docs, Near(width=4)).collect()
+    assert len(out) == len(rows) and {r.component_id for r in out} == {1}
+    assert met == [23]
+
+
 @pytest.fixture(scope="module")
 def family(spark):
     """A family of edited copies, a chain of them, exact copies and strangers."""
