@@ -1,7 +1,7 @@
 """Mixing sources to target weights: a token budget, spread down a tree of domains, languages and sources.
 
 Each node's budget goes to its children by weight, but no child gets more than its leaves can supply, which is
-their tokens times the most epochs; what a child cannot take goes to its siblings by weight, and only what a
+their tokens times the most epochs, without leaves that a weight of 0 below the child shuts out; what a child cannot take goes to its siblings by weight, and only what a
 whole family cannot take goes up.  Going down from the root this is one water-filling by family: children are
 sorted by supply to weight, and those that fill up come first.
 
@@ -85,13 +85,17 @@ def share_out(children: DataFrame, family: list[str], name: str) -> DataFrame:
 
 def budgets(leaves: DataFrame, m: Mix) -> DataFrame:
     """(leaf, tokens, budget) of a table of leaves (leaf, tokens)."""
-    tree = leaves.withColumn("supply", F.col("tokens") * m.epochs)
+    tree = leaves.withColumn("most", F.col("tokens") * m.epochs)
     given = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * m.percent / F.lit(100)).cast("bigint")
     family: list[str] = []
     weights = [m.domain_weights, m.lang_weights, m.source_weights]
     parents = None
-    for name, weight in zip(LEAF, weights):
-        level = tree.groupBy(*family, name).agg(F.sum("supply").alias("supply"), F.sum("tokens").alias("tokens"))
+    for k, (name, weight) in enumerate(zip(LEAF, weights)):
+        reached = F.lit(True)
+        for below, its in zip(LEAF[k + 1 :], weights[k + 1 :]):
+            reached = reached & (_named(F.col(below), its, 1) > 0)
+        supply = F.sum(F.when(reached, F.col("most")).otherwise(0)).alias("supply")
+        level = tree.groupBy(*family, name).agg(supply, F.sum("tokens").alias("tokens"))
         level = level.withColumn("weight", _named(F.col(name), weight, 1).cast("bigint"))
         if parents is None:
             level = level.withColumn("given", given)

@@ -89,6 +89,17 @@ def test_shortages_go_to_siblings_first(spark):
     assert got == {"s1": 10, "s2": 140, "s3": 150, "s4": 301}  # s1's shortage stays in its language
 
 
+def test_children_without_weight_are_no_supply(spark):
+    rows = [("a", "x", "s1", 1000), ("a", "x", "s2", 10), ("a", "y", "s3", 1000), ("b", "x", "s1", 500), ("b", "x", "s4", 1000)]
+    leaves = spark.createDataFrame(rows, "_domain string, _lang string, _source string, tokens bigint")
+    got = lambda m: {(r._domain, r._lang, r._source): r.budget for r in budgets(leaves, m).collect()}
+    a1, a2, a3, b1, b4 = (r[:3] for r in rows)
+    m = Mix(percent=20, epochs=1, source_weights={"s1": 0})
+    assert got(m) == {a1: 0, a2: 10, a3: 341, b1: 0, b4: 351}  # to the sibling language
+    m = Mix(percent=20, epochs=1, lang_weights={"y": 0}, source_weights={"s1": 0})
+    assert got(m) == {a1: 0, a2: 10, a3: 0, b1: 0, b4: 692}  # and up to the other domain
+
+
 def test_sql_says_the_same(spark):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
