@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from civicflow.llm import backoff_lm, byte_bpe, quality_classifier, token_shards, url_filter
 from civicflow.llm.components import shared_folder
+from civicflow.llm.fill_in_middle import fill_in_middle, restored
 from civicflow.llm.html_extraction import extract
+from civicflow.llm.line_dedup import without_shared_lines
 from civicflow.llm.minhash_dedup import Near, near_duplicates
 from civicflow.llm.order_minhash import fingerprints
 from civicflow.llm.repetition_rules import Limits, judged
 from civicflow.llm.source_mixing import Mix, mixed, n_tokens
+from civicflow.llm.spelling_variants import Variants, spelling_variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,6 +130,28 @@ def op10_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, model)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document made ready for filling in the middle, and its text rebuilt from that, as digests."""
+    rows = fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = restored(F.col("text"), F.col("form"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("text").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that it shares with a later one, as a digest."""
+    rows = without_shared_lines(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, of which every 199th run lost a letter, with their forms and roots."""
+    return spelling_variants(_table(spark, sf_dir, "documents"), Variants(noise=199))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -140,6 +165,9 @@ QUERIES: dict[str, Query] = {
         op8_feistel_shards,
         op9_minhash_near_dedup,
         op10_url_logistic,
+        op11_fill_in_middle,
+        op12_bloom_lines,
+        op13_reduced_alphabet,
     )
 }
 
@@ -224,7 +252,70 @@ def _rules_sql() -> str:
             AND 100 * n_covered_words <= {p.covered_percent} * n_words AS kept FROM failed"""
 
 
+def _middle_sql() -> str:
+    draw = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+    return rf"""
+        WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+            regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+        drawn AS (SELECT *, len(u) AS n, {draw(0)} % (len(u) + 1) AS a, {draw(1)} % (len(u) + 1) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR {draw(2)} % 100 >= 50 THEN 'plain' WHEN {draw(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+        parts AS (SELECT *, array_to_string(u[:least(a, b)], '') AS p,
+            array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s
+            FROM drawn)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM parts"""
+
+
+def _lines_sql() -> str:
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+        WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], {space}), '{_UPPER}', '{_LOWER}') AS k
+            FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM cut)),
+        shared AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+        SELECT doc_id, count(*) AS n_lines, count(s.k) FILTER (doc_id <> keeper) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (s.k IS NULL OR doc_id = keeper), '')) AS kept_sha256
+        FROM lines l LEFT JOIN shared s ON s.k = l.k GROUP BY doc_id"""
+
+
+def _variants_sql() -> str:
+    byte = "list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)"
+    codes = """flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128
+        THEN [unicode(ch)] ELSE [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] END))::BIGINT[]"""
+    return rf"""
+        WITH RECURSIVE crc AS (SELECT list({byte} ORDER BY i) AS t FROM range(256) r(i)),
+        runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+            WHERE length(run) >= 6 GROUP BY ALL),
+        hashed AS (SELECT run, n, xor(4294967295::BIGINT, list_reduce({codes},
+            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT)) AS h FROM runs, crc),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 199 = 0
+                THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        shorter AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS d
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        near AS (SELECT a.word, b.word AS other, b.n FROM shorter a JOIN shorter b USING (i, d) WHERE a.word <> b.word
+            UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON w.word = s.d
+            UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON w.word = s.d),
+        best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+        first AS (SELECT b.word, b.n_near, b.top, min(near.other) AS other FROM best b
+            JOIN near ON near.word = b.word AND near.n = b.top GROUP BY ALL),
+        forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN other END AS form,
+            CASE WHEN top >= 5 * w.n THEN top END AS form_n FROM words w LEFT JOIN first f ON f.word = w.word),
+        chains AS (SELECT word, word AS root FROM forms
+            UNION SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chains c ON c.word = f.word
+        JOIN forms e ON e.word = c.root AND e.form IS NULL"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_fill_in_middle": _middle_sql(),
+    "op12_bloom_lines": _lines_sql(),
+    "op13_reduced_alphabet": _variants_sql(),
     "op3_source_mixing": _mixing_sql(),
     "op6_suffix_array_rules": _rules_sql(),
     "op9_minhash_near_dedup": rf"""
