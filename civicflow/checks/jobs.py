@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicflow.checks.binary import Encoder
 from civicflow.checks.geocoding import rounded_point
 from civicflow.checks.registry import check, shaped
 from civicflow.plans import JOBS, schemas
@@ -196,6 +197,41 @@ def recipe_functional_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.run(inputs)["functional_class"]
 
 
+_PLAIN = {c: f"regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')" for c in ("x", "y", "x + 0.0625", "y + 0.0625")}
+
+
+@check(
+    "recipe_functional_class_binary",
+    f"""
+WITH l AS ({ROAD_LINES}), b AS ({BOUNDARIES})
+SELECT CAST(objectid AS INTEGER) AS objectid, municipality_desc AS borough, 'SRID=4326;' ||
+  CASE WHEN ogc_fid % 2 = 0 THEN 'MULTILINESTRING ((' || {_PLAIN["x"]} || ' ' || {_PLAIN["y"]} || ', ' || {_PLAIN["x + 0.0625"]} || ' '
+    || {_PLAIN["y"]} || '), (5 5, 5.0625 5))'
+  ELSE 'LINESTRING (' || {_PLAIN["x"]} || ' ' || {_PLAIN["y"]} || ', ' || {_PLAIN["x"]} || ' ' || {_PLAIN["y + 0.0625"]} || ')' END AS geom
+  {_rest(schemas.FUNCTIONAL_CLASS, "objectid", "borough", "geom")} FROM l
+WHERE geom IS NOT NULL AND EXISTS (SELECT 1 FROM b WHERE
+  x <= bx + 0.25 AND x + CASE WHEN ogc_fid % 2 = 0 THEN 0.0625 ELSE 0 END >= bx
+  AND y <= b0 + 0.25 AND y + CASE WHEN ogc_fid % 2 = 0 THEN 0 ELSE 0.0625 END >= b0)
+""",
+)
+def recipe_functional_class_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same job on tables that hold binary geometry: lines as bytes, areas as hex text."""
+    job = JOBS["functional_class"]
+    c = F.col
+    e = Encoder(c("ogc_fid") % 3 == 0, F.lit(False), F.lit(True))
+    x, y, w = c("x"), c("y"), F.lit(0.0625)
+    two = e.many(5, [e.line([(x, y), (x + w, y)]), e.line([(F.lit(5.0), F.lit(5.0)), (F.lit(5.0625), F.lit(5.0))])])
+    drawn = F.when(c("ogc_fid") % 2 == 0, two).otherwise(e.line([(x, y), (x, y + w)], True))
+    lines = _with_declared(shaped(spark, sf_dir, ROAD_LINES), job.outputs["functional_class"])
+    lines = lines.withColumn("wkb_geometry", F.unhex(F.when(c("geom").isNotNull(), drawn))).drop("borough", "geom")
+    areas = shaped(spark, sf_dir, BOUNDARIES).drop("geom")
+    left, low, q = c("bx"), c("b0"), F.lit(0.25)
+    box = [(left, low), (left + q, low), (left + q, low + q), (left, low + q), (left, low)]
+    e = Encoder(F.lit(True), F.lit(False))
+    areas = areas.withColumn("wkb_geometry", e.many(6, [e.polygon([box])]))
+    return job.run({"road_lines": lines, "boundaries": areas})["functional_class"]
+
+
 def _with_declared(df: DataFrame, ddl: str) -> DataFrame:
     """Give the frame the declared columns it does not have, as NULL text."""
     missing = [c for c in parse_ddl(ddl) if c.lower() not in {h.lower() for h in df.columns}]

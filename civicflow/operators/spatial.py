@@ -1,14 +1,16 @@
 """Lines that meet polygons, as a grid join.
 
 A connected line meets an area exactly when its first vertex lies in it or one
-of its segments meets the outline.  Both tests run cell by cell on an equal-key
-join, each against the few outline edges near the cell.  A union of the areas is
+of its segments meets the outline.  The outlines are laid on a grid edge by
+edge; a scan along each band of cells finds those wholly inside and, for the
+others, on which side they begin.  Both tests then run on one equal-key join by
+cell, against single edges, and are summed up by line.  A union of the areas is
 not needed: meeting any of them is the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions.geometry import edges
@@ -31,17 +33,9 @@ def _clipped(low: Column, high: Column, least: Column, most: Column, size: float
     return F.when(low <= high + 2 * size * _SLACK, _span(low, F.greatest(low, high), size))
 
 
-def _straddles(e: Column, x: Column, y: Column) -> Column:
-    """Whether a ray from (x, y) to the right crosses the edge."""
-    rising = (e["y1"] > y) != (e["y2"] > y)
-    at = F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
-    return F.coalesce(rising & (x < at), F.lit(False))
-
-
-def inside(outline: Column, x: Column, y: Column) -> Column:
-    """Even-odd test against the edges of all rings, so holes count."""
-    crossings = F.aggregate(outline, F.lit(0), lambda n, e: n + _straddles(e, x, y).cast("int"))
-    return crossings % 2 == 1
+def _x_at(e: Column, y: Column) -> Column:
+    """Where an edge, drawn on without end, is at a height."""
+    return F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
 
 
 def _cross(ax, ay, bx, by, px, py) -> Column:
@@ -72,42 +66,87 @@ def _high(e: Column, axis: str) -> Column:
     return F.greatest(e[f"{axis}1"], e[f"{axis}2"])
 
 
-def polygon_cells(areas: DataFrame, polygons: Column, size: float) -> DataFrame:
-    """Cells an area covers: (cx, cy, ray, near).
+def traced(df: DataFrame, e: Column, size: float, box: Column | None = None) -> DataFrame:
+    """The cells (cx, cy) that each row's segment runs through, band by band.
 
-    ``near`` holds the edges that touch the cell and ``ray`` those that a ray
-    from inside it may cross.  Both are empty in a cell wholly inside; cells
-    wholly outside are left out.
+    With a box, what sticks out of it is left off before it is laid on the grid.
     """
-    outline = F.flatten(F.transform(F.flatten(polygons), edges))
-    band = areas.select(outline.alias("e")).filter(F.size("e") > 0)
-    band = band.select(
-        "e",
-        F.array_min(F.transform("e", lambda e: _low(e, "x"))).alias("x0"),
-        F.array_max(F.transform("e", lambda e: _high(e, "x"))).alias("x1"),
-        F.explode(
-            _span(
-                F.array_min(F.transform("e", lambda e: _low(e, "y"))),
-                F.array_max(F.transform("e", lambda e: _high(e, "y"))),
-                size,
-            )
-        ).alias("cy"),
-    )
+
+    def laid(low: Column, high: Column, axis: str) -> Column:
+        if box is None:
+            return _span(low, high, size)
+        return _clipped(low, high, box[f"{axis}0"], box[f"{axis}1"], size)
+
+    bands = df.select("*", F.explode(laid(_low(e, "y"), _high(e, "y"), "y")).alias("cy"))
+    # x at the lower and upper border of the band, kept within the segment.
     bottom, top = F.col("cy") * F.lit(size), (F.col("cy") + 1) * F.lit(size)
-    band = band.select(
-        F.filter("e", lambda e: (_low(e, "y") <= top) & (_high(e, "y") >= bottom)).alias("e"), "x0", "x1", "cy"
-    )
-    cells = band.select("e", "cy", F.explode(_span(F.col("x0"), F.col("x1"), size)).alias("cx"))
-    left, right = F.col("cx") * F.lit(size), (F.col("cx") + 1) * F.lit(size)
-    cells = cells.select(
-        "cx",
-        "cy",
-        F.filter("e", lambda e: _high(e, "x") >= left).alias("ray"),
-        F.filter("e", lambda e: (_high(e, "x") >= left) & (_low(e, "x") <= right)).alias("near"),
+
+    def at(y: Column) -> Column:
+        y = F.greatest(F.least(y, _high(e, "y")), _low(e, "y"))
+        return e["x1"] + (e["x2"] - e["x1"]) * F.try_divide(y - e["y1"], e["y2"] - e["y1"])
+
+    flat = e["y1"] == e["y2"]
+    low = F.when(flat, _low(e, "x")).otherwise(F.coalesce(F.least(at(bottom), at(top)), _low(e, "x")))
+    high = F.when(flat, _high(e, "x")).otherwise(F.coalesce(F.greatest(at(bottom), at(top)), _high(e, "x")))
+    return bands.select("*", F.explode(laid(low, high, "x")).alias("cx"))
+
+
+def edge_cells(areas: DataFrame, polygons: Column, size: float) -> DataFrame:
+    """Each outline edge in each cell it runs through: (area, e, cx, cy, crosses).
+
+    ``crosses`` tells whether the edge crosses the middle of the band in this
+    cell; whatever way it runs, it does so in one cell only.  An outline is
+    taken apart here, so from here on no row holds more than one edge.
+    """
+    # Areas that occur twice are one; what a copy would add to a parity cancels out.
+    rows = areas.select(F.xxhash64(polygons).alias("area"), polygons.alias("polygons")).dropDuplicates(["area"])
+    outline = F.flatten(F.transform(F.flatten(F.col("polygons")), edges))
+    e = F.col("e")
+    cells = traced(rows.select("area", F.explode(outline).alias("e")), e, size)
+    middle = (F.col("cy") + 0.5) * F.lit(size)
+    crosses = ((e["y1"] > middle) != (e["y2"] > middle)) & (_cell(_x_at(e, middle), size) == F.col("cx"))
+    return cells.select("area", "e", "cx", "cy", F.coalesce(crosses, F.lit(False)).alias("crosses"))
+
+
+def raster(cells: DataFrame) -> DataFrame:
+    """What the cells of areas hold: (area, cx, cy, e, odd), from ``edge_cells``.
+
+    One row for each edge in a cell, one without an edge for each cell that
+    edges run through, whose ``odd`` tells whether the area lies left of the
+    cell on the middle of its band, and one with ``odd`` and no edge for each
+    cell wholly inside.  A scan along each band finds both: its state is the
+    number of crossings so far, a running sum.
+    """
+    met = cells.groupBy("area", "cy", "cx").agg(F.sum(F.col("crosses").cast("int")).alias("n"))
+    along = Window.partitionBy("area", "cy").orderBy("cx")
+    through = F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    scan = met.select("area", "cy", "cx", "n", through.alias("through"), F.lead("cx").over(along).alias("next"))
+    no_edge = F.lit(None).cast(cells.schema["e"].dataType)
+    crossed = scan.select(
+        "area", "cx", "cy", no_edge.alias("e"), ((F.col("through") - F.col("n")) % 2 == 1).alias("odd")
     )
-    centre = inside(F.col("ray"), (F.col("cx") + 0.5) * F.lit(size), (F.col("cy") + 0.5) * F.lit(size))
-    cells = cells.filter((F.size("near") > 0) | centre)
-    return cells.withColumn("ray", F.when(F.size("near") > 0, F.col("ray")).otherwise(F.col("near")))
+    gap = scan.filter((F.col("through") % 2 == 1) & (F.col("next") > F.col("cx") + 1))
+    whole = gap.select("area", F.explode(F.sequence(F.col("cx") + 1, F.col("next") - 1)).alias("cx"), "cy")
+    whole = whole.select("area", "cx", "cy", no_edge.alias("e"), F.lit(True).alias("odd"))
+    edge = cells.select("area", "cx", "cy", "e", F.lit(False).alias("odd"))
+    return edge.unionByName(crossed.filter("odd")).unionByName(whole)
+
+
+def passed(e: Column, x: Column, y: Column, cx: Column, cy: Column, size: float) -> Column:
+    """How often a path from the left border of a cell, on the middle of its band, to (x, y) in it crosses an edge.
+
+    The path runs along the middle and then straight up or down.  It is taken
+    to lie a trace to the right and, by much less, above, so that it never runs
+    through a vertex; both halves follow that one rule.
+    """
+    middle = (cy + 0.5) * F.lit(size)
+    at = _x_at(e, middle)
+    along = ((e["y1"] > middle) != (e["y2"] > middle)) & (_cell(at, size) == cx) & (at <= x)
+    slope = F.try_divide(e["y2"] - e["y1"], e["x2"] - e["x1"])
+    height = e["y1"] + slope * (x - e["x1"])
+    above = lambda level: (height > level) | ((height == level) & (slope > 0))
+    upright = ((e["x1"] > x) != (e["x2"] > x)) & (above(middle) != above(y))
+    return F.coalesce(along, F.lit(False)).cast("int") + F.coalesce(upright, F.lit(False)).cast("int")
 
 
 def extent(areas: DataFrame, polygons: Column) -> Column:
@@ -127,7 +166,7 @@ def extent(areas: DataFrame, polygons: Column) -> Column:
 
 
 def segment_cells(lines: DataFrame, id_column: str, parts: Column, box: Column, size: float) -> DataFrame:
-    """Cells each segment of each line runs through, band by band.
+    """Cells each segment of each line runs through: (_id, e, first, cy, cx).
 
     Segments outside the box are dropped, and what sticks out of it is left
     off, before they are laid on the grid: one stray vertex far away makes no
@@ -151,19 +190,7 @@ def segment_cells(lines: DataFrame, id_column: str, parts: Column, box: Column,
         & (_high(e, "y") >= box["y0"])
         & (_low(e, "y") <= box["y1"])
     )
-    s = s.select("_id", "e", "first", F.explode(_clipped(_low(e, "y"), _high(e, "y"), box["y0"], box["y1"], size)).alias("cy"))
-    # x at the lower and upper border of the band, kept within the segment.
-    bottom, top = F.col("cy") * F.lit(size), (F.col("cy") + 1) * F.lit(size)
-
-    def at(y: Column) -> Column:
-        y = F.greatest(F.least(y, _high(e, "y")), _low(e, "y"))
-        return e["x1"] + (e["x2"] - e["x1"]) * F.try_divide(y - e["y1"], e["y2"] - e["y1"])
-
-    low = F.coalesce(F.least(at(bottom), at(top)), _low(e, "x"))
-    high = F.coalesce(F.greatest(at(bottom), at(top)), _high(e, "x"))
-    flat = e["y1"] == e["y2"]
-    low, high = F.when(flat, _low(e, "x")).otherwise(low), F.when(flat, _high(e, "x")).otherwise(high)
-    return s.select("_id", "e", "first", "cy", F.explode(_clipped(low, high, box["x0"], box["x1"], size)).alias("cx"))
+    return traced(s, e, size, box)
 
 
 def meets_any(
@@ -173,13 +200,23 @@ def meets_any(
 
     ``parts`` gives an array of lines and ``polygons`` an array of polygons;
     ``size`` is the side of a grid cell in the units of the coordinates.
+    Areas are even-odd over all their rings, so holes count.
     """
     near = segment_cells(lines, id_column, parts, extent(areas, polygons), size)
-    cells = polygon_cells(areas, polygons, size)
+    cells = raster(edge_cells(areas, polygons, size)).withColumnRenamed("e", "edge")
     e = F.col("e")
-    starts_here = F.col("first") & (_cell(e["x1"], size) == F.col("cx")) & (_cell(e["y1"], size) == F.col("cy"))
-    hit = F.exists("near", lambda edge: segments_meet(edge, e)) | (
-        starts_here & ((F.size("near") == 0) | inside(F.col("ray"), e["x1"], e["y1"]))
+    here = F.col("first") & (_cell(e["x1"], size) == F.col("cx")) & (_cell(e["y1"], size) == F.col("cy"))
+    starts = near.filter(here).select("_id", e["x1"].alias("x"), e["y1"].alias("y"), "cx", "cy").distinct()
+    nowhere = F.lit(None).cast("double")
+    sides = near.select("_id", "e", nowhere.alias("x"), nowhere.alias("y"), "cx", "cy").unionByName(
+        starts.select("_id", F.lit(None).cast(near.schema["e"].dataType).alias("e"), "x", "y", "cx", "cy")
+    )
+    met = e.isNotNull() & F.col("edge").isNotNull() & segments_meet(F.col("edge"), e)
+    turns = F.when(F.col("odd"), 1).otherwise(passed(F.col("edge"), F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), size))
+    turns = F.when(e.isNull(), turns).otherwise(0)
+    joined = sides.join(cells, ["cx", "cy"]).select("_id", "x", "y", "area", met.alias("met"), turns.alias("turns"))
+    groups = joined.filter(F.col("met") | (F.col("turns") > 0)).groupBy("_id", "x", "y", "area")
+    hit = groups.agg(F.max("met").alias("met"), F.sum("turns").alias("turns")).filter(
+        F.col("met") | (F.col("turns") % 2 == 1)
     )
-    hits = near.join(cells, ["cx", "cy"]).filter(hit).select("_id").distinct()
-    return lines.join(hits, lines[id_column] == hits["_id"], "left_semi")
+    return lines.join(hit.select("_id").distinct(), F.col(id_column) == F.col("_id"), "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from civicflow.session import applied
 from civicflow.sources.publish import conform, publish, publish_after
+from civicflow.sources.shapes import BINARY_COLUMN, scan_geometry, unreadable_geometry
 from civicflow.sources.tables import DatasetRef, Staging, read_csv_text, read_versioned
 
 Frames = dict[str, DataFrame]
@@ -38,11 +39,14 @@ class JobSpec:
     shares: bool = False
 
     def run(self, inputs: Frames) -> Frames:
-        """Build and conform every output; nothing is computed yet."""
+        """Build and conform every output; nothing is computed yet.
+
+        Binary geometry of an input is read on the way (S4).
+        """
         missing = [name for name in self.inputs if name not in inputs]
         if missing:
             raise ValueError(f"{self.name} needs {missing}")
-        built = self.build(inputs)
+        built = self.build({name: scan_geometry(df) for name, df in inputs.items()})
         return {name: conform(built[name], ddl, name not in self.keep_empty) for name, ddl in self.outputs.items()}
 
     def publish(
@@ -60,7 +64,8 @@ class JobSpec:
         ``latest``.  Inputs named in ``csv``, such as corrections, are read from
         a CSV file, with a ``line`` that grows with its lines.  ``unreadable``
         is filled with the number of values of each output's columns that their
-        type could not hold.  The library's session settings hold meanwhile.
+        type could not hold, and of binary geometry of each input that cannot be
+        read.  The library's session settings hold meanwhile.
         """
         versions, csv = versions or {}, csv or {}
 
@@ -74,6 +79,10 @@ class JobSpec:
                 else read_versioned(spark, ref(name), base_in)
                 for name in self.inputs
             }
+            if unreadable is not None:
+                shapes = {name: unreadable_geometry(df) for name, df in inputs.items() if BINARY_COLUMN in df.columns}
+                unreadable.update({name: {BINARY_COLUMN: n} for name, n in shapes.items()})
+            inputs = {name: scan_geometry(df) for name, df in inputs.items()}
             built = self.build(inputs, share=staging.keep) if self.shares else self.build(inputs)
             paths = {}
             for name, ddl in self.outputs.items():
@@ -83,5 +92,5 @@ class JobSpec:
                 else:
                     paths[name] = publish(built[name], ref(name), base_out, ddl, unreadable=counts)
                 if unreadable is not None:
-                    unreadable[name] = counts
+                    unreadable[name] = unreadable.get(name, {}) | counts
             return paths

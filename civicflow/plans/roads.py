@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from civicflow.functions.codes import label
 from civicflow.functions.geometry import parse_lines, parse_polygons
 from civicflow.functions.text import blank, blank_to_null, stripped
+from civicflow.functions.wkb import lines_of, polygons_of
 from civicflow.operators.relate import lookup_left
 from civicflow.operators.spatial import meets_any
 from civicflow.plans import schemas
 from civicflow.plans.fixed_values import BOROCODE_BY_COUNTY_CODE
 from civicflow.plans.job import Frames, JobSpec
+from civicflow.sources.shapes import SHAPE
 
 # Node levels at grade, and bike lanes that are paths of their own.
 GRADE_LEVELS = ["M", "*", "$"]
@@ -67,10 +69,13 @@ GRID = 0.01
 
 def build_functional_class(inputs: Frames) -> Frames:
     """Road lines that meet any borough boundary's area."""
-    lines = inputs["road_lines"].filter(F.col("geom").isNotNull())
-    found = meets_any(
-        lines, "ogc_fid", parse_lines("geom"), inputs["boundaries"], parse_polygons("geom"), GRID
-    )
+    lines, areas = inputs["road_lines"].filter(F.col("geom").isNotNull()), inputs["boundaries"]
+    parts, polygons = parse_lines("geom"), parse_polygons("geom")
+    if SHAPE in lines.columns:
+        parts = F.coalesce(lines_of(F.col(SHAPE)), parts)
+    if SHAPE in areas.columns:
+        polygons = F.coalesce(polygons_of(F.col(SHAPE)), polygons)
+    found = meets_any(lines, "ogc_fid", parts, areas, polygons, GRID)
     return {"functional_class": found.withColumn("borough", F.col("municipality_desc"))}
 
 
