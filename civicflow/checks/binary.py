@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from civicflow.checks.registry import check, shaped
 from civicflow.functions.wkb import lines_of, points_of, polygons_of
+from civicflow.operators.relate import computed
 from civicflow.sources.shapes import SHAPE, scan_geometry
 
 
@@ -29,7 +30,10 @@ def double_hex(c: Column, little: Column) -> Column:
 
 
 class Encoder:
-    """Hex of shapes in the byte order that ``little`` tells, with a third coordinate where ``deep`` holds."""
+    """Hex of shapes in the byte order that ``little`` tells, with a third coordinate where ``deep`` holds.
+
+    Coordinates are given as their own hex, worked out once a row.
+    """
 
     def __init__(self, little: Column, deep: Column, srid: Column | None = None):
         self.little, self.deep, self.srid = little, deep, srid
@@ -45,8 +49,8 @@ class Encoder:
         return F.when(self.srid, tagged).otherwise(F.concat(order, code(0)))
 
     def points(self, pairs: list[tuple[Column, Column]]) -> Column:
-        high = F.when(self.deep, double_hex(F.lit(7.0), self.little)).otherwise(F.lit(""))
-        return F.concat(*[v for x, y in pairs for v in (double_hex(x, self.little), double_hex(y, self.little), high)])
+        high = F.when(self.deep, F.when(self.little, F.lit("0000000000001C40")).otherwise(F.lit("401C000000000000")))
+        return F.concat(*[v for x, y in pairs for v in (x, y, F.coalesce(high, F.lit("")))])
 
     def counted(self, parts: list[Column]) -> Column:
         return F.concat(uint_hex(len(parts), self.little), *parts)
@@ -104,8 +108,9 @@ FROM ({SHAPES})
 )
 def wkb_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of binary geometry, of both byte orders and with further dimensions, as text."""
-    df = shaped(spark, sf_dir, SHAPES)
     c = F.col
+    df = shaped(spark, sf_dir, SHAPES)
+    df = computed(df, {name: double_hex(c(name), c("little") == 1) for name in ("x", "y", "x1", "y1")})
     e = Encoder(c("little") == 1, c("deep") == 0, c("tagged") == 0)
     a, b, d, f = (c("x"), c("y")), (c("x1"), c("y")), (c("x1"), c("y1")), (c("x"), c("y1"))
     box, hole = [a, b, d, a], [a, d, f, a]
@@ -120,7 +125,7 @@ def wkb_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(e.many(6, [e.polygon([box])]), 1, 100),
     ]
     digits = F.element_at(F.array(*[F.when(c("kind") == k, form) for k, form in enumerate(forms)]), (c("kind") + 1).cast("int"))
-    stored = df.select("id", F.unhex(digits).alias("wkb_geometry"))
+    stored = computed(df, {"wkb_geometry": F.unhex(digits)}).select("id", "wkb_geometry")
     shape = F.col(SHAPE)
     return scan_geometry(stored).select(
         "id",

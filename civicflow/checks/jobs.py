@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.checks.binary import Encoder
+from civicflow.checks.binary import Encoder, double_hex
 from civicflow.checks.geocoding import rounded_point
 from civicflow.checks.registry import check, shaped
+from civicflow.operators.relate import computed
 from civicflow.plans import JOBS, schemas
 from civicflow.plans.commuting import travel_variables
 from civicflow.plans.enrolment import unmatched_districts
@@ -218,17 +219,22 @@ def recipe_functional_class_binary(spark: SparkSession, sf_dir: str) -> DataFram
     """The same job on tables that hold binary geometry: lines as bytes, areas as hex text."""
     job = JOBS["functional_class"]
     c = F.col
-    e = Encoder(c("ogc_fid") % 3 == 0, F.lit(False), F.lit(True))
-    x, y, w = c("x"), c("y"), F.lit(0.0625)
-    two = e.many(5, [e.line([(x, y), (x + w, y)]), e.line([(F.lit(5.0), F.lit(5.0)), (F.lit(5.0625), F.lit(5.0))])])
-    drawn = F.when(c("ogc_fid") % 2 == 0, two).otherwise(e.line([(x, y), (x, y + w)], True))
+    little = c("ogc_fid") % 3 == 0
+    ends = {"x0": c("x"), "y0": c("y"), "x1": c("x") + 0.0625, "y1": c("y") + 0.0625, "a": F.lit(5.0), "b": F.lit(5.0625)}
     lines = _with_declared(shaped(spark, sf_dir, ROAD_LINES), job.outputs["functional_class"])
-    lines = lines.withColumn("wkb_geometry", F.unhex(F.when(c("geom").isNotNull(), drawn))).drop("borough", "geom")
+    lines = computed(lines, {f"_{name}": double_hex(value, little) for name, value in ends.items()})
+    x0, y0, x1, y1, a, b = (c(f"_{name}") for name in ends)
+    e = Encoder(little, F.lit(False), F.lit(True))
+    two = e.many(5, [e.line([(x0, y0), (x1, y0)]), e.line([(a, a), (b, a)])])
+    drawn = F.when(c("ogc_fid") % 2 == 0, two).otherwise(e.line([(x0, y0), (x0, y1)], True))
+    lines = computed(lines, {"wkb_geometry": F.unhex(F.when(c("geom").isNotNull(), drawn))}).drop("borough", "geom")
     areas = shaped(spark, sf_dir, BOUNDARIES).drop("geom")
-    left, low, q = c("bx"), c("b0"), F.lit(0.25)
-    box = [(left, low), (left + q, low), (left + q, low + q), (left, low + q), (left, low)]
+    sides = {"_x0": c("bx"), "_x1": c("bx") + 0.25, "_y0": c("b0"), "_y1": c("b0") + 0.25}
+    areas = computed(areas, {name: double_hex(value, F.lit(True)) for name, value in sides.items()})
+    x0, x1, y0, y1 = (c(name) for name in sides)
+    box = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
     e = Encoder(F.lit(True), F.lit(False))
-    areas = areas.withColumn("wkb_geometry", e.many(6, [e.polygon([box])]))
+    areas = computed(areas, {"wkb_geometry": e.many(6, [e.polygon([box])])})
     return job.run({"road_lines": lines, "boundaries": areas})["functional_class"]
 
 

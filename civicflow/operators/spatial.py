@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions.geometry import edges
+from civicflow.operators.relate import computed
 
 # Slack, in cells, so that rounding never drops a cell that is only touched.
 _SLACK = 1e-9
@@ -35,7 +36,8 @@ def _clipped(low: Column, high: Column, least: Column, most: Column, size: float
 
 def _x_at(e: Column, y: Column) -> Column:
     """Where an edge, drawn on without end, is at a height."""
-    return F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
+    rise = e["y2"] - e["y1"]
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(rise != 0, rise) + e["x1"]
 
 
 def _cross(ax, ay, bx, by, px, py) -> Column:
@@ -77,18 +79,23 @@ def traced(df: DataFrame, e: Column, size: float, box: Column | None = None) ->
             return _span(low, high, size)
         return _clipped(low, high, box[f"{axis}0"], box[f"{axis}1"], size)
 
-    bands = df.select("*", F.explode(laid(_low(e, "y"), _high(e, "y"), "y")).alias("cy"))
+    # Each step is a column of its own below an explode, so it is worked out once a row.
+    kept = df.columns
+    rise = e["y2"] - e["y1"]
+    sloped = df.select("*", F.when(rise == 0, 0.0).otherwise((e["x2"] - e["x1"]) / F.when(rise != 0, rise)).alias("_slope"))
+    bands = sloped.select("*", F.explode(laid(_low(e, "y"), _high(e, "y"), "y")).alias("cy"))
     # x at the lower and upper border of the band, kept within the segment.
     bottom, top = F.col("cy") * F.lit(size), (F.col("cy") + 1) * F.lit(size)
 
     def at(y: Column) -> Column:
-        y = F.greatest(F.least(y, _high(e, "y")), _low(e, "y"))
-        return e["x1"] + (e["x2"] - e["x1"]) * F.try_divide(y - e["y1"], e["y2"] - e["y1"])
+        return e["x1"] + F.col("_slope") * (F.greatest(F.least(y, _high(e, "y")), _low(e, "y")) - e["y1"])
 
-    flat = e["y1"] == e["y2"]
-    low = F.when(flat, _low(e, "x")).otherwise(F.coalesce(F.least(at(bottom), at(top)), _low(e, "x")))
-    high = F.when(flat, _high(e, "x")).otherwise(F.coalesce(F.greatest(at(bottom), at(top)), _high(e, "x")))
-    return bands.select("*", F.explode(laid(low, high, "x")).alias("cx"))
+    reach = bands.select("*", at(bottom).alias("_at0"), at(top).alias("_at1"))
+    level = rise == 0
+    low = F.when(level, _low(e, "x")).otherwise(F.least("_at0", "_at1"))
+    high = F.when(level, _high(e, "x")).otherwise(F.greatest("_at0", "_at1"))
+    spans = reach.select(*kept, "cy", low.alias("_low"), high.alias("_high"))
+    return spans.select(*kept, "cy", F.explode(laid(F.col("_low"), F.col("_high"), "x")).alias("cx"))
 
 
 def edge_cells(areas: DataFrame, polygons: Column, size: float) -> DataFrame:
@@ -142,7 +149,8 @@ def passed(e: Column, x: Column, y: Column, cx: Column, cy: Column, size: float)
     middle = (cy + 0.5) * F.lit(size)
     at = _x_at(e, middle)
     along = ((e["y1"] > middle) != (e["y2"] > middle)) & (_cell(at, size) == cx) & (at <= x)
-    slope = F.try_divide(e["y2"] - e["y1"], e["x2"] - e["x1"])
+    run = e["x2"] - e["x1"]
+    slope = (e["y2"] - e["y1"]) / F.when(run != 0, run)
     height = e["y1"] + slope * (x - e["x1"])
     above = lambda level: (height > level) | ((height == level) & (slope > 0))
     upright = ((e["x1"] > x) != (e["x2"] > x)) & (above(middle) != above(y))
@@ -166,30 +174,28 @@ def extent(areas: DataFrame, polygons: Column) -> Column:
 
 
 def segment_cells(lines: DataFrame, id_column: str, parts: Column, box: Column, size: float) -> DataFrame:
-    """Cells each segment of each line runs through: (_id, e, first, cy, cx).
+    """Cells each segment of each line runs through: (_id, row, part, e, first, cy, cx).
 
-    Segments outside the box are dropped, and what sticks out of it is left
-    off, before they are laid on the grid: one stray vertex far away makes no
-    more cells than the box has.
+    ``row`` and ``part`` tell lines and their parts apart.  Segments outside the
+    box are dropped, and what sticks out of it is left off, before they are
+    laid on the grid: one stray vertex far away makes no more cells than the
+    box has.
     """
 
-    def numbered(part: Column) -> Column:
-        alone = F.struct(
-            part[0]["x"].alias("x1"), part[0]["y"].alias("y1"), part[0]["x"].alias("x2"), part[0]["y"].alias("y2")
-        )
-        found = F.when(F.size(part) > 1, edges(part)).otherwise(F.array(alone))
-        return F.transform(found, lambda e, i: F.struct(e.alias("e"), (i == 0).alias("first")))
-
-    segments = F.explode(F.flatten(F.transform(F.filter(parts, lambda p: F.size(p) > 0), numbered)))
-    s = lines.select(F.col(id_column).alias("_id"), segments.alias("s"))
-    s = s.select("_id", F.col("s.e").alias("e"), F.col("s.first").alias("first"))
-    e = F.col("e")
+    s = lines.select(F.col(id_column).alias("_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(parts).alias("part", "p"))
+    # Without lambdas, so that all of it is compiled.
+    n = F.size("p") - 1
+    ends = F.arrays_zip(F.slice("p", F.lit(1), F.greatest(n, F.lit(1))).alias("a"), F.slice("p", F.least(n + 1, F.lit(2)), F.greatest(n, F.lit(1))).alias("b"))
+    s = s.filter(F.size("p") > 0).select("_id", "row", "part", F.posexplode(ends).alias("k", "s"))
+    across = ["x", "y"]
+    low = {c: F.least(F.col(f"s.a.{c}"), F.col(f"s.b.{c}")) for c in across}
+    high = {c: F.greatest(F.col(f"s.a.{c}"), F.col(f"s.b.{c}")) for c in across}
     s = s.filter(
-        (_high(e, "x") >= box["x0"])
-        & (_low(e, "x") <= box["x1"])
-        & (_high(e, "y") >= box["y0"])
-        & (_low(e, "y") <= box["y1"])
+        (high["x"] >= box["x0"]) & (low["x"] <= box["x1"]) & (high["y"] >= box["y0"]) & (low["y"] <= box["y1"])
     )
+    whole = [F.col(f"s.{end}.{c}").alias(f"{c}{i}") for i, end in ((1, "a"), (2, "b")) for c in across]
+    s = s.select("_id", "row", "part", F.struct(*whole).alias("e"), (F.col("k") == 0).alias("first"))
+    e = F.col("e")
     return traced(s, e, size, box)
 
 
@@ -204,18 +210,13 @@ def meets_any(
     """
     near = segment_cells(lines, id_column, parts, extent(areas, polygons), size)
     cells = raster(edge_cells(areas, polygons, size)).withColumnRenamed("e", "edge")
-    e = F.col("e")
+    e, edge = F.col("e"), F.col("edge")
     here = F.col("first") & (_cell(e["x1"], size) == F.col("cx")) & (_cell(e["y1"], size) == F.col("cy"))
-    starts = near.filter(here).select("_id", e["x1"].alias("x"), e["y1"].alias("y"), "cx", "cy").distinct()
-    nowhere = F.lit(None).cast("double")
-    sides = near.select("_id", "e", nowhere.alias("x"), nowhere.alias("y"), "cx", "cy").unionByName(
-        starts.select("_id", F.lit(None).cast(near.schema["e"].dataType).alias("e"), "x", "y", "cx", "cy")
-    )
-    met = e.isNotNull() & F.col("edge").isNotNull() & segments_meet(F.col("edge"), e)
-    turns = F.when(F.col("odd"), 1).otherwise(passed(F.col("edge"), F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), size))
-    turns = F.when(e.isNull(), turns).otherwise(0)
-    joined = sides.join(cells, ["cx", "cy"]).select("_id", "x", "y", "area", met.alias("met"), turns.alias("turns"))
-    groups = joined.filter(F.col("met") | (F.col("turns") > 0)).groupBy("_id", "x", "y", "area")
+    met = F.coalesce(segments_meet(edge, e), F.lit(False))
+    turns = F.when(F.col("odd"), 1).otherwise(passed(edge, e["x1"], e["y1"], F.col("cx"), F.col("cy"), size))
+    joined = computed(near.join(cells, ["cx", "cy"]), {"met": met, "turns": F.when(here, turns).otherwise(0)})
+    # An edge of several cells is met in each, but a start is in one cell only.
+    groups = joined.filter(F.col("met") | (F.col("turns") > 0)).groupBy("_id", "row", "part", "area")
     hit = groups.agg(F.max("met").alias("met"), F.sum("turns").alias("turns")).filter(
         F.col("met") | (F.col("turns") % 2 == 1)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow.functions.wkb import with_geometry, wkt_of
+from civicflow.operators.relate import computed
 
 # Fixed value: the column in which the inputs hold binary geometry.
 BINARY_COLUMN = "wkb_geometry"
@@ -27,7 +28,7 @@ def scan_geometry(df: DataFrame, column: str = BINARY_COLUMN, to: str = "geom")
     if isinstance(df.schema[column].dataType, T.StringType):
         written = F.regexp_replace(F.trim(f"`{column}`"), "(?i)^SRID=[0-9]+;", "")
         text = F.coalesce(text, F.when(F.upper(written).rlike("^[A-Z]{5,}.*(\\)|EMPTY)$"), written))
-    return out.withColumn(to, text)
+    return computed(out, {to: text})
 
 
 def unreadable_geometry(df: DataFrame, column: str = BINARY_COLUMN) -> int:
