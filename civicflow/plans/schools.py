@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.functions.codes import last_match
 from civicflow.functions.geometry import point_wkt
-from civicflow.functions.numbers import allocate, percent_share, to_exact, truncated
-from civicflow.functions.text import stripped
+from civicflow.functions.numbers import allocate, percent_share, to_exact
+from civicflow.functions.text import blank, stripped
 from civicflow.operators.relate import exists_flag, not_in
 from civicflow.plans import schemas
 from civicflow.plans.fixed_values import (
@@ -133,11 +135,23 @@ def build_school_buildings(inputs: Frames, share: Share = as_is) -> Frames:
     b = book.filter(F.col("excluded").isNull()).alias("b")
     same = (F.col("a.location_code") == F.col("b.org_id")) & (F.col("a.building_code") == F.col("b.bldg_id"))
 
+    def whole(value: Column, *sources: str) -> Column:
+        """The whole number as text, 0 where a source is missing, and else what cannot be read or does not fit.
+
+        Publishing counts such text as unreadable, so it is not mistaken for 0 (T19).
+        """
+        missing = reduce(lambda x, y: x | y, [stripped(blank(c)) == "" for c in sources])
+        text = F.coalesce(value.cast("string"), *[F.when(to_exact(bare(c)).isNull(), F.col(c)) for c in sources], F.lit("too large"))
+        return F.when(missing, F.lit("0")).otherwise(text)
+
+    def bare(c: str) -> Column:
+        return F.replace(F.col(c), F.lit("%"), F.lit(""))
+
     def capacity(c: str) -> Column:
-        return F.coalesce(truncated(F.floor(to_exact(c))), F.lit(0))
+        return whole(F.floor(to_exact(c)), c)
 
     def enrolment(share: str) -> Column:
-        return F.coalesce(truncated(allocate(to_exact("b.org_e"), percent_share(share))), F.lit(0))
+        return whole(allocate(to_exact("b.org_e"), percent_share(share)), "b.org_e", share)
 
     def coordinate(c: str) -> Column:
         return stripped(F.replace(F.col(c), F.lit("NULL"), F.lit("0"))).try_cast("double")

@@ -9,11 +9,12 @@ from civicflow.checks.geocoding import _capacity_inputs, _permit_inputs, books
 from civicflow.checks.geocoding import BOILER_REQUESTS, PERMIT_REQUESTS
 from civicflow.checks.jobs import _school_inputs
 from civicflow.checks.registry import shaped
-from civicflow.plans import JOBS
+from civicflow.plans import JOBS, schemas
 from civicflow.plans.commuting import travel_variables
 from civicflow.plans.enrolment import unmatched_districts
 from civicflow.plans.schools import tagged_school_list, unmatched_blue_book
 from civicflow.plans.utilization import meeting_urls
+from civicflow.sources.publish import publish
 from civicflow.sources.tables import read_versioned
 
 SF = "/root/testdata/sf0.001"
@@ -164,3 +165,20 @@ def test_published_outputs_hold_every_row(spark, tmp_path, name):
         assert written.count() == lazily[output].count() > 0, output
     if f"{name}_rejects" in job.outputs:
         assert read_versioned(spark, name, f"{tmp_path}/out").filter(F.col("geom").isNull()).count() == 0
+
+
+def test_school_values_that_do_not_fit_are_counted(spark, tmp_path):
+    inputs = _school_inputs(spark, "/root/testdata/sf0.001")
+    odd = {"org_e": ["99999999999", "about 300"], "pc": ["abc"], "ps_%": ["half"]}
+    book = inputs["blue_book"]
+    listed = JOBS["school_buildings"].run(inputs)["school_buildings"].filter("pc > 0 and pe > 0")
+    rows = sorted(r.org_id for r in listed.groupBy("org_id").count().filter("count = 1").collect())[:4]
+    cases = [(c, v, rows[k]) for k, (c, v) in enumerate((c, v) for c, vs in odd.items() for v in vs)]
+    for c, v, org in cases:
+        book = book.withColumn(c, F.when(F.col("org_id") == org, F.lit(v)).otherwise(F.col(f"`{c}`")))
+    built = JOBS["school_buildings"].build({**inputs, "blue_book": book})["school_buildings"]
+    counts: dict[str, int] = {}
+    path = publish(built, "school_buildings", str(tmp_path), schemas.SCHOOL_BUILDINGS, unreadable=counts)
+    got = {r.org_id: r for r in spark.read.parquet(path).filter(F.col("org_id").isin(rows)).collect()}
+    assert [got[rows[k]].pe for k in (0, 1, 3)] == [None] * 3 and got[rows[2]].pc is None and got[rows[2]].pe > 0
+    assert counts["pe"] >= 3 and counts["pc"] >= 1 and counts["hc"] == 0
