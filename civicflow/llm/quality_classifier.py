@@ -8,8 +8,8 @@ hinge-loss model is fitted by dual coordinate descent.  Margins become probabili
 to margins of texts that a fold of the model has not seen.
 
 Only a bounded sample of labelled rows is fitted: at most ``sample`` rows of each class, the first by a hash of
-their id.  A row comes to the driver as a bitmap of the places, so what comes has a fixed bound: two classes of
-2,000 rows of 16 kB are 64 MB.  Every text is scored, whole, in one pass without a shuffle.
+their id, and one text for an id.  A text comes to the driver as a bitmap of the places, so what comes has a fixed
+bound: two classes of 2,000 texts of 16 kB are 64 MB.  Every text is scored, whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -122,23 +122,29 @@ def _bitmaps(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps = []
-            for found in place_sets(batch.column(1), s.longest, s.bits):
+            for found in place_sets(batch.column(2), s.longest, s.bits):
                 flags = np.zeros(1 << s.bits, bool)
                 flags[found] = True
                 maps.append(np.packbits(flags).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["label", "bits"])
+            columns = [batch.column(0), batch.column(1), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "bits"])
 
     return run
 
 
 def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """(label, bits) of at most ``s.sample`` labelled texts of each class; labels: (doc_id, label 0 or 1)."""
+    """(label, bits) of at most ``s.sample`` labelled texts of each class; labels: (doc_id, label 0 or 1).
+
+    Of rows that repeat a doc_id one counts, whichever has the smallest bitmap; each task leaves out its others.
+    """
     held = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).select("doc_id", "label").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [held.where(F.col("label") == c).orderBy(*order).limit(s.sample) for c in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))  # at most twice s.sample rows
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    return map_batches(texts.select(F.col("label").cast("int"), "text"), _bitmaps(s), "label int, bits binary")
+    rows = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("label").cast("int").alias("label"), "text")
+    maps = map_batches(rows, _bitmaps(s), "doc_id bigint, label int, bits binary")
+    return maps.groupBy("doc_id", "label").agg(F.min("bits").alias("bits")).select("label", "bits")
 
 
 def _descend(rows: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, sweeps: int) -> tuple:

@@ -2,8 +2,8 @@
 
 The words of a run of documents form one sequence with a closing mark of its own after each document, so no
 repeat crosses two documents.  Prefix doubling sorts the suffixes: they are ranked by their first word, then by
-two, four and so on, and only suffixes that still tie go on.  The ranks of all rounds give the longest common
-prefix of two neighbours of the sorted array.  The deepest interval of common prefixes around a suffix is a
+two, four and so on, and only suffixes that still tie go on.  The ranks of every fourth round give the longest
+common prefix of two neighbours of the sorted array.  The deepest interval of common prefixes around a suffix is a
 maximal repeated substring, as long as the longer of its two common prefixes; the spans of all that are long
 enough are united, and the share of words they cover and the longest of them are limited.
 """
@@ -38,39 +38,60 @@ class Limits:
     longest: int = 60
 
 
-def suffix_ranks(codes: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... codes, until none tie.
+#: Of the rounds of prefix doubling, every so manieth is kept for the common prefixes.
+KEPT_ROUND = 4
 
-    Ties share the place of the first of them.  No two suffixes that tie may reach the end of the array.
+
+def suffix_ranks(codes: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """(codes that count, ranks of all suffixes by these) of every fourth round, and the ranks by all codes.
+
+    Ties share the place of the first of them.  No two suffixes that tie may reach the end of the array.  What is
+    kept are 4 bytes a code for each power of 16 that the longest repeat reaches, so memory follows the text.
     """
+    small = np.int32 if len(codes) < 2**31 else np.int64
     order = np.argsort(codes, kind="stable")
     opens = np.ones(len(codes), bool)
     opens[1:] = codes[order[1:]] != codes[order[:-1]]
-    rank = np.empty(len(codes), np.int64)
+    rank = np.empty(len(codes), small)
     rank[order] = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+    del order, opens
     size = np.bincount(rank, minlength=len(codes) + 1)
     tied = np.flatnonzero(size[rank] > 1)
-    ranks, width = [rank], 1
+    del size
+    kept, width, turn = [], 1, 0
     while len(tied):
-        key = rank[tied] * len(codes) + rank[tied + width]
+        if turn % KEPT_ROUND == 0:
+            kept.append((width, rank.copy()))
+        key = rank[tied] * np.int64(len(codes)) + rank[tied + width]
         order = np.argsort(key)
         tied, key = tied[order], key[order]
+        del order
         group = rank[tied]
-        new_group = np.ones(len(tied), bool)
-        new_group[1:] = group[1:] != group[:-1]
         opens = np.ones(len(tied), bool)
         opens[1:] = key[1:] != key[:-1]
-        at = np.arange(len(tied))
-        first = at[opens][np.cumsum(opens) - 1]
-        start = at[new_group][np.cumsum(new_group) - 1]
-        rank = rank.copy()
-        rank[tied] = group + first - start
-        ranks.append(rank)
-        alone = opens.copy()
-        alone[:-1] &= opens[1:]
-        tied = tied[~alone]
+        del key
+        new_group = np.ones(len(tied), bool)
+        new_group[1:] = group[1:] != group[:-1]
+        first = np.flatnonzero(opens).astype(small)[np.cumsum(opens, dtype=small) - 1]
+        first -= np.flatnonzero(new_group).astype(small)[np.cumsum(new_group, dtype=small) - 1]
+        rank[tied] = group + first
+        opens[:-1] &= opens[1:]
+        tied = tied[~opens]
         width *= 2
-    return ranks
+        turn += 1
+    return kept, rank
+
+
+def common_prefixes(kept: list[tuple[int, np.ndarray]], array: np.ndarray) -> np.ndarray:
+    """The length of the longest common prefix of each two neighbours of the suffix array."""
+    common = np.zeros(max(len(array) - 1, 0), np.int64)
+    for width, rank in reversed(kept):
+        still = np.arange(len(common))
+        while len(still):  # fewer than 16 turns, as all longer prefixes have been walked already
+            here = common[still]
+            still = still[rank[array[still] + here] == rank[array[still + 1] + here]]
+            common[still] += width
+    return common
 
 
 def longest_repeats(part: Words) -> np.ndarray:
@@ -83,16 +104,10 @@ def longest_repeats(part: Words) -> np.ndarray:
     codes = np.empty(n + docs, np.uint64)
     codes[place] = mix(part.hashes ^ salt[of])
     codes[part.of_doc[1:] + np.arange(docs)] = mix(~salt)
-    ranks = suffix_ranks(codes)
+    kept, rank = suffix_ranks(codes)
     array = np.empty(len(codes), np.int64)
-    array[ranks[-1]] = np.arange(len(codes))
-    one, two = array[:-1].copy(), array[1:].copy()
-    common = np.zeros(len(one), np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        same = np.flatnonzero(ranks[k][one] == ranks[k][two])
-        common[same] += 1 << k
-        one[same] += 1 << k
-        two[same] += 1 << k
+    array[rank] = np.arange(len(codes))
+    common = common_prefixes(kept, array)
     best = np.zeros(len(codes), np.int64)
     best[array[:-1]] = common
     best[array[1:]] = np.maximum(best[array[1:]], common)
@@ -173,7 +188,8 @@ def rules(spark, p: Limits = Limits()):
 def judged(docs: DataFrame, p: Limits = Limits()) -> DataFrame:
     """doc_id, all counts, base_failed and kept for every row of docs (doc_id, text).
 
-    Repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+    Repeated rows are judged each; an empty table gives no rows; other columns are ignored.  A text is held whole,
+    with about 100 bytes for each of its words whatever it repeats.
     """
     verdict: Column = rules(docs.sparkSession, p)(F.col("text"))
     return docs.select("doc_id", verdict.alias("v")).select("doc_id", "v.*")

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from civicflow.llm.quality_classifier import Settings, _descend, classify, fit, place_sets
+from civicflow.llm.quality_classifier import Settings, _descend, classify, fit, place_sets, sample
 from civicflow.llm.queries import op1_naive_bayes_svm
 
 SF = "/root/testdata/sf0.01"
@@ -81,3 +81,15 @@ def test_sample_is_bounded(spark):
 
     counts = sample(docs, labels, Settings(sample=7)).groupBy("label").count().collect()
     assert {r.label: r["count"] for r in counts} == {0: 7, 1: 7}
+
+
+def test_one_row_counts_for_an_id_that_is_repeated(spark):
+    rows = [(1, f"text number {k} of one id") for k in range(500)] + [(k, f"other text {k}") for k in range(2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 9)], "doc_id int, label int")
+    found = sample(docs, labels, Settings(sample=2)).collect()
+    assert sorted(r.label for r in found) == [0, 0, 1, 1]
+    whole = sample(docs, labels, Settings()).collect()
+    assert len(whole) == 8
+    again = sample(docs.repartition(3), labels, Settings()).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, again))

@@ -10,7 +10,7 @@ import pytest
 
 from civicflow.llm import words as w
 from civicflow.llm.queries import ORACLES, op6_suffix_array_rules
-from civicflow.llm.repetition_rules import COUNTS, Limits, judged, measure, suffix_ranks
+from civicflow.llm.repetition_rules import COUNTS, Limits, common_prefixes, judged, measure, suffix_ranks
 from tests.llm.conftest import SF, WORD
 
 
@@ -79,3 +79,28 @@ def test_sql_says_the_same(spark):
     got = op6_suffix_array_rules(spark, SF)
     want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['op6_suffix_array_rules']})").fetchall()
     assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_memory_of_one_long_text_of_one_word():
+    import tracemalloc
+
+    text = pa.array(["word " * 1_600_000])  # 8 MB
+    tracemalloc.start()
+    found = measure(text, Limits())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert int(found["longest_repeat"][0]) == 1_599_999 and int(found["n_repeat_words"][0]) == 1_600_000
+    assert peak < 400e6
+
+
+def test_common_prefixes_beyond_the_kept_rounds():
+    rng = random.Random(6)
+    run = [rng.randint(0, 3) for _ in range(700)]
+    codes = np.array(run + run[:640] + run[100:500] + [9])
+    kept, rank = suffix_ranks(codes)
+    array = np.argsort(rank)
+    got = common_prefixes(kept, array)
+    assert [w for w, _ in kept] == [1, 16, 256]
+    for k, n in enumerate(got.tolist()):
+        a, b = codes[array[k] :].tolist(), codes[array[k + 1] :].tolist()
+        assert a[:n] == b[:n] and a[n : n + 1] != b[n : n + 1]
