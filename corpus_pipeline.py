@@ -48,8 +48,14 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns but the text, with the number of tokens and the ids."""
-    return byte_bpe.encode(docs, byte_ranks(), public_tokenizers.PATTERN)
+    """All columns but the text, then its digest, the number of tokens, the ids, and whether they decode to the text.
+
+    Columns of docs of these names (text_sha256, n_tokens, ids, decoded, decodes) give way.
+    """
+    ranks, text = byte_ranks(), F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumn("text_sha256", F.sha2(text.cast("binary"), 256))
+    both = byte_bpe.decode(byte_bpe.encode(marked, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    return both.withColumn("decodes", F.sha2("decoded", 256) == F.col("text_sha256")).drop("decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
