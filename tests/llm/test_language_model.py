@@ -3,10 +3,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from civicflow.llm.backoff_lm import Model, scores
+from civicflow.llm.backoff_lm import Automaton, Model, grams, scores
 from civicflow.llm.queries import op5_backoff_automaton
 from tests.llm.conftest import LOWER, SF, WORD
 
@@ -47,10 +49,10 @@ def same(got: list, want: list[tuple]) -> None:
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-@pytest.mark.parametrize("block_bytes", [30_000, 8_000_000])
-def test_whole_table(documents, order, block_bytes):
+@pytest.mark.parametrize("block_bytes,bits", [(30_000, 2), (8_000_000, 8)])
+def test_whole_table(documents, order, block_bytes, bits):
     train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
-    p = Model(order=order, block_bytes=block_bytes, blocks_a_range=3)
+    p = Model(order=order, block_bytes=block_bytes, slice_bits=bits)
     rows = [tuple(r) for r in documents.select("doc_id", "text", train).collect()]
     same(scores(documents, train, p).collect(), brute(rows, p))
 
@@ -91,3 +93,39 @@ def test_odd_rows(odd, empty):
 def test_the_query_covers_all_rows(spark, documents):
     got = op5_backoff_automaton(spark, SF)
     assert got.count() == documents.count() and got.columns[-1] == "held_out"
+
+
+def test_an_id_on_half_of_the_rows_fills_no_block(spark, documents):
+    text = F.concat("text", F.lit(" of one id, "), F.col("doc_id").cast("string"))
+    one = documents.withColumn("text", text).withColumn("doc_id", F.lit(1))
+    docs = documents.select("doc_id", "text").union(one.select("doc_id", "text"))
+    p = Model(block_bytes=50_000)
+    rows = [(r.doc_id, r.text, True) for r in docs.collect()]
+    same(scores(docs, F.lit(True), p).collect(), brute(rows, p))
+    size = sum(len(r[1].encode()) for r in rows)
+    blocks = 1 + size // p.block_bytes
+    dealt = docs.groupBy(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), "text"), F.lit(blocks))).agg(
+        F.sum(F.octet_length("text")).alias("size"), F.max(F.octet_length("text")).alias("longest")
+    )
+    assert all(r.size <= 2 * p.block_bytes + r.longest for r in dealt.collect())
+
+
+def test_states_arcs_and_failures_of_a_block():
+    texts = pa.array(["a b a c", "b a"])
+    g = grams(texts, np.array([True, True]), 3)
+    totals = [g.counts(m).astype(float) for m in range(3)]
+    made = Automaton(g, totals, int(totals[0].sum()), int((totals[0] > 0).sum()), Model(order=3))
+    assert len(made.failure) == 1 + 4 + 7 and made.failure[0] == 0  # the root, a b c and the end, and the seven pairs
+    assert len(made.arcs) == sum(len(k) for k in g.keys) == len(made.weight) == len(made.next)
+    assert all(made.failure[s] < s for s in range(1, len(made.failure)))
+    assert all(0 <= s < len(made.failure) for s in made.next)
+
+
+def test_rows_of_the_exchange_follow_the_blocks(spark, documents):
+    from civicflow.llm.backoff_lm import _ASKED, _ask
+
+    found = []
+    for blocks in (4, 8):
+        dealt = documents.select("text", F.lit(True).alias("train"), (F.col("doc_id") % blocks).alias("block"))
+        found.append(dealt.groupBy("block").applyInArrow(_ask(Model()), _ASKED).count() / blocks)
+    assert found == [256, 256]
