@@ -9,13 +9,17 @@ The reference tables stand in for a geocoder:
 * segments and nodes: on_street, from_street, to_street, borough, from_node,
   to_node; node, x, y
 
-All lookups by address share one key, so they are grouped into one table and
-joined once; crossings and stretches take one more join each.  A row that is
-already placed has no key for the later joins.
+A request is what a row asks for: the normalised keys of all its lookups.  The
+requests are taken out of the rows, each once however many rows ask for it, and
+all their candidate keys meet the union of the books in one narrow join.  What
+was found is summed up by request and joined to the rows, which move in that
+join only; then the first lookup that hit wins.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,6 +163,58 @@ def stretch_book(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+# The lookups of a request: the name of what is found, and how many keys a lookup has at most.
+ADDRESS_KEYS = ["_house", "_street", "_area"]
+CROSSING_KEYS = ["_first", "_second", "_borough"]
+STRETCH_KEYS = ["_on", "_from", "_to", "_borough"]
+_KEYS = ["_k0", "_k1", "_k2", "_k3"]
+
+
+def look_up(rows: DataFrame, books: dict[str, tuple[list[str], DataFrame]]) -> DataFrame:
+    """Every row with what each book holds for its keys, NULL where nothing.
+
+    ``books`` has, by name, the key columns of rows and a table of the same
+    columns, unique by these, with one or more found columns.  A lookup of which
+    a key is NULL finds nothing.
+    """
+    keys = list(dict.fromkeys(k for names, _ in books.values() for k in names))
+    complete = {name: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in names]) for name, (names, _) in books.items()}
+    asks = reduce(lambda a, b: a | b, complete.values())
+    hashes = [F.when(asks, F.xxhash64(F.lit(seed), *keys)) for seed in (1, 2)]
+    asked = computed(rows, {"_request": F.when(asks, F.struct(hashes[0].alias("a"), hashes[1].alias("b")))})
+    requests = asked.filter(F.col("_request").isNotNull()).select("_request", *keys).distinct()
+
+    def padded(names: list[str]) -> list[Column]:
+        return [F.col(names[i]) if i < len(names) else F.lit("") for i in range(len(_KEYS))]
+
+    def candidate(name: str, names: list[str]) -> Column:
+        values = [c.alias(k) for k, c in zip(_KEYS, padded(names))]
+        return F.when(complete[name], F.struct(F.lit(name).alias("_book"), *values))
+
+    found = {c: t for names, book in books.values() for c, t in book.dtypes if c not in names}
+    candidates = F.array_compact(F.array(*[candidate(name, names) for name, (names, _) in books.items()]))
+    wanted = requests.select("_request", F.explode(candidates).alias("c")).select("_request", "c.*")
+    shelves = [
+        book.select(
+            F.lit(name).alias("_book"),
+            *[c.alias(k) for k, c in zip(_KEYS, padded(names))],
+            *[(F.col(c) if c in book.columns else F.lit(None).cast(t)).alias(c) for c, t in found.items()],
+        )
+        for name, (names, book) in books.items()
+    ]
+    met = wanted.join(reduce(DataFrame.unionByName, shelves), ["_book", *_KEYS])
+    # A request meets a book once at most, so this only puts its rows together.
+    hits = met.groupBy("_request").agg(*[F.max(c).alias(c) for c in found])
+    return lookup_spread(asked, hits, ["_request"]).drop("_request")
+
+
+def _with_pair(df: DataFrame) -> DataFrame:
+    """The two streets of a crossing in order, NULL unless both are there."""
+    a, b = F.col("_a"), F.col("_b")
+    both = a.isNotNull() & b.isNotNull()
+    return df.withColumn("_first", F.when(both, F.least(a, b))).withColumn("_second", F.when(both, F.greatest(a, b)))
+
+
 def _with_result(df: DataFrame, columns: list[str], record: Column, function: Column, extra: list[Column]) -> DataFrame:
     placed = computed(df, {"_result": record, "geo_function": function})
     fields = [F.col(f"_result.{f}").alias(f) for f in RESULT_FIELDS]
@@ -192,31 +248,26 @@ def geocode(
     of one name apart.
     """
     columns = df.columns
-    book = address_book(points, area, places)
+    books = {
+        "address": (ADDRESS_KEYS, address_book(points, area, places)),
+        "crossing": (CROSSING_KEYS, crossing_book(crossings)),
+    }
+    pair = ~is_blank(street_1)
     keyed = computed(
         df,
         {
             "_house": empty_to_null(F.upper(F.trim(house))),
             "_street": street_key(street),
             "_area": empty_to_null(F.upper(F.trim(area))),
+            "_a": F.when(pair, street_key(street_1)),
+            "_b": F.when(pair, street_key(street_2)),
+            "_borough": F.when(pair, empty_to_null(F.upper(F.trim(borough)))),
         },
     )
-    found = lookup_spread(keyed, book, ["_house", "_street", "_area"])
-    live, pending, place = F.col("_live"), F.col("_pending"), F.col("_place")
+    found = look_up(_with_pair(keyed), books)
+    live, pending, place, pair = F.col("_live"), F.col("_pending"), F.col("_place"), F.col("_crossing")
     step = F.when(_ok(live), BY_ADDRESS).when(_ok(pending), BY_PENDING_ADDRESS).when(_ok(place), BY_PLACE)
     found = found.withColumn("_step", step)
-
-    open_pair = F.col("_step").isNull() & ~is_blank(street_1)
-    a, b = F.col("_a"), F.col("_b")
-    keys = {"_a": F.when(open_pair, street_key(street_1)), "_b": F.when(open_pair, street_key(street_2))}
-    found = (
-        computed(found, keys)
-        .withColumn("_first", F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)))
-        .withColumn("_second", F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)))
-        .withColumn("_borough", F.when(open_pair, empty_to_null(F.upper(F.trim(borough)))))
-    )
-    found = lookup_spread(found, crossing_book(crossings), ["_first", "_second", "_borough"])
-    pair = F.col("_crossing")
     record = (
         F.when(F.col("_step") == BY_ADDRESS, live)
         .when(F.col("_step") == BY_PENDING_ADDRESS, pending)
@@ -247,43 +298,37 @@ def geocode_with_stretch(
 ) -> DataFrame:
     """Address, stretch between two streets, then crossing."""
     columns = df.columns
-    book = address_book(points, "borough")
-    area = empty_to_null(F.upper(F.trim(borough)))
+    books = {
+        "address": (ADDRESS_KEYS, address_book(points, "borough")),
+        "stretch": (STRETCH_KEYS, stretch_book(segments, nodes)),
+        "crossing": (CROSSING_KEYS, crossing_book(crossings)),
+    }
     keyed = computed(
         df,
         {
             "_house": empty_to_null(F.upper(F.trim(house))),
             "_street": street_key(street),
-            "_area": area,
+            "_area": empty_to_null(F.upper(F.trim(borough))),
             "_between": stretch(address),
             "_pair": crossing(address),
         },
     )
-    found = lookup_spread(keyed, book, ["_house", "_street", "_area"])
-    live = F.col("_live")
-    open_row = ~_ok(live)
-    # Street keys are worked out once, ahead of the joins that use them.
+    # Street keys are worked out once, ahead of the join that uses them.
     between, pair = F.col("_between"), F.col("_pair")
-    found = computed(
-        found,
+    keyed = computed(
+        keyed,
         {
-            "_on": F.when(open_row, street_key(between["street_1"])),
-            "_from": F.when(open_row, street_key(between["street_2"])),
-            "_to": F.when(open_row, street_key(between["street_3"])),
-            "_borough": area,
-            "_a": F.when(open_row, street_key(pair["street_1"])),
-            "_b": F.when(open_row, street_key(pair["street_2"])),
+            "_on": street_key(between["street_1"]),
+            "_from": street_key(between["street_2"]),
+            "_to": street_key(between["street_3"]),
+            "_borough": F.col("_area"),
+            "_a": street_key(pair["street_1"]),
+            "_b": street_key(pair["street_2"]),
         },
     ).drop("_between", "_pair")
-    found = lookup_spread(found, stretch_book(segments, nodes), ["_on", "_from", "_to", "_borough"])
-    ends = F.col("_stretch")
+    found = look_up(_with_pair(keyed), books)
+    live, ends, hit = F.col("_live"), F.col("_stretch"), F.col("_crossing")
     a, b = F.col("_a"), F.col("_b")
-    both = ends.isNull() & a.isNotNull() & b.isNotNull()
-    found = found.withColumn("_first", F.when(both, F.least(a, b))).withColumn(
-        "_second", F.when(both, F.greatest(a, b))
-    )
-    found = lookup_spread(found, crossing_book(crossings), ["_first", "_second", "_borough"])
-    hit = F.col("_crossing")
     nothing = F.struct(*[F.lit(None).cast("string").alias(f) for f in RESULT_FIELDS])
     record = (
         F.when(_ok(live), live)
