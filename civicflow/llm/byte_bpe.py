@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -233,18 +234,21 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", decoded: str | None = None) -> DataFrame:
     """All columns of docs but the text, then ``n_tokens`` (bigint) and ``ids`` (binary, little-endian uint32).
 
     Every row gives one row.  A null or empty text has no tokens and empty ids.  Columns of docs that are named
     n_tokens or ids give way to these.  The ranks go to the executors as one broadcast; their file is only read
-    where the caller reads it.  Special tokens are ordinary text.
+    where the caller reads it.  Special tokens are ordinary text.  ``decoded`` names one more column: the SHA-256,
+    in lowercase hex, of the bytes to which the same task decodes the ids.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
-    rest = [c for c in docs.columns if c not in (text, "n_tokens", "ids")]
+    rest = [c for c in docs.columns if c not in (text, "n_tokens", "ids", decoded)]
     schema = docs.select(*(f"`{c}`" for c in rest)).schema
     schema = schema.add("n_tokens", T.LongType()).add("ids", T.BinaryType())
+    if decoded is not None:
+        schema = schema.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value, pattern)
@@ -255,6 +259,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> D
                 part = batch.slice(first, len(some))
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 columns = [*part.columns[: len(rest)], counts, pa.array(ids, pa.binary())]
+                if decoded is not None:
+                    columns.append(pa.array([sha256(own.decode(x)).hexdigest() for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return map_batches(docs.select(*(f"`{c}`" for c in rest), F.col(f"`{text}`").cast("string")), run, schema)

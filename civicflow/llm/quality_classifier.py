@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.llm.words import Words, words
-from civicflow.llm.workers import map_batches, ship
+from civicflow.llm.workers import give_back, map_batches, ship
 
 _ODD = np.uint32(0x9E3779B1)
 
@@ -250,6 +250,7 @@ def scorer(model: Model, docs: DataFrame):
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
             yield pa.array(shared.value.scores(part), pa.float64())
+        give_back()
 
     score = score.asNondeterministic()
     return lambda text: score(text.cast("string"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.llm.words import SEPARATOR, Words, lines, mix, words
-from civicflow.llm.workers import ship
+from civicflow.llm.workers import give_back, ship
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -180,6 +180,7 @@ def rules(spark, p: Limits = Limits()):
             kept = ~failed & (100 * m["n_covered_words"] <= p.covered_percent * n) & (m["longest_repeat"] <= p.longest)
             columns = [pa.array(m[c]) for c in COUNTS] + [pa.array(failed), pa.array(kept)]
             yield pa.StructArray.from_arrays(columns, names=[*COUNTS, "base_failed", "kept"])
+        give_back()
 
     judge = judge.asNondeterministic()
     return lambda text: judge(text.cast("string"))

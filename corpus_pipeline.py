@@ -48,14 +48,15 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns but the text, then its digest, the number of tokens, the ids, and whether they decode to the text.
+    """All columns but the text, then its digest, the number of tokens, the ids, the digest of what they decode to,
+    and whether that is the text.
 
-    Columns of docs of these names (text_sha256, n_tokens, ids, decoded, decodes) give way.
+    Columns of docs of these names (text_sha256, n_tokens, ids, decoded_sha256, decodes) give way.
     """
-    ranks, text = byte_ranks(), F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("text_sha256", F.sha2(text.cast("binary"), 256))
-    both = byte_bpe.decode(byte_bpe.encode(marked, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
-    return both.withColumn("decodes", F.sha2("decoded", 256) == F.col("text_sha256")).drop("decoded")
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    marked = docs.withColumn("text_sha256", digest)
+    out = byte_bpe.encode(marked, byte_ranks(), public_tokenizers.PATTERN, decoded="decoded_sha256")
+    return out.withColumn("decodes", F.col("decoded_sha256") == F.col("text_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -49,6 +49,7 @@ def test_each_stage_by_brute_force(spark, documents):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.rank, special_tokens={})
     want = Counter((r.doc_id, np.array(library.encode_ordinary(r.text), "<u4").tobytes()) for r in before)
     assert Counter((r.doc_id, bytes(r.ids)) for r in after) == want
+    assert all(r.decodes and r.decoded_sha256 == r.text_sha256 for r in after)
     assert Counter((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.run(spark, SF).collect()) == want
 
 
