@@ -218,3 +218,41 @@ def test_meeting_address(values):
     assert values(links.path_part(links.readable("c"), 11), [url]) == ["2019-2020"]
     assert values(links.first_date_in_path(links.readable("c")), [url, "https://x/a"]) == [dt.date(2019, 10, 22), None]
     assert values(links.readable("c"), ["a%20b+c", "100%", None]) == ["a b+c", "100%", None]
+
+
+def test_anchors_with_brackets_in_quotes_and_odd_heads(values):
+    cases = {
+        '<a title="a > b" href="z">x > y</a>': [("z", "x > y")],
+        "<a title='href=\"no\"' href='yes' >T<b title='>'>b</b></a>": [("yes", "Tb")],
+        '<a data-href="no" HREF = plain class=x>t</a><a href="">e</a>': [("plain", "t"), ("", "e")],
+        '<a name="top">t</a><a href="open>t</a>': [('"open', "t")],
+        "<a href=&#0000047;x&#x000002F;>&copy;&nosuch;</a>": [("/x/", "©&nosuch;")],
+        "<abbr href=no>x</abbr><a\nhref='n'>l</a>": [("n", "l")],
+        "<a href='long' " + "x='1' " * 5000 + ">t</a>": [("long", "t")],
+    }
+    found = values(links.anchors("c"), list(cases))
+    for got, want, html in zip(found, cases.values(), cases):
+        if "open" not in html:
+            assert [(a.href, a.text) for a in got] == want, html[:60]
+        else:
+            assert len(got) <= 1
+
+
+def test_listing_with_tables_in_cells(values):
+    inner = "<table><tr><td><a href='{0}'>i</a></td><td>x</td></tr></table>"
+    html = (
+        "<table class='menu'><tr><td><a href='no'>n</a></td></tr></table><table id=\"a>b\" class=\"x dataTable y\"><tr>"
+        f"<td>{inner.format('in1')}<a href='out1'>o</a></td><td>none</td><td><table><tr><td>x</td></tr></table><a href='out2'>p</a></td>"
+        "<td><a href='last'>l</a></td></tr></table><table class='dataTable'><tr><td><a href='other'>m</a></td></tr></table>"
+    )
+    found = values(links.cell_anchor("c"), [html, "<table class=dataTable></table>", "", None])
+    assert [a.href for a in found[0]] == ["in1", "in1", "out2", "last"] and found[1:] == [[], [], []]
+
+
+def test_dates_in_any_usual_spelling(values):
+    day = dt.date(2019, 10, 22)
+    same = ["October 22, 2019", "10-22-2019", "Oct 22 2019", "22 October 2019", "October 22nd, 2019", "OCTOBER 22, 2019",
+            "2019-10-22", "10.22.19", "22/10/2019", "2019 Oct 22", "PS 123 October 22, 2019 v2", "Oct. 22, 2019", "10_22_2019"]
+    assert values(links.date_in(F.col("c")), same) == [day] * len(same)
+    none = ["October 2019", "2019-2020", "22 October", "X123", "", None, "February 30, 2019", "Mayor 5 2019", "2019"]
+    assert values(links.date_in(F.col("c")), none) == [None] * len(none)
