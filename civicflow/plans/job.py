@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from civicflow.session import applied
-from civicflow.sources.publish import conform, publish, publish_after
+from civicflow.sources.manifest import Publication
+from civicflow.sources.publish import conform, parse_ddl, untyped, write_output
 from civicflow.sources.shapes import BINARY_COLUMN, scan_geometry, unreadable_geometry
 from civicflow.sources.tables import DatasetRef, Staging, read_csv_text, read_versioned
 
@@ -58,7 +59,7 @@ class JobSpec:
         csv: dict[str, str] | None = None,
         unreadable: dict[str, dict[str, int]] | None = None,
     ) -> dict[str, str]:
-        """Read the inputs, run, and write every output under the base folder.
+        """Read the inputs, run, and write every output under the base folder, visible together at the end.
 
         ``versions`` names the version of an input or output where it is not
         ``latest``.  Inputs named in ``csv``, such as corrections, are read from
@@ -85,12 +86,10 @@ class JobSpec:
             inputs = {name: scan_geometry(df) for name, df in inputs.items()}
             built = self.build(inputs, share=staging.keep) if self.shares else self.build(inputs)
             paths = {}
-            for name, ddl in self.outputs.items():
-                counts: dict[str, int] = {}
-                if name in self.keep_empty:
-                    paths[name] = publish_after(built[name], ref(name), base_out, ddl, lambda df: df, counts)
-                else:
-                    paths[name] = publish(built[name], ref(name), base_out, ddl, unreadable=counts)
-                if unreadable is not None:
-                    unreadable[name] = unreadable.get(name, {}) | counts
+            with Publication(spark, base_out, self.name) as publication:
+                for name, ddl in self.outputs.items():
+                    counts = None if unreadable is None else unreadable.setdefault(name, {})
+                    frame, null = built[name], name not in self.keep_empty
+                    frame = frame if null else untyped(frame, parse_ddl(ddl))
+                    paths[name] = write_output(publication, frame, ref(name), ddl, null, counts)
             return paths

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from civicflow.functions.dates import iso_date, us_date
 from civicflow.functions.geometry import ewkt
 from civicflow.functions.text import empty_to_null, stripped
+from civicflow.sources.manifest import Publication
 from civicflow.sources.tables import DatasetRef
 
 GEOMETRY = "geometry"
@@ -82,19 +83,32 @@ def publish(
     empty_as_null: bool = True,
     unreadable: dict[str, int] | None = None,
 ) -> str:
-    """Rebuild one published version from the frame.
+    """Rebuild one published version from the frame; the old one is read until the new one stands.
 
     ``unreadable`` is filled, while writing, with the number of values of each
     column that became NULL because the declared type cannot hold them (T19).
     """
     ref = DatasetRef.parse(ref) if isinstance(ref, str) else ref
+    with Publication(df.sparkSession, base, ref.name) as publication:
+        return write_output(publication, df, ref, ddl, empty_as_null, unreadable)
+
+
+def write_output(
+    publication: Publication,
+    df: DataFrame,
+    ref: DatasetRef,
+    ddl: str | dict[str, str],
+    empty_as_null: bool = True,
+    unreadable: dict[str, int] | None = None,
+) -> str:
+    """Write one output of a publication, which becomes visible with the others at its end."""
     ddl = parse_ddl(ddl) if isinstance(ddl, str) else ddl
-    path = ref.path(base)
-    lost = _lost(df, ddl)
+    path = publication.folder_of(ref.name, ref.version)
+    lost = _lost(df, ddl) if unreadable is not None else {}
     seen = Observation()
     counted = df.observe(seen, *[F.count_if(c).alias(f"c{i}") for i, c in enumerate(lost.values())]) if lost else df
-    conform(counted, ddl, empty_as_null).write.mode("overwrite").parquet(path)
-    if unreadable is not None and lost:
+    conform(counted, ddl, empty_as_null).write.parquet(path)
+    if lost:
         counts = seen.get
         unreadable.update({name: counts[f"c{i}"] for i, name in enumerate(lost)})
     return path
@@ -124,7 +138,12 @@ def publish_after(
     Empty text stays empty here; only typed columns read it as NULL.
     """
     ddl = parse_ddl(ddl) if isinstance(ddl, str) else ddl
-    return publish(post(df.select(*[F.col(f"`{c}`") for c in ddl])), ref, base, ddl, False, unreadable)
+    return publish(post(untyped(df, ddl)), ref, base, ddl, False, unreadable)
+
+
+def untyped(df: DataFrame, ddl: dict[str, str]) -> DataFrame:
+    """The declared columns as they are, for a step that runs before the cast."""
+    return df.select(*[F.col(f"`{c}`") for c in ddl])
 
 
 def split_by(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:

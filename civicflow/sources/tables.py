@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civicflow.sources.manifest import published_path
+
 
 @dataclass(frozen=True)
 class DatasetRef:
@@ -32,13 +34,14 @@ def read_versioned(spark: SparkSession, ref: DatasetRef | str, base: str | None
     """Scan one version of a dataset.
 
     Without a base folder the version is a table of the session's catalog, in
-    the schema named after the dataset.  Filters and selections made on the
+    the schema named after the dataset.  With one, it is what the manifests name,
+    or else the folder of the version.  Filters and selections made on the
     result reach the Parquet scan (S2, S3).
     """
     ref = DatasetRef.parse(ref) if isinstance(ref, str) else ref
     if base is None:
         return spark.table(f"`{ref.name}`.`{ref.version.replace('/', '__')}`")
-    return spark.read.parquet(ref.path(base))
+    return spark.read.parquet(published_path(spark, ref.name, ref.version, base) or ref.path(base))
 
 
 def read_csv_text(

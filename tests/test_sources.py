@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from civicflow.plans.job import JobSpec
 from civicflow.sources.publish import conform, parse_ddl, publish, publish_after, split_by
 from civicflow.sources.tables import DatasetRef, Staging, read_csv_text, read_versioned, select_renamed, write_csv
 
@@ -123,3 +124,39 @@ def test_staged_frame_is_written_read_back_and_removed(spark, tmp_path):
         assert out.count() == 5 and out.columns == ["id", "s"]
         assert "FileScan parquet" in out._jdf.queryExecution().executedPlan().toString()
     assert list(tmp_path.iterdir()) == []
+
+
+def test_outputs_become_visible_together(spark, tmp_path):
+    bad = F.raise_error(F.lit("stop")).cast("bigint")
+
+    def build(inputs):
+        ids = inputs["numbers"]
+        return {"small": ids.filter("id < 5"), "large": ids.filter("id >= 5").select(F.when(F.col("id") < 90, F.col("id")).otherwise(bad).alias("id"))}
+
+    job = JobSpec("sizes", ["numbers"], {"small": "id bigint", "large": "id bigint"}, build)
+    base = str(tmp_path / "out")
+
+    def counts():
+        return [read_versioned(spark, name, base).count() for name in ("small", "large")]
+
+    def run(n):
+        publish(spark.range(n), "numbers", str(tmp_path / "in"), "id bigint")
+        return job.publish(spark, str(tmp_path / "in"), base)
+
+    first = run(8)
+    assert counts() == [5, 3]
+    held = read_versioned(spark, "large", base)
+    with pytest.raises(Exception, match="stop"):
+        run(100)  # the second output fails after the first was written
+    assert counts() == [5, 3] and len(list((tmp_path / "out" / "_runs").iterdir())) == 1
+    second = run(20)
+    assert counts() == [5, 15] and held.count() == 3 and first != second
+    run(30)
+    assert counts() == [5, 25] and len(list((tmp_path / "out" / "_runs").iterdir())) == 2
+
+
+def test_versions_of_one_job_stand_side_by_side(spark, tmp_path):
+    for version, n in (("2019/09", 2), ("latest", 3), ("2019/09", 4)):
+        publish(spark.range(n), DatasetRef("t", version), str(tmp_path), "id bigint")
+    assert read_versioned(spark, 't."2019/09"', str(tmp_path)).count() == 4
+    assert read_versioned(spark, "t", str(tmp_path)).count() == 3
