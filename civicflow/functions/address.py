@@ -1,7 +1,8 @@
 """House, street, stretch and crossing out of address text.
 
-The rules stand in for a trained address tagger: a house number is a leading
-number token, the street is what follows, less a unit or floor at the end.
+The rules stand in for a trained address tagger.  A text is cut into tokens, each of a class, and a small automaton
+reads them from left to right and labels the house and the street: it seeks the house, which may stand behind a name
+or a building, then takes the street up to a comma, a unit, or the city.
 """
 
 from __future__ import annotations
@@ -11,26 +12,94 @@ from pyspark.sql import functions as F
 
 from civicflow.functions.text import blank, col, empty_to_null, let
 
-HOUSE = r"^\s*(\d+[A-Za-z]?(?:-\d+[A-Za-z]?)*)(?:[\s,]+|$)"
 FRACTION = r"(\d+/\d+)"
-LEADING_FRACTION = r"^\d+/\d+\s+"
+LEADING_FRACTION = r"^\s*\d+/\d+\s+"
 UNIT = r"(?i)(?:[\s,]+|^)(?:(?:APT|UNIT|SUITE|STE|FL|FLOOR|RM|ROOM)\b|#).*$"
+CROSSING = r"(?i)\b(?:BETWEEN|AND)\b|[&@|]"
+# The classes of tokens, the city's names, and what ends an address.
+NUMBER_TOKEN = r"^\d+[A-Za-z]?(?:-\d+[A-Za-z]?)*$"
+FRACTION_TOKEN = r"^\d+/\d+$"
+UNIT_TOKEN = r"(?i)^(?:(?:APT|APARTMENT|UNIT|SUITE|STE|FL|FLOOR|RM|ROOM|BLDG|BUILDING|BOX|LOT|HANGAR|DOCK)\.?|#.*)$"
+ROUTE_TOKEN = r"(?i)^(?:ROUTE|RTE|HIGHWAY|HWY|PIER|EXIT|TERMINAL|GATE|PS|IS|MS|HS|NO)\.?$"
+STREET_TOKEN = (
+    r"(?i)^(?:ST|STREET|AVES?|AVENUES?|BLVD|BOULEVARD|RD|ROAD|DR|DRIVE|LN|LANE|PL|PLACE|CT|COURT|PKWY|PARKWAY|TER|TERRACE"
+    r"|WAY|HWY|HIGHWAY|EXPY|EXPRESSWAY|SQ|SQUARE|PLZ|PLAZA|CIR|CIRCLE|LOOP|WALK|SLIP|ALY|ALLEY|TPKE|TURNPIKE|BROADWAY)\.?$"
+)
+CITY = (
+    r"(?i)\b(?:NEW\s+YORK(?:\s+CITY)?|STATEN\s+ISLAND|THE\s+BRONX|BRONX|BROOKLYN|QUEENS|MANHATTAN)"
+    r"(?=[\s,]+(?:N\.?Y\b|NEW\s+YORK\b|\d{5}(?:-\d{4})?\s*$))"
+)
+STATE_AND_ZIP = r"(?i)[\s,]+(?:N\.?Y\.?|NEW\s+YORK)(?:[\s,]+\d{5}(?:-\d{4})?)?\s*$|[\s,]+\d{5}(?:-\d{4})?\s*$"
+
+_LABELS = "struct<at:int,house:array<string>,street:array<string>>"
+_SEEK, _HOUSE, _STREET, _END = range(4)
+
+
+def _cut_city(text: Column) -> Column:
+    """The text with a comma in place of the city, the state and the ZIP code at its end."""
+    return F.regexp_replace(F.regexp_replace(text, CITY, " , "), STATE_AND_ZIP, " , ")
+
+
+def tagged(address) -> Column:
+    """(house, street): the tokens of each label.
+
+    A first token that is a number is the house.  A later one is, if neither a unit nor a route stands before it, if a
+    kind of street follows it before the next comma, and if the text names no crossing.  A fraction next to the house
+    belongs to it.  The street ends with a comma, a unit, or the text.
+    """
 
+    def labels(tokens: Column, crossing: Column) -> Column:
+        n = F.size(tokens)
+        none = F.array().cast("array<string>")
+        start = F.struct(F.lit(_SEEK).alias("at"), none.alias("house"), none.alias("street")).cast(_LABELS)
+
+        def follows(k: Column) -> Column:
+            rest = F.slice(tokens, k + 2, F.greatest(n - k - 1, F.lit(0)))
+            comma = F.array_position(rest, ",").cast("int")
+            part = F.when(comma > 0, F.slice(rest, F.lit(1), F.greatest(comma - 1, F.lit(0)))).otherwise(rest)
+            return F.exists(part, lambda t: t.rlike(STREET_TOKEN))
+
+        def step(s: Column, k: Column) -> Column:
+            token, last = F.get(tokens, k), F.coalesce(F.get(tokens, F.when(k > 0, k - 1)), F.lit(""))
+            number, fraction, comma = token.rlike(NUMBER_TOKEN), token.rlike(FRACTION_TOKEN), token == ","
+            bound = last.rlike(UNIT_TOKEN) | last.rlike(ROUTE_TOKEN)
+            found = number & ((k == 0) | (~crossing & ~bound & follows(k)))
+            seek, house, street = (s["at"] == state for state in (_SEEK, _HOUSE, _STREET))
+            more_house = (seek & found) | (house & fraction)
+            unit = token.rlike(UNIT_TOKEN) & (street | ~follows(k))  # "12 BUILDING ST" has a street of that name
+            ends = (house | street) & unit | street & comma
+            more_street = ~ends & ((house & ~fraction & ~comma) | street)
+            at = F.when(ends, _END).when(more_house, _HOUSE).when(more_street, _STREET).otherwise(s["at"])
+            return F.struct(
+                at.alias("at"),
+                F.when(more_house, F.concat(s["house"], F.array(token))).otherwise(s["house"]).alias("house"),
+                F.when(more_street, F.concat(s["street"], F.array(token))).otherwise(s["street"]).alias("street"),
+            ).cast(_LABELS)
+
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, start, step)
 
-def house_number(address) -> Column:
-    """Leading house number with its fraction; '' when there is none."""
     text = blank(address)
-    number = F.regexp_extract(text, HOUSE, 1)
-    fraction = F.regexp_extract(text, FRACTION, 1)
-    return F.when(fraction != "", F.trim(F.concat(number, F.lit(" "), fraction))).otherwise(number)
+    cut = F.filter(F.split(F.replace(_cut_city(text), F.lit(","), F.lit(" , ")), r"\s+"), lambda t: t != "")
+    return let(F.struct(cut.alias("tokens"), text.rlike(CROSSING).alias("crossing")), lambda c: labels(c["tokens"], c["crossing"]))
+
+
+def house_number(address) -> Column:
+    """House number with its fraction; '' when there is none."""
+    number = F.array_join(tagged(address)["house"], " ")
+    fraction = F.regexp_extract(blank(address), FRACTION, 1)
+    return let(number, lambda n: F.when((fraction != "") & ~n.contains("/"), F.trim(F.concat(n, F.lit(" "), fraction))).otherwise(n))
 
 
 def street_name(address) -> Column:
     """Street part, or the whole text when no street is left."""
-    rest = F.regexp_replace(col(address), HOUSE, "")
-    rest = F.regexp_replace(rest, LEADING_FRACTION, "")
-    rest = F.trim(F.regexp_replace(rest, UNIT, ""))
-    return F.coalesce(empty_to_null(rest), col(address))
+
+    def of(labels: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(F.substring_index(_cut_city(col(address)), " , ", 1), LEADING_FRACTION, ""), UNIT, "")
+        street = F.when(F.size(labels["house"]) > 0, F.array_join(labels["street"], " ")).otherwise(F.trim(bare))
+        return F.coalesce(empty_to_null(street), col(address))
+
+    return let(tagged(address), of)
 
 
 def stretch(address) -> Column:

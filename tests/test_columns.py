@@ -256,3 +256,27 @@ def test_dates_in_any_usual_spelling(values):
     assert values(links.date_in(F.col("c")), same) == [day] * len(same)
     none = ["October 2019", "2019-2020", "22 October", "X123", "", None, "February 30, 2019", "Mayor 5 2019", "2019"]
     assert values(links.date_in(F.col("c")), none) == [None] * len(none)
+
+
+def test_house_and_street_anywhere(values):
+    cases = {
+        "C/O SMITH 123 MAIN ST": ("123", "MAIN ST"),
+        "123 1/2 MAIN ST, NEW YORK NY 10001": ("123 1/2", "MAIN ST"),
+        "BLDG 5, 45 BROAD ST": ("45", "BROAD ST"),
+        "45 W 31ST ST APT 2": ("45", "W 31ST ST"),
+        "123 MAIN ST NEW YORK NY 10001": ("123", "MAIN ST"),
+        "100 ST NICHOLAS AVE": ("100", "ST NICHOLAS AVE"),
+        "45 AVENUE A, BROOKLYN, NY": ("45", "AVENUE A"),
+        "12 AVENUE OF THE AMERICAS #4B": ("12", "AVENUE OF THE AMERICAS"),
+        "31ST AVE, QUEENS NY 11101-1234": ("", "31ST AVE"),
+        "STATE ROUTE 25": ("", "STATE ROUTE 25"),
+        "TERMINAL 4 JFK AIRPORT": ("", "TERMINAL 4 JFK AIRPORT"),
+        "4 AVE BETWEEN 5 ST AND 6 ST": ("4", "AVE BETWEEN 5 ST AND 6 ST"),
+        "GRAND ST AND 5 AVE": ("", "GRAND ST AND 5 AVE"),
+        "43-10A BERRIAN BLVD FL 2": ("43-10A", "BERRIAN BLVD"),
+        "12 BUILDING ST UNIT 4": ("12", "BUILDING ST"),
+        "77": ("77", "77"),
+        "": ("", ""),
+        None: ("", None),
+    }
+    assert list(zip(values(house_number("c"), list(cases)), values(street_name("c"), list(cases)))) == list(cases.values())
