@@ -33,6 +33,8 @@ from civicflow.llm.words import mix, words
 from civicflow.llm.workers import ship
 
 END = np.uint64(0x5D1C3F0E9B7A2468)
+#: Where there is no arc; a weight is 0 at most.
+NO_ARC = 1.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -216,8 +218,10 @@ def answers(asked: DataFrame, blocks: int, bits: int, depth: int) -> DataFrame:
 class Automaton:
     """The part of the automaton that the texts of a block can reach.
 
-    States are numbered from 1, by order and key; 0 is the root.  ``arcs`` leads from state * tokens + token to an
-    arc, ``weight`` and ``next`` are of arcs, ``failure`` and ``back`` of states.
+    States are numbered from 1, by order and key; 0 is the root.  ``arcs`` are numbers state * tokens + token, with
+    their ``weight`` and the ``next`` state; ``failure`` leads from a state to that of the shorter context, and weighs
+    ``back``.  The state before a position is that of some last tokens that were read, so its order tells it, and the
+    n-gram that ends at the position tells the arc: ``offered`` has, for each order, the weight of an arc by n-gram.
     """
 
     def __init__(self, g: Grams, totals: list[np.ndarray], learned: int, kinds: int, p: Model):
@@ -230,6 +234,7 @@ class Automaton:
         state = [np.zeros(0, np.int64) for _ in range(p.order)]  # the number of each n-gram's state
         chance = [np.zeros(0) for _ in range(p.order)]
         keys, weight, after, failure, used = [], [], [], [np.zeros(1, np.int64)], 1
+        self.offered = []
         for m in range(p.order):
             count, at = totals[m], g.at[m]
             token, known = g.of[0][at], count > 0
@@ -250,30 +255,37 @@ class Automaton:
             else:
                 goes = shorter
             keys.append((source * self.tokens + token)[known])
-            weight.append(np.log10(chance[m][known]))
+            offered = np.full(len(at) + 1, NO_ARC)  # the last is for positions where no such n-gram ends
+            offered[:-1][known] = np.log10(chance[m][known])
+            self.offered.append(offered)
+            weight.append(offered[:-1][known])
             after.append(goes[known])
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys)))))
-        self.weight, self.next = np.concatenate(weight).tolist(), np.concatenate(after).tolist()
-        self.failure = np.concatenate(failure).tolist()
+        self.arcs, self.weight, self.next = (np.concatenate(x) for x in (keys, weight, after))
+        self.failure = np.concatenate(failure)
         self.back = float(np.log10(1 - p.mix))
         self.start = int(state[0][end]) if p.order > 1 and len(state[0]) else 0
 
-    def read(self, tokens: list[int]) -> float:
-        """The log10 probability of a text, read from left to right."""
-        arcs, weight, following, failure = self.arcs.get, self.weight, self.next, self.failure
-        size, back, unknown = self.tokens, self.back, self.unknown
-        state, total = self.start, 0.0
-        for token in tokens:
-            arc = arcs(state * size + token)
-            while arc is None and state:
+    def read(self, of: list[np.ndarray], first: int, last: int) -> float:
+        """The log10 probability of the text from one position to before another, read from left to right.
+
+        Each position offers the arcs of the states of all orders; the state that is carried takes its own, or goes by
+        failure arcs to the first that has one.
+        """
+        arcs = [offered[which[first:last]].tolist() for offered, which in zip(self.offered, of)]
+        back, unknown, top = self.back, self.unknown, len(arcs) - 1
+        order, total = 1 if self.start else 0, 0.0
+        for j in range(last - first):
+            weight = arcs[order][j]
+            while weight > 0 and order:
                 total += back
-                state = failure[state]
-                arc = arcs(state * size + token)
-            if arc is None:
+                order -= 1
+                weight = arcs[order][j]
+            if weight > 0:
                 total += unknown
             else:
-                total += weight[arc]
-                state = following[arc]
+                total += weight
+                if order < top:
+                    order += 1
         return total
 
 
@@ -292,8 +304,8 @@ def _score(p: Model):
         seen = totals[0][g.of[0]]
         base = np.log10((seen + 1.0) / (learned + kinds + 1))
         ends = np.append(g.starts[1:], len(seen))
-        automaton, tokens = Automaton(g, totals, learned, kinds, p), g.of[0]
-        read = [automaton.read(tokens[a:b].tolist()) for a, b in zip(g.starts.tolist(), ends.tolist())]
+        automaton = Automaton(g, totals, learned, kinds, p)
+        read = [automaton.read(g.of, a, b) for a, b in zip(g.starts.tolist(), ends.tolist())]
         columns = [
             docs.column("doc_id"),
             pa.array(ends - g.starts, pa.int64()),
@@ -318,10 +330,9 @@ def scores(docs: DataFrame, train: Column, p: Model = Model()) -> DataFrame:
 
     Columns: doc_id, n_tokens (words and the end), n_known (tokens seen in training), train_tokens (all training
     tokens), base_score (log10 probability by token counts plus one) and score (by the automaton).  A null or
-    empty text is its end token.  Rows that repeat a doc_id count and are scored each, and their texts tell their
-    blocks; rows without one too.  If
-    nothing may be learned, every token has probability one.  Other columns are ignored; an empty table gives no
-    rows.
+    empty text is its end token.  Rows that repeat a doc_id count and are scored each, in blocks that their texts
+    tell too; so do rows without one.  If nothing may be learned, every token has probability one.  Other columns are
+    ignored; an empty table gives no rows.  A block holds its texts' n-grams, about 250 bytes a token.
     """
     spark = docs.sparkSession
     ship(spark)
