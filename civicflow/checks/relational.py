@@ -14,6 +14,7 @@ from civicflow.operators.relate import (
     distinct_ids,
     exists_flag,
     full_outer,
+    join_hot_key,
     known_or_blank,
     lookup_left,
     not_in,
@@ -414,6 +415,31 @@ def latest_per_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("latest"), "o_orderstatus")
 
 
+# Half of the lines, and most of the orders, have one and the same key.
+HOT_LINES = """
+SELECT l_orderkey, l_linenumber, l_quantity,
+       CASE WHEN l_orderkey % 2 = 0 THEN CAST(7 AS BIGINT) WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_partkey END AS k
+FROM {lineitem}
+"""
+HOT_PARTS = """
+SELECT CASE WHEN p_partkey <= 10 THEN CAST(7 AS BIGINT) WHEN p_partkey = 12 THEN NULL ELSE CAST(p_partkey AS BIGINT) END AS k, p_size, p_partkey
+FROM {part}
+"""
+
+
+@check(
+    "join_hot_key",
+    f"""
+SELECT l_orderkey, l_linenumber, count(p_partkey) AS parts, CAST(sum(p_size) AS BIGINT) AS sizes
+FROM ({HOT_LINES}) l LEFT JOIN ({HOT_PARTS}) p ON l.k = p.k GROUP BY ALL
+""",
+)
+def join_hot_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = join_hot_key(shaped(spark, sf_dir, HOT_LINES), shaped(spark, sf_dir, HOT_PARTS), ["k"], "left")
+    sums = joined.groupBy("l_orderkey", "l_linenumber")
+    return sums.agg(F.count("p_partkey").alias("parts"), F.sum("p_size").alias("sizes"))
+
+
 @check(
     "adjacent_runs_argmin",
     """

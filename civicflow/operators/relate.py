@@ -50,6 +50,35 @@ def lookup_spread(df: DataFrame, dim: DataFrame, on: list[str], by: list[str] |
     return left.join(right, [*on, "_deal"], "left").drop("_deal")
 
 
+# A key is hot if it has more than this share of the rows; there are at most so many of them.
+HOT_KEYS = 1000
+
+
+def join_hot_key(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Inner or left join on keys of which some hold a large share of ``df``.
+
+    Keys are counted, partially before the shuffle.  Rows of a hot key, one with
+    more than a thousandth of all rows, are dealt out by the content of the row
+    over as many groups as its share asks for, and only the rows that the other
+    side has for such keys are repeated, once for each group.  So no group holds
+    much more than a thousandth of ``df``, whichever side is built.  There are
+    fewer than a thousand hot keys, whatever the data; as one map they are a
+    constant of the plan.  A NULL key finds nothing, as in any join; its rows
+    are dealt out in the same way.
+    """
+    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("n")).scalar()
+    pieces = F.ceil(F.col("_n") * HOT_KEYS / total).cast("int")
+    # Keys go by a hash: two that share one are dealt alike on both sides.
+    hot = counts.filter(F.col("_n") * HOT_KEYS > total).groupBy(F.xxhash64(*on).alias("h")).agg(F.max(pieces).alias("n"))
+    table = hot.agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("m")).scalar()
+    groups = F.coalesce(F.try_element_at(table, F.xxhash64(*on)), F.lit(1))
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    left = df.withColumn("_piece", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain], F.lit(0)), groups).cast("int"))
+    right = other.select("*", F.explode(F.sequence(F.lit(0), groups - 1)).alias("_piece"))
+    return left.join(right, [*on, "_piece"], how).drop("_piece")
+
+
 def null_safe_left(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     """Left join in which NULL keys equal each other (J4, trap T8)."""
     right = other.withColumnsRenamed({k: f"_r_{k}" for k in on})

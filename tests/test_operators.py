@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import groupby
 
 import pytest
@@ -207,3 +208,29 @@ def test_manual_position_only_where_nothing_was_found(spark):
     out = place_result(use_manual_position(out.withColumn("longitude", F.lit("-70")).withColumn("latitude", F.lit("41"))))
     got = {r.i: (r.geo_function, r.geom, r.geo_longitude) for r in out.collect()}
     assert got == {1: ("1B", "POINT (-73 40)", -73.0), 2: ("DCP_Manual", "POINT (-70 41)", None)}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_on_both_sides(spark, how):
+    rows = [(k, "hot" if k % 2 else (None if k % 10 == 0 else f"k{k % 7}")) for k in range(4000)]
+    other = [("hot", j) for j in range(3)] + [("k1", 10), ("k1", 11), (None, 12), ("none", 13)]
+    df = spark.createDataFrame(rows, "i int, k string").repartition(8)
+    dim = spark.createDataFrame(other, "k string, v int")
+    got = Counter(map(tuple, relate.join_hot_key(df, dim, ["k"], how).select("i", "k", "v").collect()))
+    assert got == Counter(map(tuple, df.join(dim, "k", how).select("i", "k", "v").collect()))
+
+
+def test_a_hot_key_fills_no_task(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("i"), F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"))
+    dim = spark.range(200_000).select(F.when(F.col("id") < 5, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = relate.join_hot_key(rows, dim.filter("k > 1"), ["k"], "left")
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id().alias("task")).count().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 50 and sizes[-1] < 3 * sizes[25]
