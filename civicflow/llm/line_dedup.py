@@ -6,6 +6,7 @@
    (``bitmaps``).  Their size follows the number of lines, up to a bound.
 3. Only lines that the second filter holds are suspects.  They alone are shuffled, as digest and doc_id, summed up
    before the shuffle; their exact counts tell which lines are shared, and by the largest doc_id who keeps them.
+   A line that many documents share is dealt out over many groups where its documents are told.
 4. What each document loses is gathered by document, and goes to its text with a join in which Spark picks the
    strategy by the measured size.
 
@@ -28,6 +29,7 @@ from civicflow.llm.bitmaps import filters, gathered, hashes_of, maybe_in, words_
 from civicflow.llm.components import Written
 from civicflow.llm.words import buffers
 from civicflow.llm.workers import map_batches
+from civicflow.operators.relate import join_hot_key
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of a text that are split into lines together, of a digest, and of a batch of results.
@@ -142,7 +144,7 @@ def dropped_lines(docs: DataFrame, p: Lines = Lines()) -> DataFrame:
     )
     counts = suspects.frame.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
     shared = counts.where(F.col("n") >= p.least_docs).select("key", "keeper")
-    lost = suspects.frame.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = join_hot_key(suspects.frame, shared, ["key"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = Written(lost.groupBy("doc_id", "row").agg(F.collect_set("key").alias("drops")))
     marks.remove()
     suspects.remove()
