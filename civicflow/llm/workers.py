@@ -23,9 +23,8 @@ def ship(spark: SparkSession) -> None:
     top = Path(__file__).resolve().parents[1]
     path = Path(tempfile.mkdtemp()) / f"{top.name}_llm.zip"  # addPyFile serves its own copy from the driver
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        out.write(top / "__init__.py", f"{top.name}/__init__.py")
-        for file in sorted((top / "llm").glob("*.py")):
-            out.write(file, f"{top.name}/llm/{file.name}")
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
     context.addPyFile(str(path))
     _given.add(context.applicationId)
 
