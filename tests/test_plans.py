@@ -86,7 +86,7 @@ def _exchanged(node) -> list[set[str]]:
     """The columns that each shuffle of a plan moves."""
     name = node.getClass().getSimpleName()
     if name == "AdaptiveSparkPlanExec":
-        return _exchanged(node.inputPlan())
+        return _exchanged(node.executedPlan())
     out = [{node.output().apply(i).name() for i in range(node.output().size())}] if name == "ShuffleExchangeExec" else []
     for i in range(node.children().size()):
         out += _exchanged(node.children().apply(i))
