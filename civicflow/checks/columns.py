@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,17 +24,7 @@ from civicflow.functions.numbers import (
     to_whole,
     truncated,
 )
-from civicflow.functions.projection import (
-    CONE,
-    FALSE_EASTING_FEET,
-    FOOT,
-    LATITUDE_STEPS,
-    ORIGIN_LONGITUDE,
-    RHO_ORIGIN,
-    SCALE,
-    SEMI_MAJOR_AXIS,
-    to_lon_lat,
-)
+from civicflow.functions.projection import to_lon_lat
 from civicflow.functions.text import (
     CROSSING_NARROW,
     CROSSING_WIDE,
@@ -587,18 +579,29 @@ FROM {orders}
 
 
 def _reproject_sql(source: str) -> str:
-    """The inverse projection as plain arithmetic, one step a query."""
-    eccentricity = (2 / 298.257222101 - (1 / 298.257222101) ** 2) ** 0.5
+    """The inverse projection as plain arithmetic, one step a query, from the public numbers of EPSG:2263."""
+    axis, flattening, foot, false_easting, origin = 6378137.0, 1 / 298.257222101, 1200 / 3937, 984250.0, -74.0
+    south, north, base = (math.radians(d) for d in (40 + 40 / 60, 41 + 2 / 60, 40 + 10 / 60))
+    e = math.sqrt(flattening * (2 - flattening))
+
+    def tangent(phi: float) -> float:
+        return math.tan(math.pi / 4 - phi / 2) * ((1 + e * math.sin(phi)) / (1 - e * math.sin(phi))) ** (e / 2)
+
+    def radius(phi: float) -> float:
+        return math.cos(phi) / math.sqrt(1 - (e * math.sin(phi)) ** 2)
+
+    cone = math.log(radius(south) / radius(north)) / math.log(tangent(south) / tangent(north))
+    size = axis * radius(south) / (cone * tangent(south) ** cone)
     steps = "".join(
-        f", s{i + 1} AS (SELECT * REPLACE (pi() / 2 - 2 * atan(t * pow((1 - {eccentricity!r} * sin(phi)) /"
-        f" (1 + {eccentricity!r} * sin(phi)), {eccentricity / 2!r})) AS phi) FROM s{i})"
-        for i in range(LATITUDE_STEPS)
+        f", s{i + 1} AS (SELECT * REPLACE (pi() / 2 - 2 * atan(t * pow((1 - {e!r} * sin(phi)) /"
+        f" (1 + {e!r} * sin(phi)), {e / 2!r})) AS phi) FROM s{i})"
+        for i in range(6)
     )
     return f"""
-a AS (SELECT *, (x - {FALSE_EASTING_FEET!r}) * {FOOT!r} AS px, {RHO_ORIGIN!r} - y * {FOOT!r} AS py FROM {source}),
-b AS (SELECT *, pow(sqrt(px * px + py * py) / {SEMI_MAJOR_AXIS * SCALE!r}, {1 / CONE!r}) AS t FROM a),
+a AS (SELECT *, (x - {false_easting!r}) * {foot!r} AS px, {size * tangent(base) ** cone!r} - y * {foot!r} AS py FROM {source}),
+b AS (SELECT *, pow(sqrt(px * px + py * py) / {size!r}, {1 / cone!r}) AS t FROM a),
 s0 AS (SELECT *, pi() / 2 - 2 * atan(t) AS phi FROM b){steps},
-r AS (SELECT *, degrees(atan2(px, py) / {CONE!r}) + {ORIGIN_LONGITUDE!r} AS lon, degrees(phi) AS lat FROM s{LATITUDE_STEPS})
+r AS (SELECT *, degrees(atan2(px, py) / {cone!r}) + ({origin!r}) AS lon, degrees(phi) AS lat FROM s6)
 """
 
 
