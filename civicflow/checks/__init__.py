@@ -6,7 +6,7 @@ from importlib import import_module
 
 from civicflow.checks.registry import ORACLES, QUERIES
 
-_MODULES = ["relational", "columns", "geocoding", "jobs", "binary"]
+_MODULES = ["relational", "columns", "geocoding", "jobs", "binary", "files"]
 
 
 def all_checks() -> tuple[dict, dict]:

@@ -67,8 +67,9 @@ def read_csv_text(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; spaces at the ends of values stay."""
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").option("header", True).option("escape", '"').options(**spaces).csv(path)
 
 
 def select_renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
