@@ -12,11 +12,13 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``.  Only where none is set, as in tests, a folder in the
-    warehouse is used.
+    warehouse is used, and only by a local session: elsewhere the warehouse may be a folder of the driver alone.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(own or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return context.getCheckpointDir()
 
