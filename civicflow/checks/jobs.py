@@ -503,6 +503,7 @@ def recipe_air_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- R2: school buildings ----------------------------------------------------
 
+# Ids of schools that the school rules name.
 SPECIAL_IDS = """CASE {0} WHEN 1 THEN 'X445' WHEN 2 THEN 'M539' WHEN 3 THEN 'X695' WHEN 4 THEN 'M973'
   ELSE 'S' || CAST({0} AS STRING) END"""
 
@@ -543,6 +544,7 @@ UNION ALL
 SELECT '1', '2', {_school("s_suppkey")}, 'B' || CAST(s_suppkey % 7 AS STRING), 'IS', NULL, 'I.S. twin', '100', '10', '20', '30', '50%', '7%', '', 'f'
 FROM {{supplier}}
 """
+# The ids of the rules, in their order.
 _COMPETITIVE = "'X445','K449','K430','M692','X696','Q687','R605','M475'"
 _GIFTED = "'M539','M334','K686','Q300','M012','M485'"
 _SCHOOL_TAGS = f"""
