@@ -98,9 +98,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's UTF-8 bytes as ids, written to shards and read back: a digest of each sequence."""
+    """Every document's UTF-8 bytes as ids, shuffled over all shards and read back: a digest of each sequence."""
     path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    token_shards.write_shards(_table(spark, sf_dir, "documents"), F.col("text").cast("binary"), path)
+    token_shards.write_shuffled(_table(spark, sf_dir, "documents"), F.col("text").cast("binary"), path)
     rows = token_shards.read_slots(spark, path)
     return rows.select("slot", "shard", F.sha2("ids", 256).alias("ids_sha256"))
 

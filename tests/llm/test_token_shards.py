@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from civicflow.llm.token_shards import Layout, permute, read_slots, write_shards
+from civicflow.llm.token_shards import Layout, permute, read_slots, write_shards, write_shuffled
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
@@ -128,3 +128,54 @@ def plain_permute(index: int, n: int, key: int, rounds: int = 6) -> int:
 def test_permutation_against_plain_arithmetic():
     for n, key in ((1, 4), (10, 4), (1000, 20240501), (5000, 2**65 + 3)):
         assert permute(np.arange(n), n, key).tolist() == [plain_permute(k, n, key) for k in range(n)]
+
+
+def unshuffled(spark, path: str, rows: list, p: Layout) -> list[bytes]:
+    """The documents' ids, by undoing one permutation of all slots, in plain arithmetic."""
+    kind, by_slot, out = np.dtype(f"<u{p.width}"), {r.slot: bytes(r.ids) for r in rows}, []
+    for m in sorted(spark.read.parquet(f"{path}/ranges").collect()):
+        numbers = range(m.first_slot, m.first_slot + m.n_sequences)
+        stream = np.frombuffer(b"".join(by_slot[plain_permute(k, len(rows), p.key)] for k in numbers), kind)
+        assert (stream[m.n_ids :] == p.pad).all()
+        cuts = np.flatnonzero(stream[: m.n_ids] == p.end)
+        assert len(cuts) == m.n_docs and cuts[-1] == m.n_ids - 1
+        out += [part.tobytes() for part in np.split(stream[: m.n_ids], cuts + 1)[:-1]]
+    return out
+
+
+def test_one_permutation_over_all_shards(tmp_path, spark, documents):
+    p = Layout(length=100, shard_bytes=20_000)
+    found = []
+    for k, df in enumerate((documents, documents.repartition(7, "lang"))):
+        path = str(tmp_path / str(k))
+        manifest = sorted(write_shuffled(df, F.col("text").cast("binary"), path, p).collect())
+        rows = read_slots(spark, path, p).collect()
+        assert sorted(r.slot for r in rows) == list(range(len(rows)))
+        assert all(r.shard == r.slot // 200 for r in rows)
+        assert [m.n_sequences for m in manifest[:-1]] == [200] * (len(manifest) - 1) and len(manifest) > 10
+        assert sorted(unshuffled(spark, path, rows, p)) == sorted(r.text.encode() + b"\xff" for r in documents.collect())
+        sizes = sorted(f.stat().st_size for f in (tmp_path / str(k) / "shards").glob("*/part-*"))
+        assert sizes == sorted(m.n_sequences * p.stride for m in manifest)
+        found.append(sorted(map(tuple, rows)))
+        some = read_slots(spark, path, p, first=190, last=410).collect()
+        assert sorted(map(tuple, some)) == found[0][190:410]
+    assert found[0] == found[1]
+    # A range's sequences, and so a long document's, are in shards all over, not in one.
+    first = min(spark.read.parquet(f"{tmp_path}/0/ranges").collect())
+    assert len({plain_permute(k, len(found[0]), p.key) // 200 for k in range(first.n_sequences)}) > 10
+
+
+def test_odd_rows_and_wide_ids_over_all_shards(tmp_path, spark, odd, empty):
+    p = Layout(length=50, shard_bytes=4000)
+    write_shuffled(odd, F.col("text").cast("binary"), str(tmp_path / "odd"), p)
+    rows = read_slots(spark, str(tmp_path / "odd"), p).collect()
+    want = sorted((r.text or "").encode() + b"\xff" for r in odd.collect())
+    assert sorted(unshuffled(spark, str(tmp_path / "odd"), rows, p)) == want
+    assert write_shuffled(empty, F.col("text").cast("binary"), str(tmp_path / "none"), p).collect() == []
+    assert read_slots(spark, str(tmp_path / "none"), p).collect() == []
+    wide = spark.createDataFrame([(1, bytes(range(1, 9)) * 30), (2, b"")], "doc_id int, ids binary")
+    q = Layout(length=7, width=4, end=50256, pad=50257, shard_bytes=64)
+    write_shuffled(wide, F.col("ids"), str(tmp_path / "wide"), q)
+    got = unshuffled(spark, str(tmp_path / "wide"), read_slots(spark, str(tmp_path / "wide"), q).collect(), q)
+    end = (50256).to_bytes(4, "little")
+    assert sorted(got) == sorted([bytes(range(1, 9)) * 30 + end, end])
