@@ -17,6 +17,7 @@ from civicflow.operators.relate import computed, lookup_spread
 BIN = 64
 
 _KEYS = ["_street", "_area", "_n"]
+_BIN_KEYS = ["_street", "_area", "_odd", "_bin"]
 
 
 def house_in_block(c) -> Column:
@@ -29,10 +30,12 @@ def _bin(n: Column) -> Column:
 
 
 def range_book(ranges: DataFrame, area: str) -> DataFrame:
-    """Each range once for each bin that it reaches into: (_street, _area, _odd, _bin, low, high, id, ends).
+    """Of the ranges that hold the same numbers of a bin the one that counts: (_street, _area, _odd, _bin, from, to, r).
 
     ``ranges`` has street, the area column, low, high, from_lon, from_lat, to_lon, to_lat and id.  A range whose ends
-    are the wrong way round is turned; one without a number, a street or an area is left out.
+    are the wrong way round is turned; one without a number, a street or an area is left out.  ``from`` and ``to`` are
+    the first and the last number of the range in the bin.  A side has 32 numbers in a bin, so a bin has 528 rows at
+    most, however many ranges reach into it.  ``r`` is (order, high, ends).
     """
     turned = F.col("low") > F.col("high")
 
@@ -54,8 +57,19 @@ def range_book(ranges: DataFrame, area: str) -> DataFrame:
         (turned.isNotNull()).alias("_whole"),
     )
     book = book.filter(F.col("_whole")).drop("_whole").dropna(subset=["_street", "_area"])
+    # Of equal ranges one counts; the others need not be laid on bins.
+    order = F.struct((F.col("high") - F.col("low")).alias("length"), "low", "id")
+    same = ["_street", "_area", "low", "high"]
+    book = book.groupBy(*same).agg(F.min(F.struct(order.alias("order"), "high", "ends")).alias("r"))
     bins = F.explode(F.sequence(_bin(F.col("low")), _bin(F.col("high"))))
-    return book.select("*", (F.col("low") % 2).alias("_odd"), bins.alias("_bin"))
+    laid = book.select("*", (F.col("low") % 2).alias("_odd"), bins.alias("_bin"))
+    # The numbers of the range's side in the bin: from the first of them, and the last as it is even or odd.
+    side = F.pmod(F.col("low"), F.lit(2))
+    first = F.greatest(F.col("low"), F.col("_bin") * BIN + side)
+    last = F.least(F.col("high") - F.pmod(F.col("high") - F.col("low"), F.lit(2)), F.col("_bin") * BIN + (BIN - 2) + side)
+    cut = [*_BIN_KEYS, first.alias("from"), last.alias("to")]
+    # A range may reach into its last bin with a number of the other side only.
+    return laid.select(*cut, "r").filter(F.col("from") <= F.col("to")).groupBy(*_BIN_KEYS, "from", "to").agg(F.min("r").alias("r"))
 
 
 def place_in_ranges(df: DataFrame, ranges: DataFrame, *, house: str, street: str, area: str) -> DataFrame:
@@ -64,6 +78,7 @@ def place_in_ranges(df: DataFrame, ranges: DataFrame, *, house: str, street: str
     Requests are taken once however many rows ask, and meet the ranges on street, area, side and bin of the number, so
     a long range meets only the requests of its bins and no two rows are compared that share none.  Of ranges that
     overlap the shortest counts, then the lowest, then the smallest id.  A range of one number lies half way.
+    At most 32 requests of a bin meet at most 528 ranges, so what is compared does not grow with ranges times rows.
     """
     asked = computed(
         df,
@@ -75,10 +90,9 @@ def place_in_ranges(df: DataFrame, ranges: DataFrame, *, house: str, street: str
     )
     requests = asked.select(*_KEYS).dropna().distinct()
     requests = requests.select("*", (F.col("_n") % 2).alias("_odd"), _bin(F.col("_n")).alias("_bin"))
-    met = requests.join(range_book(ranges, area), ["_street", "_area", "_odd", "_bin"])
-    met = met.filter(F.col("_n").between(F.col("low"), F.col("high")))
-    order = F.struct((F.col("high") - F.col("low")).alias("length"), "low", "id")
-    best = met.groupBy(*_KEYS).agg(F.min(F.struct(order.alias("order"), "high", "ends")).alias("r"))
+    met = requests.join(range_book(ranges, area), _BIN_KEYS)
+    met = met.filter(F.col("_n").between(F.col("from"), F.col("to")))
+    best = met.groupBy(*_KEYS).agg(F.min("r").alias("r"))
     low, high, ends = F.col("r.order.low"), F.col("r.high"), F.col("r.ends")
     along = F.when(high > low, (F.col("_n") - low) / F.when(high > low, high - low)).otherwise(0.5)
     placed = best.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from civicflow.operators.ranges import house_in_block, place_in_ranges
+from civicflow.operators.ranges import house_in_block, place_in_ranges, range_book
 
 RANGES = "id int, street string, area string, low int, high int, from_lon double, from_lat double, to_lon double, to_lat double"
 
@@ -52,3 +52,18 @@ def test_against_all_pairs(spark):
 
 def test_numbers_of_houses(values):
     assert values(house_in_block("c"), ["12", " 43-10", "7A 1/2", "A7", "", None, "99999999999"]) == [12, 43, 7, None, None, None, None]
+
+
+def test_a_bin_holds_no_more_ranges_than_its_numbers_tell_apart(spark):
+    rng = random.Random(5)
+    ranges = []
+    for k in range(4000):
+        low = rng.randint(0, 140)
+        ranges.append((k, "a", "x", low, low + rng.choice([0, 1, 2, 9, 40, 200]), float(k), 0.0, float(k + 64), 1.0))
+    book = range_book(spark.createDataFrame(ranges, RANGES), "area").groupBy("_street", "_area", "_odd", "_bin").count().collect()
+    assert max(r["count"] for r in book) <= 528 and len(ranges) > 528
+    houses = [(str(n), "a", "x") for n in range(0, 360)]
+    for n, got in enumerate(placed(spark, houses, ranges)):
+        fits = [r for r in ranges if r[3] <= n <= r[4] and r[3] % 2 == n % 2]
+        best = min(fits, key=lambda r: (r[4] - r[3], r[3], r[0]), default=None)
+        assert got[0] == (best[0] if best else None)
