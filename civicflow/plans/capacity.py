@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicflow.functions.address import house_number, street_name
+from civicflow.functions.address import house_number, street_name, tagged
 from civicflow.functions.codes import first_match, label, weight
 from civicflow.functions.dates import BUDGET_DATE_SHAPES, PLAN_DATE_SHAPES, first_readable_date
 from civicflow.functions.numbers import ratio, to_number, to_whole, truncated
 from civicflow.functions.text import blank, clean_house, clean_street, content_hash, sentinel_to_null, stripped
 from civicflow.operators.geocode import geocode_with_stretch, place_stretch_result
-from civicflow.operators.relate import computed, differs, override_by_key, union_missing
+from civicflow.operators.relate import computed, differs, moved_once, override_by_key, union_missing
 from civicflow.operators.reshape import share as share_of
 from civicflow.plans import schemas
 from civicflow.plans.fixed_values import (
@@ -98,15 +98,17 @@ def described_projects(inputs: Frames) -> DataFrame:
     plans = override_by_key(
         plans, "name", "address", inputs["address_cor"], "school", F.upper("address"), _line(inputs["address_cor"])
     )
+    # One automaton gives the house and the street.
+    plans = computed(plans, {"_labels": tagged("address")})
     plans = computed(
         plans,
         {
             "borough": label(stripped("borough"), BOROUGH_BY_LETTER, ""),
-            "hnum": clean_house(house_number("address")),
-            "sname": clean_street(street_name("address"), fillers=["'"], airport=False),
+            "hnum": clean_house(house_number("address", F.col("_labels"))),
+            "sname": clean_street(street_name("address", F.col("_labels")), fillers=["'"], airport=False),
             "org_level": project_level("name"),
         },
-    )
+    ).drop("_labels")
     plans = override_by_key(
         plans, "name", "org_level", inputs["level_cor"], "school", F.col("org_level"), _line(inputs["level_cor"])
     )
@@ -126,7 +128,7 @@ def described_projects(inputs: Frames) -> DataFrame:
 def located_projects(inputs: Frames) -> DataFrame:
     """Projects with their place and a content id."""
     found = geocode_with_stretch(
-        described_projects(inputs),
+        moved_once(described_projects(inputs)),
         inputs["address_points"],
         inputs["segments"],
         inputs["nodes"],

@@ -234,3 +234,14 @@ def test_a_hot_key_fills_no_task(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(sizes) == 50 and sizes[-1] < 3 * sizes[25]
+
+
+def test_a_frame_read_twice_is_worked_out_once(spark):
+    df = spark.range(200).select("id", F.concat(F.lit("k"), F.col("id") % 7).alias("k"), (F.col("id") * 2).alias("v"))
+    moved = relate.moved_once(relate.computed(df, {"w": F.sqrt("v")}))
+    both = moved.join(moved.groupBy("k").agg(F.max("w").alias("most")), "k")
+    rows = both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("REPARTITION_BY_COL") == 1 + plan.count("ReusedExchange")
+    want = {k: max((2 * i) ** 0.5 for i in range(200) if i % 7 == k) for k in range(7)}
+    assert sorted(tuple(r) for r in rows) == sorted((f"k{i % 7}", i, 2 * i, (2 * i) ** 0.5, want[i % 7]) for i in range(200))
