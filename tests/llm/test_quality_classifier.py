@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from civicflow.llm.quality_classifier import Settings, _descend, classify, fit, place_sets, sample
+from civicflow.llm.quality_classifier import Settings, _descend, classify, collected, fit, place_sets, sample
 from civicflow.llm.queries import op1_naive_bayes_svm
 
 SF = "/root/testdata/sf0.01"
@@ -93,3 +93,29 @@ def test_one_row_counts_for_an_id_that_is_repeated(spark):
     assert len(whole) == 8
     again = sample(docs.repartition(3), labels, Settings()).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, again))
+
+
+def test_bitmaps_are_compressed_on_their_way_to_the_driver(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    own, came = type(docs).collect, []
+
+    def collect(df):
+        came.extend(rows := own(df))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    model = fit(docs, labels)
+    sizes = [len(r.bits) for r in came if "bits" in r]
+    assert sizes and sum(sizes) < len(sizes) * (1 << model.bits) / 8 / 2
+
+
+def test_sampled_sets_are_whole(spark):
+    texts = {k: f"text {k} of some words " * k for k in range(1, 9)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in texts], "doc_id int, label int")
+    s = Settings()
+    sets, y = collected(sample(docs, labels, s))
+    want = place_sets(pa.array(texts.values()), s.longest, s.bits)
+    found = sorted((side, tuple(x)) for x, side in zip(sets, y))
+    assert found == sorted((1.0 if k % 2 else -1.0, tuple(sorted(x))) for k, x in zip(texts, want))
