@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.checks.registry import check, shaped
-from civicflow.functions.wkb import lines_of, points_of, polygons_of
+from civicflow.functions.wkb import lines_of, nibbles_swapped, points_of, polygons_of
 from civicflow.operators.relate import computed
 from civicflow.sources.shapes import SHAPE, scan_geometry
 
 
-def _ordered(digits: Column, little: Column) -> Column:
-    pairs = F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))
-    return F.when(little, F.array_join(F.reverse(pairs), "")).otherwise(digits)
+def _ordered(bits: Column, little: Column) -> Column:
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    return F.when(little, F.reverse(digits(nibbles_swapped(bits)))).otherwise(digits(bits))
 
 
 def uint_hex(n: int, little: Column) -> Column:
@@ -26,7 +26,7 @@ def double_hex(c: Column, little: Column) -> Column:
     power = F.floor(F.log2(F.abs(c)))
     fraction = ((F.abs(c) / F.pow(F.lit(2.0), power) - 1) * (1 << 52)).cast("bigint")
     bits = F.shiftleft((power + 1023).cast("bigint"), 52) + fraction + F.when(c < 0, F.lit(-(1 << 63))).otherwise(F.lit(0))
-    return _ordered(F.lpad(F.hex(F.when(c == 0, F.lit(0)).otherwise(bits)), 16, "0"), little)
+    return _ordered(F.when(c == 0, F.lit(0)).otherwise(bits), little)
 
 
 class Encoder:

@@ -202,7 +202,15 @@ def segment_cells(lines: DataFrame, id_column: str, parts: Column, box: Column,
 def meets_any(
     lines: DataFrame, id_column: str, parts: Column, areas: DataFrame, polygons: Column, size: float
 ) -> DataFrame:
-    """Lines whose id belongs to a line meeting any of the areas.
+    """Lines whose id belongs to a line meeting any of the areas (J10); arguments as for ``ids_meeting``."""
+    hit = ids_meeting(lines, id_column, parts, areas, polygons, size)
+    return lines.join(hit, F.col(id_column) == F.col("_id"), "left_semi")
+
+
+def ids_meeting(
+    lines: DataFrame, id_column: str, parts: Column, areas: DataFrame, polygons: Column, size: float
+) -> DataFrame:
+    """The ids (_id), each once, of lines meeting any of the areas.
 
     ``parts`` gives an array of lines and ``polygons`` an array of polygons;
     ``size`` is the side of a grid cell in the units of the coordinates.
@@ -220,4 +228,4 @@ def meets_any(
     hit = groups.agg(F.max("met").alias("met"), F.sum("turns").alias("turns")).filter(
         F.col("met") | (F.col("turns") % 2 == 1)
     )
-    return lines.join(hit.select("_id").distinct(), F.col(id_column) == F.col("_id"), "left_semi")
+    return hit.select("_id").distinct()

@@ -9,11 +9,11 @@ from civicflow.functions.geometry import parse_lines, parse_polygons
 from civicflow.functions.text import blank, blank_to_null, stripped
 from civicflow.functions.wkb import lines_of, polygons_of
 from civicflow.operators.relate import lookup_left
-from civicflow.operators.spatial import meets_any
+from civicflow.operators.spatial import ids_meeting
 from civicflow.plans import schemas
 from civicflow.plans.fixed_values import BOROCODE_BY_COUNTY_CODE
 from civicflow.plans.job import Frames, JobSpec
-from civicflow.sources.shapes import SHAPE
+from civicflow.sources.shapes import SHAPE, decoded_geometry, scan_geometry
 
 # Node levels at grade, and bike lanes that are paths of their own.
 GRADE_LEVELS = ["M", "*", "$"]
@@ -68,14 +68,19 @@ GRID = 0.01
 
 
 def build_functional_class(inputs: Frames) -> Frames:
-    """Road lines that meet any borough boundary's area."""
-    lines, areas = inputs["road_lines"].filter(F.col("geom").isNotNull()), inputs["boundaries"]
+    """Road lines that meet any borough boundary's area.
+
+    Which lines do is told from their shapes alone; their text is made of the found ones only.
+    """
+    lines, areas = decoded_geometry(inputs["road_lines"]), inputs["boundaries"]
     parts, polygons = parse_lines("geom"), parse_polygons("geom")
     if SHAPE in lines.columns:
         parts = F.coalesce(lines_of(F.col(SHAPE)), parts)
     if SHAPE in areas.columns:
         polygons = F.coalesce(polygons_of(F.col(SHAPE)), polygons)
-    found = meets_any(lines, "ogc_fid", parts, areas, polygons, GRID)
+    met = ids_meeting(lines, "ogc_fid", parts, areas, polygons, GRID)
+    found = inputs["road_lines"].join(met, F.col("ogc_fid") == F.col("_id"), "left_semi")
+    found = scan_geometry(found).filter(F.col("geom").isNotNull())
     return {"functional_class": found.withColumn("borough", F.col("municipality_desc"))}
 
 
@@ -84,6 +89,7 @@ FUNCTIONAL_CLASS = JobSpec(
     ["road_lines", "boundaries"],
     {"functional_class": schemas.FUNCTIONAL_CLASS},
     build_functional_class,
+    late=frozenset(["road_lines"]),
 )
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civicflow.functions.wkb import bits_to_double, lines_of, points_of, polygons_of, with_geometry, wkt_of
+from civicflow.sources.publish import parse_ddl
 
 KIND = {"POINT": 1, "LINESTRING": 2, "POLYGON": 3, "MULTIPOINT": 4, "MULTILINESTRING": 5, "MULTIPOLYGON": 6}
 SINGLE = {"MULTIPOINT": "POINT", "MULTILINESTRING": "LINESTRING", "MULTIPOLYGON": "POLYGON"}
@@ -107,3 +108,28 @@ def test_many_vertices(spark):
     ring = [(math.cos(k / 5000) * 3, math.sin(k / 5000) * 3) for k in range(31_416)] + [(3.0, 0.0)]
     row = decoded(spark, [encode("POLYGON", [ring], ">")], True)[0]
     assert [tuple(p) for p in row.polygons[0][0]] == ring
+
+
+def test_road_lines_are_told_by_their_shapes_and_only_found_ones_become_text(spark, monkeypatch):
+    from civicflow.plans import JOBS, job, roads
+
+    line = lambda x, order: encode("LINESTRING", [(x, 1.0), (x + 0.5, 1.0)], order, 4326).hex()
+    drawn = [(1, line(1.0, "<")), (2, line(9.0, "<")), (3, "SRID=4326;LINESTRING (2 2, 3 2)"), (3, None), (4, "0102"), (5, line(2.0, ">"))]
+    box = encode("MULTIPOLYGON", [[[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]]], ">").hex()
+    declared = [c for c in parse_ddl(JOBS["functional_class"].outputs["functional_class"]) if c not in ("geom", "objectid", "borough")]
+    lines = spark.createDataFrame([(k, str(k), g) for k, g in drawn], "ogc_fid int, objectid string, wkb_geometry string")
+    lines = lines.select("*", *[F.lit(None).cast("string").alias(c) for c in {*declared, "municipality_desc"}])
+    areas = spark.createDataFrame([(box,)], "wkb_geometry string")
+    own, read = job.scan_geometry, []
+
+    def scan(df, *a):
+        if "ogc_fid" in df.columns:
+            read.append(df.count())
+        return own(df, *a)
+
+    monkeypatch.setattr(job, "scan_geometry", scan)
+    monkeypatch.setattr(roads, "scan_geometry", scan, raising=False)
+    found = JOBS["functional_class"].run({"road_lines": lines, "boundaries": areas})["functional_class"]
+    want = {1: "LINESTRING (1 1, 1.5 1)", 3: "LINESTRING (2 2, 3 2)", 5: "LINESTRING (2 1, 2.5 1)"}
+    assert {r.objectid: r.geom for r in found.collect()} == {k: f"SRID=4326;{v}" for k, v in want.items()}
+    assert found.count() == 3 and read == [4]
